@@ -49,11 +49,10 @@ def key_filter(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
     With many keys the bitmap fills and lets more rows pass, none too few.
     """
-    h = F.xxhash64(keys.columns[0])
-    slot = F.pmod(h, F.lit(BITMAP_WORDS * 64))
-    bits = keys.groupBy((slot / 64).cast("int").alias("_word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("_bits"))
+    slot = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(BITMAP_WORDS * 64)).alias("_slot"))
+    bits = slot.groupBy(F.expr("cast(_slot div 64 as int)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_bits"))
     at = F.pmod(F.xxhash64(column), F.lit(BITMAP_WORDS * 64))
-    kept = df.withColumn("_at", at).withColumn("_word", (F.col("_at") / 64).cast("int"))
+    kept = df.withColumn("_at", at).withColumn("_word", F.expr("cast(_at div 64 as int)"))
     return kept.join(F.broadcast(bits), "_word").where("shiftright(_bits, cast(_at % 64 as int)) & 1 = 1").drop("_word", "_at", "_bits").select(df.columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, token_index
+from . import decontaminate, mixing, near_duplicates, token_index
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op4_token_index": token_index.op4_token_index,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
+        "op8_near_duplicates": near_duplicates.op8_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op6_decontamination": decontaminate.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_near_duplicates": near_duplicates.OP8_SQL}
