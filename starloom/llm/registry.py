@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_duplicates, token_index
+from . import decontaminate, mixing, near_duplicates, quality, token_index
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
+        "op10_quality": quality.op10_quality,
     }
 
 
