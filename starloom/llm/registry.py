@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_duplicates, quality, token_index
+from . import decontaminate, language, mixing, near_duplicates, quality, token_index
 
 
 def queries() -> dict:
     return {
+        "op1_language": language.op1_language,
         "op4_token_index": token_index.op4_token_index,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
