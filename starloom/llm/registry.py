@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, near_duplicates, quality, token_index
+from . import decontaminate, language, mixing, near_duplicates, quality, token_index, vector_join
 
 
 def queries() -> dict:
     return {
         "op1_language": language.op1_language,
         "op4_token_index": token_index.op4_token_index,
+        "op5_vector_join": vector_join.op5_vector_join,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_near_duplicates": near_duplicates.OP8_SQL}
+    return {"op5_vector_join": vector_join.OP5_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_near_duplicates": near_duplicates.OP8_SQL}

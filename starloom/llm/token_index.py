@@ -17,6 +17,7 @@ fingerprint and reads one range of one shard: a constant number of steps, whatev
 from __future__ import annotations
 
 import json
+import os
 import sys
 import uuid
 import zlib
@@ -32,8 +33,8 @@ from .textops import buffers, mix
 END_ID = 1
 #: Documents of a shard, and keys of an index part, aimed at; both numbers of files grow with the table.
 SHARD_ROWS, PART_KEYS = 8192, 16384
-#: Words whose ids a worker remembers; beyond that it forgets all and begins anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers at most; those not met for long are forgotten.
+REMEMBERED = 800_000
 _BUCKET_KEYS, _SEEDS = 4, 1 << 20
 _IDS, _MPH = b"SLTOK1\0\0", b"SLMPH1\0\0"
 
@@ -44,34 +45,83 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_TAIL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+
+
+def _plain(word: bytes) -> bool:
+    text = word.decode()
+    return text.isalpha() and text.islower() and max(text) <= "\xff"
+
+
 class _Encoder:
     """Encodes texts word by word, remembering words.
 
-    The tokenizer never joins characters over ASCII white space (its pre-tokenizer drops it), so a text's ids are its
-    words' ids in a row; each distinct word goes through the library once.
+    The tokenizer never joins characters over ASCII white space (its pre-tokenizer drops it) and lower-cases, so a text's
+    ids are its lower-cased words' ids in a row.  Words new to a worker go through the library many at a time, with a
+    special token between them that tells where each ends.  Texts that may spell a special token go through it whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library, self.known = Tokenizer.from_file(path), {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.known, self.before = Tokenizer.from_file(path), {}, {}
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = next(iter(special.items()))
+        self.opening = {t[:2].encode() for t in special}
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        # For lower-case letters below U+0100, which the normalizer leaves alone and the pre-tokenizer keeps together.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, new: list[bytes]) -> None:
+        """Remembers new words: letters with punctuation after them (no apostrophe, which joins letters) as these two parts."""
+        parts, rest, cores = [], [], []
+        for w in new:
+            core = w.rstrip(_TAIL)
+            if core and (core.isalpha() or _plain(core)):
+                tail = w[len(core) :]
+                parts.append((w, core, tail))
+                cores.append(core)
+                if tail and tail not in self.known:
+                    rest.append(tail)
+            else:
+                rest.append(w)
+        cores = list(set(cores).difference(self.known))
+        mark = f" {self.mark} "
+        for library, some, step in ((self.letters, cores, 50), (self.library, list(set(rest)), 20)):
+            groups = [some[at : at + step] for at in range(0, len(some), step)]
+            found = library.encode_batch_fast([mark.join(w.decode() for w in g) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, found, strict=True):
+                raw, size = np.array(e.ids, self.kind), self.kind.itemsize
+                ends = np.append(np.flatnonzero(raw == self.mark_id), len(raw)).tolist()
+                raw, a = raw.tobytes(), 0
+                for w, b in zip(g, ends, strict=True):
+                    self.known[w] = raw[a * size : b * size]
+                    a = b + 1
+        for w, core, tail in parts:
+            if tail:
+                self.known[w] = self.known[core] + self.known[tail]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        odd = [any(o in t for o in self.opening) for t in texts]
+        split = [[] if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.before = {}, self.known
+        new = set().union(*split).difference(self.known)
+        for w in [w for w in new if w in self.before]:
+            self.known[w] = self.before[w]
+        self.learn([w for w in new if w not in self.known])
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [self.whole(t) if o else b"".join(map(get, words)) for t, o, words in zip(texts, odd, split, strict=True)]
 
 
 def _encoder(path: str) -> _Encoder:
     """One for each Python worker, kept on a module that all tasks of the worker see."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     kept = sys.__dict__.setdefault("_starloom_encoders", {})
     if path not in kept:
         kept[path] = _Encoder(path)
@@ -164,11 +214,11 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, key: str = "doc_id",
             data, offsets = buffers(batch.column(1))
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            end = np.array([end_id], "<u4").tobytes()
+            end, size = np.array([end_id], encode.kind).tobytes(), encode.kind.itemsize
             for at in range(0, len(texts), 500):
                 for e in encode(texts[at : at + 500]):
                     ids += (e, end)
-                    lengths.append(len(e) // 4 + 1)
+                    lengths.append(len(e) // size + 1)
             k = batch.column(0)
             nulls.append(k.is_null().to_numpy(zero_copy_only=False))
             keys.append(k.fill_null(0).to_numpy())
@@ -178,7 +228,7 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, key: str = "doc_id",
         key_of, null = np.concatenate(keys).astype("<i8"), np.concatenate(nulls).astype("<u8")
         first = np.cumsum(length) - length
         head = np.stack([key_of.view(np.uint64), null, length], axis=1)
-        _put(uri, f"ids/{shard:06d}.bin", [_IDS, np.array([len(length), int(length.sum())], "<u8").tobytes(), head.astype("<u8").tobytes(), *ids])
+        _put(uri, f"ids/{shard:06d}.bin", [_IDS, np.array([len(length), int(length.sum()), encode.kind.itemsize], "<u8").tobytes(), head.astype("<u8").tobytes(), *ids])
         yield pa.record_batch({"k": pa.array(key_of, mask=null.astype(bool)), "shard": pa.array(np.full(len(length), shard), pa.int64()), "first": pa.array(first.astype(np.int64)), "n": pa.array(length.astype(np.int64))})
 
     from .common import written
@@ -233,10 +283,10 @@ def read_store(spark: SparkSession, uri: str, manifest: dict) -> DataFrame:
                 with system.open_input_file(f"{root}/ids/{shard:06d}.bin") as f:
                     if f.read(8) != _IDS:
                         raise ValueError(f"shard {shard} is not in this format")
-                    n, ids = np.frombuffer(f.read(16), "<u8").tolist()
+                    n, ids, size = np.frombuffer(f.read(24), "<u8").tolist()
                     head = np.frombuffer(f.read(24 * n), "<u8").reshape(n, 3)
                     length = head[:, 2].astype(np.int64)
-                    crc = [zlib.crc32(f.read(4 * k)) for k in length.tolist()]
+                    crc = [zlib.crc32(np.frombuffer(f.read(size * k), f"<u{size}").astype("<u4")) for k in length.tolist()]
                 if length.sum() != ids:
                     raise ValueError(f"shard {shard} is cut short")
                 key = pa.array(head[:, 0].view(np.int64).copy(), mask=head[:, 1].astype(bool))
@@ -274,8 +324,8 @@ class Store:
         if mark != int(fingerprint[0]):
             raise KeyError(key)
         path = f"ids/{shard:06d}.bin"
-        docs = int(np.frombuffer(self._read(path, 8, 8), "<u8")[0])
-        return np.frombuffer(self._read(path, 24 + 24 * docs + 4 * first, 4 * length), "<u4")
+        docs, _, size = np.frombuffer(self._read(path, 8, 24), "<u8").tolist()
+        return np.frombuffer(self._read(path, 32 + 24 * docs + size * first, size * length), f"<u{size}").astype(np.uint32)
 
 
 def token_index(docs: DataFrame, tokenizer: str | None = None, uri: str | None = None) -> tuple[DataFrame, str]:
