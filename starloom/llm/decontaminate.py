@@ -109,8 +109,8 @@ def _ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(n) else 0) - np.repeat(total - n, n)
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, token: int = TOKEN, most: int = WINDOWS_A_PASS, keep: list[str] | None = None) -> DataFrame:
-    """Columns keep of docs (all but clashing names by default), n_words, spans (array of first word and past the last) and items (ids as strings, sorted).
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, token: int = TOKEN, most: int = WINDOWS_A_PASS, keep: list[str] | None = None, names: tuple = ("n_words", "spans", "items")) -> DataFrame:
+    """Columns keep of docs (all by default) and, by the given names, the number of words, spans (array of first word and past the last) and items (ids as strings, sorted).
 
     A null or empty text has no words and no hit.  Items that are null or have no words match nothing; items with the same
     id count once.  Repeated documents are judged each by itself.  Without items every document is clean.
@@ -118,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = ("_n_words", "_spans", "_items")
+    own = ("__starloom_words", "__starloom_spans", "__starloom_items")
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in own]
     blocks, block = [], []
     for r in items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).orderBy(item_id, item_text).toLocalIterator():
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         rare = {r["token"]: r["n"] for r in token_counts(docs, tables, text).toLocalIterator()} if tables else {}
         index = spark.sparkContext.broadcast((_Index(found, rare), [i for i, _ in block]))
         flow = _scan(flow, text, own, index)
-    return flow.select(*kept, F.col(own[0]).alias("n_words"), F.col(own[1]).alias("spans"), F.col(own[2]).alias("items"))
+    return flow.select(*kept, *(F.col(a).alias(b) for a, b in zip(own, names, strict=True)))
 
 
 def _scan(flow: DataFrame, text: str, own: tuple, sent) -> DataFrame:

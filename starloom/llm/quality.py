@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import read, small_batches, written
 from .textops import SPACED, mix, pieces, words
@@ -246,11 +247,9 @@ def scored(docs: DataFrame, model: Additive, keep: list[str], text: str = "text"
     def make(batches):
         for batch in batches:
             score = [sent.value.score(statistics(data, offsets)) for _, data, offsets in pieces(batch.column(0), 1 << 21)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*keep, "__starloom_score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return flow.mapInArrow(make, StructType([*flow.schema.fields[1:], StructField("_score", DoubleType())]))
+    return flow.mapInArrow(make, StructType([*flow.schema.fields[1:], StructField("__starloom_score", DoubleType())]))
 
 
 def held_out(doc_id: str, n: int, rest: int):
@@ -261,4 +260,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out("doc_id", 5, 0)))
     out = scored(docs.select("doc_id", "text"), model, ["doc_id"])
-    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("__starloom_score").alias("score"), (F.col("__starloom_score") >= THRESHOLD).cast("int").alias("predicted"))

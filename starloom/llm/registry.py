@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import decontaminate, language, mixing, near_duplicates, quality, token_index, vector_join
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_language": language.op1_language,
         "op4_token_index": token_index.op4_token_index,
         "op5_vector_join": vector_join.op5_vector_join,
