@@ -11,6 +11,8 @@ document of its node, and only nodes whose documents are then still in different
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ from .textops import SPACED, mix, pieces, shingles, words
 
 WIDTH, PERCENT = 5, 75
 #: Minwise values of a signature, trees, documents of a node compared exhaustively, levels of a tree.
-VALUES, TREES, LIMIT, DEPTH = 128, 10, 200, 4
+VALUES, TREES, LIMIT, DEPTH = 128, 10, 1000, 4
 #: Sketch bytes (of VALUES) that two documents at the threshold share but for one pair in 100,000.
 ALIKE = 74
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -144,13 +146,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, doc_id:
 
 
 def _within(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs (a, b) alike by sketch, of different labels, among rows (key, node, label) with one key; a key has few rows."""
+    """Pairs (a, b) alike by sketch, of different labels, among rows (key, node, label) with one key; a key has few rows.
+
+    Where two documents share several keys, their pair comes from the least of these alone.
+    """
 
     def compare(batches):
         held = None
         for batch in _ended(batches):
             if batch is not None:
-                t = pa.table({"key": batch.column(0), "node": batch.column(1), "label": batch.column(2), "sketch": batch.column(3)})
+                t = pa.table({n: c for n, c in zip(("key", "node", "label", "sketch", "nodes"), batch.columns, strict=True)})
                 held = t if held is None else pa.concat_tables([held, t])
             if held is None or not len(held):
                 continue
@@ -160,7 +165,9 @@ def _within(rows: DataFrame, sketch: DataFrame) -> DataFrame:
                 yield _pairs_of(key[:end], held.slice(0, end))
             held = held.slice(end).combine_chunks()
 
-    wide = rows.join(sketch.select(F.col("doc_id").alias("node"), "sketch"), "node").select("key", "node", "label", "sketch")
+    rows = written(rows.select("key", "node", "label"), "within")
+    keys = rows.groupBy("node").agg(F.collect_set("key").alias("nodes"))  # a document has about TREES of them
+    wide = rows.join(keys, "node").join(sketch.withColumnRenamed("doc_id", "node"), "node").select("key", "node", "label", "sketch", "nodes")
     return wide.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -172,6 +179,7 @@ def _ended(batches):
 def _pairs_of(key: np.ndarray, rows) -> pa.RecordBatch:
     node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
     sketch = _matrix(rows.column("sketch"), np.uint8)
+    lists = rows.column("nodes").to_pylist()
     a, b = [node[:0]], [node[:0]]
     for step in range(1, len(key)):
         i = np.flatnonzero(key[step:] == key[:-step])
@@ -181,6 +189,7 @@ def _pairs_of(key: np.ndarray, rows) -> pa.RecordBatch:
         for at in range(0, len(i), 8192):
             k = i[at : at + 8192]
             k = k[(sketch[k] == sketch[k + step]).sum(axis=1) >= ALIKE]
+            k = np.array([x for x in k.tolist() if min(set(lists[x]).intersection(lists[x + step])) == key[x]], np.int64)
             a.append(node[k + step])
             b.append(node[k])
     return pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
@@ -208,34 +217,40 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     the same result each.  A row without an id takes its class's smallest id as component and is never kept.
     Columns other than the two aren't read.  An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     feat = written(features(docs, doc_id, text), "features")
     classes = written(feat.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
     sketch = feat.select("doc_id", "sketch").where("sketch is not null")
     rows = feat.select("k1", "k2", F.col("doc_id").alias("node"), "nodes").join(classes, ["k1", "k2", "node"]).select("node", F.explode("nodes").alias("key"))
-    links: DataFrame | None = None
+    links: list[DataFrame] = []
+    labels: DataFrame | None = None
 
     def labelled(df: DataFrame) -> DataFrame:
-        if links is None:
+        if labels is None:
             return df.withColumn("label", F.col("node"))
-        found = written(components(links), "labels")
-        return df.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-
-    def add(found: DataFrame) -> None:
-        nonlocal links
-        found = written(found, "links")
-        links = found if links is None else links.union(found)
+        return df.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+    def confirm(pairs: DataFrame) -> None:
+        """Adds the links among pairs, and brings the labels up to date."""
+        nonlocal labels
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            return
+        found = written(confirmed(pairs, docs, percent, doc_id, text), "links")
+        if not found.isEmpty():
+            links.append(found)
+            labels = written(components(reduce(DataFrame.union, links)), "labels")
 
     for level in range(1, DEPTH + 1):
         rows = written(rows, "nodes")
         stats = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "stats")
-        multi = written(labelled(rows.join(stats, "key")), "multi")
-        pairs = multi.where("node <> leader and label <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        first = written(_alike(pairs, sketch).groupBy("a").agg(F.min("b").alias("b")), "pairs")
-        add(confirmed(first, docs, percent, doc_id, text))
-        multi = written(labelled(multi.drop("label")), "multi")
+        multi = written(rows.join(stats, "key"), "multi")
+        pairs = labelled(multi).where("node <> leader and label <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        confirm(_alike(pairs, sketch).groupBy("a").agg(F.min("b").alias("b")))
+        multi = labelled(multi)
         unlike = written(multi.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "unlike")
         multi = multi.join(unlike, "key")
-        add(confirmed(written(_within(multi.where(F.col("n") <= LIMIT), sketch), "pairs"), docs, percent, doc_id, text))
+        confirm(_within(multi.where(F.col("n") <= LIMIT), sketch))
         rest = written(multi.where(F.col("n") > LIMIT).select("node", "key", "n"), "rest")
         if rest.isEmpty():
             break
@@ -246,9 +261,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
         mine = F.pmod(F.xxhash64("node"), parts)
         split = labelled(rest).select("node", "label", "key", mine.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("o"))
         split = split.select("node", "label", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"))
-        add(confirmed(written(_within(split, sketch), "pairs"), docs, percent, doc_id, text))
+        confirm(_within(split, sketch))
 
-    found = written(components(links), "components").select("node", "component")
+    found = labels if labels is not None else spark.createDataFrame([], "node long, component long")
     named = feat.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
