@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of 64 bits in a key bitmap: at most 2 MB to broadcast, whatever the data.
 BITMAP_WORDS = 1 << 17
+#: Edges that one task joins up; a larger graph takes the distributed way.
+ONE_TASK = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,10 +33,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation.
+
+    A narrow table (a few numbers a row) is written by four tasks a core at most, which spares many small files.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,18 +64,19 @@ def key_filter(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return kept.join(F.broadcast(bits), "_word").where("shiftright(_bits, cast(_at % 64 as int)) & 1 = 1").drop("_word", "_at", "_bits").select(df.columns)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) of every node in edges (a, b: bigint): component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges are stars; every step is an aggregate by key and an
-    equi-join, so that no component is ever gathered anywhere.  Loops and repeated edges are allowed.
+    Up to one_task distinct edges are joined up by one task, in memory of bounded size.  More go through large-star and
+    small-star steps in turn until the edges are stars; every step is an aggregate by key and an equi-join, so that no
+    component is ever gathered anywhere.  Loops and repeated edges are allowed; the result is the same either way.
     """
-    star = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    star = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", True)
     before = _state(star)
+    if before[0] <= one_task:
+        return star.coalesce(1).mapInArrow(_united, "node long, component long")
     for _ in range(most_rounds):
-        if not before[0]:
-            break
-        star = written(_small_star(_large_star(star)), "edges")
+        star = written(_small_star(_large_star(star)), "edges", True)
         after = _state(star)
         if after == before:
             break
@@ -77,6 +86,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return star.select(F.col("a").alias("node"), F.col("b").alias("component")).union(star.select("b", "b").distinct())
 
 
+def _united(batches):
+    """The same for the edges of one task, by a union of sets."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (y := up.setdefault(root, root)) != root:
+            root = y
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "component": pa.array([top(x) for x in nodes], pa.int64())})
+
+
 def _state(star: DataFrame) -> tuple:
     row = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
     return row[0], row[1]

@@ -23,7 +23,7 @@ from .textops import SPACED, mix, pieces, shingles, words
 
 WIDTH, PERCENT = 5, 75
 #: Minwise values of a signature, trees, documents of a node compared exhaustively, levels of a tree.
-VALUES, TREES, LIMIT, DEPTH = 128, 10, 1000, 4
+VALUES, TREES, LIMIT, DEPTH = 128, 10, 2000, 3
 #: Sketch bytes (of VALUES) that two documents at the threshold share but for one pair in 100,000.
 ALIKE = 74
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -145,54 +145,118 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, doc_id:
     return pairs.join(t[1], "b").join(t[0], "a").select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
 
 
-def _within(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs (a, b) alike by sketch, of different labels, among rows (key, node, label) with one key; a key has few rows.
-
-    Where two documents share several keys, their pair comes from the least of these alone.
+def _grouped(batches):
+    """(key, rows of all columns) of each run of equal keys in the first column of sorted batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.table(batch.columns, names=[str(i) for i in range(batch.num_columns)])
+        held = t if held is None else pa.concat_tables([held, t])
+        key = held.column(0).to_numpy()
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+        at = 0
+        for to in cut.tolist():
+            yield held.slice(at, to - at)
+            at = to
+        held = held.slice(at)
+    if held is not None:
+        yield held
+
+
+def _meeting(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Those of rows (key, node, label, tree, part) that have one of another label and part, alike by sketch, with their key.
+
+    A key has few rows: those of a tree's node, or of two parts of it; without parts, part is null.  Where two documents
+    share several of the trees' nodes, they meet under the least of these alone.
     """
 
     def compare(batches):
         held = None
-        for batch in _ended(batches):
-            if batch is not None:
-                t = pa.table({n: c for n, c in zip(("key", "node", "label", "sketch", "nodes"), batch.columns, strict=True)})
-                held = t if held is None else pa.concat_tables([held, t])
-            if held is None or not len(held):
-                continue
+        for batch in batches:
+            t = pa.table(batch.columns, names=["key", "node", "label", "tree", "part", "sketch", "nodes"])
+            held = t if held is None else pa.concat_tables([held, t])
             key = held.column("key").to_numpy()
-            end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+            end = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if end:
-                yield _pairs_of(key[:end], held.slice(0, end))
-            held = held.slice(end).combine_chunks()
-
-    rows = written(rows.select("key", "node", "label"), "within")
-    keys = rows.groupBy("node").agg(F.collect_set("key").alias("nodes"))  # a document has about TREES of them
-    wide = rows.join(keys, "node").join(sketch.withColumnRenamed("doc_id", "node"), "node").select("key", "node", "label", "sketch", "nodes")
-    return wide.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long").distinct()
+                yield _partners(held.slice(0, end))
+            held = held.slice(end)  # the last key's rows may go on
+        if held is not None and len(held):
+            yield _partners(held)
 
+    rows = written(rows.select("key", "node", "label", "tree", "part"), "within", True)
+    keys = rows.groupBy("node").agg(F.collect_set("tree").alias("nodes"))  # a document has about TREES of them
+    wide = rows.join(keys, "node").join(sketch.withColumnRenamed("doc_id", "node"), "node").select("key", "node", "label", "tree", "part", "sketch", "nodes")
+    return wide.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "key long, node long")
 
-def _ended(batches):
-    yield from batches
-    yield None
 
-
-def _pairs_of(key: np.ndarray, rows) -> pa.RecordBatch:
-    node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+def _partners(rows) -> pa.RecordBatch:
+    key, node, label, tree = (rows.column(c).to_numpy() for c in ("key", "node", "label", "tree"))
+    part = rows.column("part").combine_chunks().fill_null(-1).to_numpy()
     sketch = _matrix(rows.column("sketch"), np.uint8)
-    lists = rows.column("nodes").to_pylist()
-    a, b = [node[:0]], [node[:0]]
+    lists = rows.column("nodes").combine_chunks()
+    size = lists.value_lengths().to_numpy()
+    mine = np.full((len(key), int(size.max())), np.iinfo(np.int64).max)
+    mine[np.repeat(np.arange(len(key)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+    theirs = np.where(mine == np.iinfo(np.int64).max, np.iinfo(np.int64).min, mine)
+    meets = np.zeros(len(key), bool)
     for step in range(1, len(key)):
         i = np.flatnonzero(key[step:] == key[:-step])
         if not len(i):
             break
-        i = i[label[i] != label[i + step]]
-        for at in range(0, len(i), 8192):
-            k = i[at : at + 8192]
+        i = i[(label[i] != label[i + step]) & ((part[i] != part[i + step]) | (part[i] < 0)) & ~(meets[i] & meets[i + step])]
+        for at in range(0, len(i), 4096):
+            k = i[at : at + 4096]
             k = k[(sketch[k] == sketch[k + step]).sum(axis=1) >= ALIKE]
-            k = np.array([x for x in k.tolist() if min(set(lists[x]).intersection(lists[x + step])) == key[x]], np.int64)
-            a.append(node[k + step])
-            b.append(node[k])
-    return pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+            shared = (mine[k][:, :, None] == theirs[k + step][:, None, :]).any(axis=2)
+            k = k[np.where(shared, mine[k], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == tree[k]]
+            meets[k] = meets[k + step] = True
+    return pa.record_batch({"key": pa.array(key[meets]), "node": pa.array(node[meets])})
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of membership matrices over parts of the shingles."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    place = np.cumsum(np.concatenate([[True], every[1:] != every[:-1]])) - 1
+    keep = np.bincount(place)[place] > 1
+    place, owner = place[keep], owner[keep]
+    place = np.cumsum(np.concatenate([[False], place[1:] != place[:-1]])) if len(place) else place
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        a, b = np.searchsorted(place, [lo, lo + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[a:b], place[a:b] - lo] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def _linked(meeting: DataFrame, docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(a, b): links among the documents of each key of meeting (key, node) by their full sets, each to the smallest one it reaches there."""
+
+    def test(batches):
+        for rows in _grouped(batches):
+            node = rows.column(1).to_numpy()
+            sets = list(_sets(rows.column(2)))
+            size = np.array([len(x) for x in sets])
+            both = _common(sets)
+            links = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0)
+            root = node
+            while True:
+                low = np.minimum(root, np.where(links, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+                if (low == root).all():
+                    break
+                root = low
+            if (root != node).any():
+                yield pa.record_batch({"a": pa.array(node[root != node]), "b": pa.array(root[root != node])})
+
+    small_batches(docs.sparkSession)
+    d = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
+    d = written(key_filter(d, "node", meeting.select("node")), "texts")
+    whole = meeting.join(d, "node").select("key", "node", "text")
+    return whole.repartition("key").sortWithinPartitions("key", "node").mapInArrow(test, "a long, b long")
 
 
 def _deeper(rows: DataFrame, feat: DataFrame) -> DataFrame:
@@ -219,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     """
     spark = docs.sparkSession
     feat = written(features(docs, doc_id, text), "features")
-    classes = written(feat.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
+    classes = written(feat.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes", True)
     sketch = feat.select("doc_id", "sketch").where("sketch is not null")
     rows = feat.select("k1", "k2", F.col("doc_id").alias("node"), "nodes").join(classes, ["k1", "k2", "node"]).select("node", F.explode("nodes").alias("key"))
     links: list[DataFrame] = []
@@ -230,28 +294,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
             return df.withColumn("label", F.col("node"))
         return df.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
-    def confirm(pairs: DataFrame) -> None:
-        """Adds the links among pairs, and brings the labels up to date."""
+    def confirm(candidates: DataFrame, test) -> None:
+        """Adds the links that test finds for candidates, and brings the labels up to date."""
         nonlocal labels
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
+        candidates = written(candidates, "candidates", True)
+        if candidates.isEmpty():
             return
-        found = written(confirmed(pairs, docs, percent, doc_id, text), "links")
+        found = written(test(candidates, docs, percent, doc_id, text), "links", True)
         if not found.isEmpty():
             links.append(found)
-            labels = written(components(reduce(DataFrame.union, links)), "labels")
+            labels = written(components(reduce(DataFrame.union, links)), "labels", True)
 
     for level in range(1, DEPTH + 1):
-        rows = written(rows, "nodes")
-        stats = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "stats")
-        multi = written(rows.join(stats, "key"), "multi")
+        rows = written(rows, "nodes", True)
+        stats = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "stats", True)
+        multi = written(rows.join(stats, "key"), "multi", True)
         pairs = labelled(multi).where("node <> leader and label <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        confirm(_alike(pairs, sketch).groupBy("a").agg(F.min("b").alias("b")))
+        if level in (1, DEPTH):
+            confirm(_alike(pairs, sketch).groupBy("a").agg(F.min("b").alias("b")), confirmed)
         multi = labelled(multi)
-        unlike = written(multi.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "unlike")
+        unlike = written(multi.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "unlike", True)
         multi = multi.join(unlike, "key")
-        confirm(_within(multi.where(F.col("n") <= LIMIT), sketch))
-        rest = written(multi.where(F.col("n") > LIMIT).select("node", "key", "n"), "rest")
+        small = multi.where(F.col("n") <= LIMIT).withColumn("tree", F.col("key")).withColumn("part", F.lit(None).cast("long"))
+        confirm(_meeting(small, sketch), _linked)
+        rest = written(multi.where(F.col("n") > LIMIT).select("node", "key", "n"), "rest", True)
         if rest.isEmpty():
             break
         if level < DEPTH:
@@ -259,9 +325,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     else:  # nodes that stay large: pairs of parts of them, each of bounded size
         parts = F.ceil(F.col("n") / (LIMIT // 2))
         mine = F.pmod(F.xxhash64("node"), parts)
-        split = labelled(rest).select("node", "label", "key", mine.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("o"))
-        split = split.select("node", "label", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"))
-        confirm(_within(split, sketch))
+        split = labelled(rest).select("node", "label", F.col("key").alias("tree"), mine.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("o"))
+        # Under its own number a part is held against itself, so that its rows count as parts of their own there.
+        part = F.when(F.col("c") != F.col("o"), F.col("c"))
+        split = split.select("node", "label", "tree", part.alias("part"), F.xxhash64("tree", F.least("c", "o"), F.greatest("c", "o")).alias("key"))
+        confirm(_meeting(split, sketch), _linked)
 
     found = labels if labels is not None else spark.createDataFrame([], "node long, component long")
     named = feat.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found, "node", "left")

@@ -98,12 +98,12 @@ def _block_pairs(blocks: DataFrame, parts: int, reach: float) -> DataFrame:
         boxes = blocks.groupBy("label", "dim", F.floor(F.col("part") / span).alias("id")).agg(*lo_hi)
         span *= FAN
         levels.append(boxes.withColumn("parent", F.floor(F.col("id") / FAN)))
-    levels = [written(x, "intervals") for x in levels]
+    levels = [written(x, "intervals", True) for x in levels]
     pairs = levels[-1].select("label", "dim", F.col("parent").alias("a"), F.col("parent").alias("b")).distinct()
     for boxes in reversed(levels):
         side = {s: boxes.select("label", "dim", F.col("parent").alias(s), F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in _box()]) for s in "ab"}
         opened = pairs.join(side["a"], ["label", "dim", "a"]).join(side["b"], ["label", "dim", "b"]).where("a_id <= b_id").where(_near(reach))
-        pairs = written(opened.select("label", "dim", F.col("a_id").alias("a"), F.col("b_id").alias("b")), "interval-pairs")
+        pairs = written(opened.select("label", "dim", F.col("a_id").alias("a"), F.col("b_id").alias("b")), "interval-pairs", True)
     return pairs.select("a", "b")
 
 
@@ -132,7 +132,7 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     flow, kind = _cleaned(vectors, vec_id, embedding, label)
     base = written(flow, "vectors")
     key = ["label", "dim", "k1", "k2"]
-    classes = written(base.where("raw is not null").groupBy(*key).agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
+    classes = written(base.where("raw is not null").groupBy(*key).agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes", True)
     distinct = written(base.withColumnRenamed("vec_id", "node").join(classes, [*key, "node"]).select("node", "n", "label", "dim", "k1", "k2", "raw").dropDuplicates(["node", *key]), "distinct")
     axes = spark.sparkContext.broadcast(_axes(distinct, kind, AXES_ROWS))
     size = reach
@@ -205,8 +205,8 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     side = {s: blocks.select(F.col("block").alias(s), "dim", *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "times", "raw")]) for s in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"].drop("dim"), "b").select("a", "b", "dim", "nodes_a", "times_a", "raw_a", "nodes_b", "times_b", "raw_b")
     links = written(both.mapInArrow(compare, "node long, links long, root long"), "links")
-    counts = written(links.groupBy("node").agg(F.sum("links").alias("links")), "counts")
-    found = written(components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))), "components")
+    counts = written(links.groupBy("node").agg(F.sum("links").alias("links")), "counts", True)
+    found = written(components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))), "components", True)
     named = base.select("vec_id", *key).join(classes, key, "left").join(counts, "node", "left").join(found, "node", "left")
     component = F.coalesce("component", "node", "vec_id")
     n_links = F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
