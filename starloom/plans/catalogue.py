@@ -168,7 +168,7 @@ def clearance_targets(spark, sf):
 
 @query
 def overlapping(spark, sf):
-    return rounded(spatial.overlapping(_positions(spark, sf), _atlas(spark, sf)).select(F.col("id").alias("target"), "sga_id", "sep"), sep=3)
+    return rounded(spatial.overlapping(_positions(spark, sf), _atlas(spark, sf)).select(F.col("id").alias("target"), "sga_id", "sep"), sep=1)
 
 
 @query
@@ -467,24 +467,24 @@ def psf_fit(spark, sf):
 
 @query
 def bright_stars(spark, sf):
-    return rounded(stars.bright_stars(v(spark, sf, "stars")))
+    return rounded(stars.bright_stars(v(spark, sf, "stars")), phot_g_mean_mag=9)
 
 
 @query
 def bright_top10(spark, sf):
-    return rounded(stars.bright_stars(v(spark, sf, "stars")).orderBy("phot_g_mean_mag", "source_id").limit(10))
+    return rounded(stars.bright_stars(v(spark, sf, "stars")).orderBy("phot_g_mean_mag", "source_id").limit(10), phot_g_mean_mag=9)
 
 
 @query
 def bright_star_summary(spark, sf):
     s = stars.bright_stars(v(spark, sf, "stars"))
-    return rounded(s.agg(F.count("*").alias("n"), F.min("phot_g_mean_mag").alias("mag_min"), F.max("phot_g_mean_mag").alias("mag_max"), F.min(F.abs("b")).alias("b_min"), F.max(F.abs("b")).alias("b_max")))
+    return rounded(s.agg(F.count("*").alias("n"), F.min("phot_g_mean_mag").alias("mag_min"), F.max("phot_g_mean_mag").alias("mag_max"), F.min(F.abs("b")).alias("b_min"), F.max(F.abs("b")).alias("b_max")), mag_min=9, mag_max=9)
 
 
 @query
 def star_sidecars(spark, sf):
     f = v(spark, sf, "galaxies").select(F.col("sga_id").alias("id"), "ra", "dec", (F.col("d26") * 90.0).alias("size_arcsec"))
-    return rounded(stars.star_sidecars(f, v(spark, sf, "stars")).withColumnRenamed("id", "sga_id"), sep_arcsec=3, sep_pix=3, x_pix=4, y_pix=4)
+    return rounded(stars.star_sidecars(f, v(spark, sf, "stars")).withColumnRenamed("id", "sga_id"), gmag=9, sep_arcsec=1, sep_pix=1, x_pix=4, y_pix=4)
 
 
 @query
@@ -508,7 +508,7 @@ def legacy_footprint(spark, sf):
 @query
 def legacy_missing(spark, sf):
     g = catalog.select_redshift(v(spark, sf, "galaxies"))
-    return rounded(stars.legacy_missing(g, v(spark, sf, "listing")))
+    return rounded(stars.legacy_missing(g, v(spark, sf, "listing")).withColumn("length", F.coalesce("length", F.lit(-1))))
 
 
 @query
