@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, near_duplicates, quality, token_index, vector_join
+from . import chat, decontaminate, language, mixing, near_duplicates, passages, quality, token_index, vector_join
 
 
 def _pipeline(spark, sf_dir):
@@ -15,14 +15,16 @@ def queries() -> dict:
     return {
         "pipeline": _pipeline,
         "op1_language": language.op1_language,
+        "op2_chat": chat.op2_chat,
         "op4_token_index": token_index.op4_token_index,
         "op5_vector_join": vector_join.op5_vector_join,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
+        "op9_passages": passages.op9_passages,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_vector_join": vector_join.OP5_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_near_duplicates": near_duplicates.OP8_SQL}
+    return {"op2_chat": chat.OP2_SQL, "op5_vector_join": vector_join.OP5_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_near_duplicates": near_duplicates.OP8_SQL}
