@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, near_duplicates, passages, quality, token_index, vector_join
+from . import chat, decontaminate, language, licences, mixing, near_duplicates, passages, quality, token_index, vector_join
 
 
 def _pipeline(spark, sf_dir):
@@ -16,6 +16,7 @@ def queries() -> dict:
         "pipeline": _pipeline,
         "op1_language": language.op1_language,
         "op2_chat": chat.op2_chat,
+        "op3_licences": licences.op3_licences,
         "op4_token_index": token_index.op4_token_index,
         "op5_vector_join": vector_join.op5_vector_join,
         "op6_decontamination": decontaminate.op6_decontamination,
