@@ -49,6 +49,12 @@ def _share(a, b):
     return np.divide(a, b, out=np.zeros(len(a)), where=np.asarray(b) > 0)
 
 
+def _distinct(of: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each text has."""
+    _, at = np.unique(h ^ mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)
+    return np.bincount(of[at], minlength=n).astype(float)
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(texts, FEATURES): statistics of whole texts, 0 where a text has nothing to count."""
     n = len(offsets) - 1
@@ -77,25 +83,21 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out["sentence_words"] = _share(per_text(data[e - 1] == 46, first), count)
         same = np.concatenate([[False], (h[1:] == h[:-1]) & (of[1:] == of[:-1])])
         out["repeat_next"] = _share(per_text(same, first), count)
-        order = np.lexsort((h, of))
-        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])])
-        at = np.flatnonzero(new)
-        times, owner = np.diff(np.append(at, len(h))), of[order][at]
+        _, at, times = np.unique(h ^ mix(of.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+        owner = of[at]
         out["distinct_words"] = _share(np.bincount(owner, minlength=n).astype(float), np.maximum(count, 1) ** 0.8)
         np.maximum.at(out["top_word"], owner, times)
         out["top_word"] = _share(out["top_word"], count)
         out["common_words"] = _share(np.bincount(owner, weights=times * (times > 2), minlength=n), count)
         pair = mix(h[:-1] * np.uint64(3) + h[1:])
         inside = of[1:] == of[:-1]
-        key = np.unique(np.stack([of[1:][inside].astype(np.uint64), pair[inside]], axis=1), axis=0) if inside.any() else np.zeros((0, 2), np.uint64)
-        out["distinct_pairs"] = _share(np.bincount(key[:, 0].astype(np.int64), minlength=n).astype(float), np.maximum(count - 1, 0))
+        out["distinct_pairs"] = _share(_distinct(of[1:][inside], pair[inside], n), np.maximum(count - 1, 0))
     lines, _, _, line_first = words(data, offsets, _LINES)
     line_count = np.diff(line_first).astype(float)
     out["line_words"] = np.minimum(_share(count, line_count), 500)
     if len(lines):
         line_of = np.repeat(np.arange(n), np.diff(line_first))
-        key = np.unique(np.stack([line_of.astype(np.uint64), lines], axis=1), axis=0)
-        distinct = np.bincount(key[:, 0].astype(np.int64), minlength=n).astype(float)
+        distinct = _distinct(line_of, lines, n)
         out["distinct_lines"] = _share(distinct, line_count)
         out["repeat_lines"] = np.log1p(line_count - distinct)
     return np.stack([out[f] for f in FEATURES], axis=1)

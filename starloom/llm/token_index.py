@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, shared_folder, small_batches
-from .textops import buffers, mix
+from .textops import SPACED, mix, pieces, words
 
 END_ID = 1
 #: Documents of a shard, and keys of an index part, aimed at; both numbers of files grow with the table.
 SHARD_ROWS, PART_KEYS = 8192, 16384
 #: Words whose ids a worker remembers at most; those not met for long are forgotten.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 _BUCKET_KEYS, _SEEDS = 4, 1 << 20
 _IDS, _MPH = b"SLTOK1\0\0", b"SLMPH1\0\0"
 
@@ -106,17 +106,42 @@ class _Encoder:
             if tail:
                 self.known[w] = self.known[core] + self.known[tail]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        odd = [any(o in t for o in self.opening) for t in texts]
-        split = [[] if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
+    def lookup(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct lower-cased words, as bytes."""
         if len(self.known) > REMEMBERED // 2:
             self.known, self.before = {}, self.known
-        new = set().union(*split).difference(self.known)
-        for w in [w for w in new if w in self.before]:
-            self.known[w] = self.before[w]
+        new = [w for w in words if w not in self.known]
+        for w in new:
+            if w in self.before:
+                self.known[w] = self.before[w]
         self.learn([w for w in new if w not in self.known])
-        get = self.known.__getitem__
-        return [self.whole(t) if o else b"".join(map(get, words)) for t, o, words in zip(texts, odd, split, strict=True)]
+        return [self.known[w] for w in words]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[list[bytes], np.ndarray]:
+        """Ids of a run of texts, each with the end id after it (as bytes, in parts), and how many of them each text has."""
+        raw = data.tobytes()
+        if any(o in raw for o in self.opening):
+            texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            if len(texts) > 1:  # text by text, as only some need be taken whole
+                each = [self(np.frombuffer(t, np.uint8), np.array([0, len(t)]), end_id) for t in texts]
+                return [p for parts, _ in each for p in parts], np.concatenate([n for _, n in each])
+            ids = self.whole(raw) + np.array([end_id], self.kind).tobytes()
+            return [ids], np.array([len(ids) // self.kind.itemsize])
+        h, start, end, first = words(data, offsets, SPACED)
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        found = self.lookup([raw[a:b].lower() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        found.append(np.array([end_id], self.kind).tobytes())
+        table = np.frombuffer(b"".join(found), self.kind)
+        size = np.array([len(x) for x in found]) // self.kind.itemsize
+        begin = np.cumsum(size) - size
+        order = np.insert(which.ravel(), first[1:], len(found) - 1)
+        n = size[order]
+        parts = []
+        for lo in range(0, len(order), 1 << 18):
+            some, k = order[lo : lo + (1 << 18)], n[lo : lo + (1 << 18)]
+            parts.append(table[np.repeat(begin[some] - (np.cumsum(k) - k), k) + np.arange(k.sum())].tobytes())
+        ends = first[1:] + np.arange(1, len(first))
+        return parts, np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])])
 
 
 def _encoder(path: str) -> _Encoder:
@@ -199,7 +224,7 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, key: str = "doc_id",
     Only one summary row for each shard comes to the driver.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4000)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS), min(n, spark.sparkContext.defaultParallelism))
@@ -211,20 +236,16 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, key: str = "doc_id",
         shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer)
         keys, nulls, lengths, ids = [], [], [], []
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            end, size = np.array([end_id], encode.kind).tobytes(), encode.kind.itemsize
-            for at in range(0, len(texts), 500):
-                for e in encode(texts[at : at + 500]):
-                    ids += (e, end)
-                    lengths.append(len(e) // size + 1)
+            for _, data, offsets in pieces(batch.column(1), 1 << 23):
+                parts, n = encode(data, offsets, end_id)
+                ids += parts
+                lengths.append(n)
             k = batch.column(0)
             nulls.append(k.is_null().to_numpy(zero_copy_only=False))
             keys.append(k.fill_null(0).to_numpy())
         if not lengths:
             return
-        length = np.array(lengths, np.uint64)
+        length = np.concatenate(lengths).astype(np.uint64)
         key_of, null = np.concatenate(keys).astype("<i8"), np.concatenate(nulls).astype("<u8")
         first = np.cumsum(length) - length
         head = np.stack([key_of.view(np.uint64), null, length], axis=1)
