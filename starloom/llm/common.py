@@ -52,14 +52,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
-def key_filter(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+def key_filter(df: DataFrame, column: str, keys: DataFrame, size: int = BITMAP_WORDS) -> DataFrame:
     """Rows of df whose column may be among keys (one bigint column), by a bitmap of fixed size; the join that follows settles it.
 
     With many keys the bitmap fills and lets more rows pass, none too few.
     """
-    slot = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(BITMAP_WORDS * 64)).alias("_slot"))
+    slot = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(size * 64)).alias("_slot"))
     bits = slot.groupBy(F.expr("cast(_slot div 64 as int)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_bits"))
-    at = F.pmod(F.xxhash64(column), F.lit(BITMAP_WORDS * 64))
+    at = F.pmod(F.xxhash64(column), F.lit(size * 64))
     kept = df.withColumn("_at", at).withColumn("_word", F.expr("cast(_at div 64 as int)"))
     return kept.join(F.broadcast(bits), "_word").where("shiftright(_bits, cast(_at % 64 as int)) & 1 = 1").drop("_word", "_at", "_bits").select(df.columns)
 
