@@ -77,7 +77,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out["long_words"], out["short_words"] = _share(per_text(size > 12, first), count), _share(per_text(size <= 3, first), count)
     if len(h):
         np.maximum.at(out["max_word"], of, np.minimum(size, 100))
-        out["upper_words"] = _share(per_text(_UPPER[data[s]] & _UPPER[data[e - 1]] & (size > 1), first), count)
+        out["upper_words"] = _share(per_text(_UPPER[data[s]] & _UPPER[data[np.minimum(s + 1, e - 1)]] & (size > 1), first), count)
         out["caps_start"] = _share(per_text(_UPPER[data[s]], first), count)
         out["symbol_words"] = _share(per_text(~(_LETTER[data[e - 1]] | np.isin(data[e - 1], np.frombuffer(b".,;:?0123456789", np.uint8))), first), count)
         out["sentence_words"] = _share(per_text(data[e - 1] == 46, first), count)

@@ -1,5 +1,3 @@
-import zlib
-
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -19,7 +17,3 @@ def make(spark):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
-
-
-def crc(doc_id: int, n: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % n
