@@ -59,7 +59,8 @@ def _tiles(spark, sf) -> DataFrame:
 
 
 def _tested(spark, sf) -> DataFrame:
-    rows = funnel.structural_tests(_proposed(spark, sf), _atlas(spark, sf), v(spark, sf, "bricks"))
+    # Each test joins the candidates again, so what they are made from is kept, and lost parts of it are made anew.
+    rows = funnel.structural_tests(_proposed(spark, sf).persist(), _atlas(spark, sf), v(spark, sf, "bricks")).persist()
     tiles = _tiles(spark, sf)
     boxes = funnel.mask_box(rows, tiles.drop("failed"), v(spark, sf, "pixels"), WIDTH, 112.5, F.lit(2))
     return funnel.funnel(rows, tiles.where("failed"), boxes)
@@ -68,7 +69,8 @@ def _tested(spark, sf) -> DataFrame:
 def _finished(spark, sf) -> DataFrame:
     tested = _tested(spark, sf)
     key = F.col("parent_sga_id") * 8 + F.col("k")
-    done = tested.where(key % 10 != 3).select("parent_sga_id", "k", F.when(key % 10 == 7, "rejected").otherwise("written").alias("l_status"), F.when(key % 10 == 7, "coverage").alias("l_reason"))
+    every = v(spark, sf, "galaxies").select(F.col("sga_id").alias("parent_sga_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    done = every.where(key % 10 != 3).select("parent_sga_id", "k", F.when(key % 10 == 7, "rejected").otherwise("written").alias("l_status"), F.when(key % 10 == 7, "coverage").alias("l_reason"))
     return funnel.outcome(tested, done)
 
 
