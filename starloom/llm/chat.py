@@ -53,22 +53,40 @@ def levels(calls: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     """(conv_id, call_id, level) of calls (conv_id, call_id, after: ids that a call waits for): 0 without any, else one more
     than the highest of them.  Ids that name no call are not waited for; calls in or behind a cycle get no row.
 
-    One round of joins for each level; what is finished doesn't take part in the next round.
+    Calls that wait for one other form chains, whose ends are found by doubling pointers, in as many rounds as the longest
+    has binary digits.  What remains, the calls that wait for several, is settled level by level.
     """
-    waits = calls.select("conv_id", "call_id", F.explode("after").alias("on")).where("`on` is not null").distinct()
-    known = calls.select("conv_id", F.col("call_id").alias("on"))
-    waits = written(waits.join(known, ["conv_id", "on"], "left_semi"), "waits", True)
-    done = written(calls.select("conv_id", "call_id").join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "level", True)
-    total, fresh = done, done
+    key = ["conv_id", "call_id"]
+    waits = calls.select(*key, F.explode("after").alias("on")).where("`on` is not null").distinct()
+    waits = written(waits.join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi"), "waits", True)
+    one = written(waits.groupBy(*key).agg(F.count("*").alias("n"), F.min("on").alias("to")).where("n = 1").select(*key, "to", F.lit(1).cast("long").alias("far")), "chains", True)
+    chains = one
+    longest = one.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    for _ in range(longest.bit_length() + 1):
+        ahead = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        step = chains.join(ahead, ["conv_id", "to"], "left")
+        chains = written(step.select(*key, F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moved")), "chains", True)
+        if chains.where("moved").isEmpty():
+            break
+    chains = chains.select(*key, "to", "far").join(one.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_anti")  # else it goes round
+
+    several = waits.join(one.select(*key), key, "left_anti")
+    total = written(calls.select(*key).join(waits.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long")), "level", True)
+    ends = chains.select("conv_id", F.col("call_id").alias("on"), F.col("to").alias("end"), "far")
+    several = several.join(ends, ["conv_id", "on"], "left").select(*key, F.coalesce("end", "on").alias("on"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    several = written(several, "waits", True)
     for _ in range(most):
-        if waits.isEmpty() or fresh.isEmpty():
+        if several.isEmpty():
+            break
+        met = several.join(total.select("conv_id", F.col("call_id").alias("on"), "level"), ["conv_id", "on"], "left")
+        state = met.groupBy(*key).agg(F.count("*").alias("n"), F.count("level").alias("met"), F.max(F.col("level") + F.col("far")).alias("level"))
+        fresh = written(state.where("n = met").select(*key, "level"), "level", True)
+        if fresh.isEmpty():
             break
-        met = waits.join(total.select("conv_id", F.col("call_id").alias("on"), "level"), ["conv_id", "on"], "left")
-        state = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("met"), F.max("level").alias("top"))
-        fresh = written(state.where("n = met").select("conv_id", "call_id", (F.col("top") + 1).alias("level")), "level", True)
-        waits = written(waits.join(fresh, ["conv_id", "call_id"], "left_anti"), "waits", True)
-        total = total.union(fresh)
-    return total
+        several = written(several.join(fresh, key, "left_anti"), "waits", True)
+        total = written(total.union(fresh), "level", True)
+    ends = total.select("conv_id", F.col("call_id").alias("to"), "level")
+    return total.union(chains.join(ends, ["conv_id", "to"]).select(*key, F.col("level") + F.col("far")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -66,3 +66,16 @@ def test_long_chains(spark, depth):
     calls = [(1, k, str(k), "f", '{"x":1}', [str(k - 1)]) for k in range(depth)]
     got, _ = run(spark, calls, [(1, 100 + k, str(k), "r") for k in range(depth)])
     assert [got[1, k, "call"].place for k in range(depth)] == [2 * k for k in range(depth)]
+
+
+def test_levels_of_a_random_graph(spark):
+    import random
+
+    rng = random.Random(4)
+    after = {k: sorted({rng.randrange(k) for _ in range(rng.choice([1, 1, 1, 1, 2, 3]))}) if k else [] for k in range(60)}
+    after |= {70: [71], 71: [72], 72: [70], 73: [72], 74: [73, 1], 75: [74]}
+    df = spark.createDataFrame([(1, str(k), [str(x) for x in v]) for k, v in after.items()], "conv_id long, call_id string, after array<string>")
+    want: dict = {}
+    for k in range(60):
+        want[str(k)] = 1 + max((want[str(x)] for x in after[k]), default=-1)
+    assert {r.call_id: r.level for r in C.levels(df).collect()} == want
