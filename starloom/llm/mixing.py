@@ -71,9 +71,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = RE
     sized = written(docs.select("doc_id", "source", F.expr(f"regexp_count(coalesce(text, ''), '{_SPACED}')").cast("long").alias("size"), h.alias("h")), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = written(targets(per_source, weights, repeats).withColumn("fan", F.ceil(F.sqrt(F.col("n") / SHARD)).cast("long")), "sources")
-    everything = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.count("*").alias("sources"))
-    block = everything.select("words", F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.col("words") / (F.greatest("sources", F.lit(1)) * BLOCKS)))).cast("long").alias("block"))
-    plan = plan.crossJoin(F.broadcast(block)).withColumn("all", F.lit(0)).withColumn("seats", F.floor(F.col("words") / F.col("block") + 0.5).cast("long"))  # one row
+    words, sources = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).head()
+    block = max(1, min(BLOCK, words // (max(sources, 1) * BLOCKS)))
+    plan = plan.withColumn("block", F.lit(block).cast("long")).withColumn("all", F.lit(0)).withColumn("seats", F.lit(int(words / block + 0.5)).cast("long"))
     seats = apportion(plan, ["all"], ["source_no"], "target", "seats").withColumnRenamed("quota", "seats")
     plan = written(plan.drop("seats", "all").join(seats, "source_no"), "targets")
 
