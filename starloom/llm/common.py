@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -52,6 +53,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
+def tidy(work):
+    """work (a function over a task's batches) that hands free memory back at its end, as a Python worker lives on between tasks."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def key_filter(df: DataFrame, column: str, keys: DataFrame, size: int = BITMAP_WORDS) -> DataFrame:
     """Rows of df whose column may be among keys (one bigint column), by a bitmap of fixed size; the join that follows settles it.
 

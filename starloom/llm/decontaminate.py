@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read, small_batches, tidy
 from .textops import ALNUM, buffers, pieces, runs, words
 
 WINDOW, TOKEN = 10, 3
@@ -67,7 +67,7 @@ def token_counts(docs: DataFrame, tables: list, text: str) -> DataFrame:
             if (some := n > 0).any():
                 yield pa.record_batch({"token": pa.array(t[some].view(np.int64)), "n": pa.array(n[some])})
 
-    return docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 class _Index:
@@ -169,7 +169,7 @@ def _scan(flow: DataFrame, text: str, own: tuple, sent) -> DataFrame:
             columns[at[3]] = pa.array(items, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return flow.mapInArrow(scan, kinds)
+    return flow.mapInArrow(tidy(scan), kinds)
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

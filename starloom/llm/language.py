@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import read, small_batches
+from .common import read, small_batches, tidy
 from .quality import held_out
 from .textops import pieces
 
@@ -127,7 +127,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 b = np.flatnonzero(t[k])
                 yield pa.record_batch({"lang": pa.array(np.full(len(b), i, np.int32)), "size": pa.array(np.full(len(b), k, np.int32)), "bucket": pa.array(b.astype(np.int32)), "n": pa.array(t[k][b])})
 
-    counts = some.select(text, lang).mapInArrow(count, "lang int, size int, bucket int, n long").groupBy("lang", "size", "bucket").agg(F.sum("n").alias("n"))
+    counts = some.select(text, lang).mapInArrow(tidy(count), "lang int, size int, bucket int, n long").groupBy("lang", "size", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(languages), len(GRAMS), BUCKETS))
     got = counts.toArrow()
     table[got.column("lang").to_numpy(), got.column("size").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
@@ -173,7 +173,7 @@ def identified(docs: DataFrame, model: Model, keep: list[str], text: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), pa.array(np.concatenate(doubt) if doubt else [], pa.bool_())], names=[*keep, "lang_pred", "score", "ambiguous"])
 
     kinds = StructType([*flow.schema.fields[1:], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
-    return flow.mapInArrow(make, kinds)
+    return flow.mapInArrow(tidy(make), kinds)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, written
+from .common import read, small_batches, tidy, written
 from .decontaminate import _bitmap, _probe
 from .textops import ALNUM, pieces, words
 
@@ -87,7 +87,7 @@ def _statistics(files: DataFrame, t: _Templates) -> tuple[int, dict[int, int]]:
                 total += np.bincount(pair % len(t.words), minlength=len(t.words))
         yield pa.record_batch({"word": pa.array(np.append(t.words.view(np.int64), 0)), "n": pa.array(np.append(total, n)), "all": pa.array([False] * len(total) + [True])})
 
-    got = files.select("text").mapInArrow(count, "word long, n long, all boolean").groupBy("word", "all").agg(F.sum("n").alias("n")).collect()  # a row for each template word
+    got = files.select("text").mapInArrow(tidy(count), "word long, n long, all boolean").groupBy("word", "all").agg(F.sum("n").alias("n")).collect()  # a row for each template word
     return sum(r["n"] for r in got if r["all"]), {r["word"]: r["n"] for r in got if not r["all"]}
 
 
@@ -146,7 +146,7 @@ def scan(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE, keep: tu
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(name, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*keep, "own_license", "own_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flow.schema.fields[1:])
-    return flow.mapInArrow(make, f"{kinds}, own_license string, own_score double")
+    return flow.mapInArrow(tidy(make), f"{kinds}, own_license string, own_score double")
 
 
 def inherited(files: DataFrame, licence_file: str = r"(?i)(^|/)(licen[cs]e|copying)(\.[a-z]+)?$") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, key_filter, read, small_batches, written
+from .common import components, key_filter, read, small_batches, tidy, written
 from .textops import SPACED, mix, pieces, shingles, words
 
 WIDTH, PERCENT = 5, 75
@@ -97,7 +97,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 )
 
     kinds = "doc_id long, n_shingles long, k1 long, k2 long, signature binary, sketch binary, nodes array<long>"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, kinds)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(make), kinds)
 
 
 def _sets(column):
@@ -121,7 +121,7 @@ def _alike(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
                 yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(good))
 
     s = [sketch.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab"]
-    return pairs.join(s[1], "b").join(s[0], "a").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return pairs.join(s[1], "b").join(s[0], "a").select("a", "b", "sa", "sb").mapInArrow(tidy(test), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,7 +142,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, doc_id:
     ids = pairs.select("a").union(pairs.select("b"))
     d = written(key_filter(d, "doc_id", ids), "texts")
     t = [d.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab"]
-    return pairs.join(t[1], "b").join(t[0], "a").select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
+    return pairs.join(t[1], "b").join(t[0], "a").select("a", "b", "ta", "tb").mapInArrow(tidy(test), "a long, b long")
 
 
 def _grouped(batches):
@@ -187,7 +187,7 @@ def _meeting(rows: DataFrame, sketch: DataFrame) -> DataFrame:
     rows = written(rows.select("key", "node", "label", "tree", "part"), "within", True)
     keys = rows.groupBy("node").agg(F.collect_set("tree").alias("nodes"))  # a document has about TREES of them
     wide = rows.join(keys, "node").join(sketch.withColumnRenamed("doc_id", "node"), "node").select("key", "node", "label", "tree", "part", "sketch", "nodes")
-    return wide.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "key long, node long")
+    return wide.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(compare), "key long, node long")
 
 
 def _partners(rows) -> pa.RecordBatch:
@@ -256,7 +256,7 @@ def _linked(meeting: DataFrame, docs: DataFrame, percent: int, doc_id: str, text
     d = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
     d = written(key_filter(d, "node", meeting.select("node")), "texts")
     whole = meeting.join(d, "node").select("key", "node", "text")
-    return whole.repartition("key").sortWithinPartitions("key", "node").mapInArrow(test, "a long, b long")
+    return whole.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(test), "a long, b long")
 
 
 def _deeper(rows: DataFrame, feat: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _deeper(rows: DataFrame, feat: DataFrame) -> DataFrame:
                 yield pa.record_batch({"node": pa.array(batch.column(0).to_numpy()[row]), "key": pa.array(child.view(np.int64))})
 
     sig = feat.select(F.col("doc_id").alias("node"), "signature")
-    return rows.select("node", "key").join(sig, "node").select("node", "key", "signature").mapInArrow(make, "node long, key long")
+    return rows.select("node", "key").join(sig, "node").select("node", "key", "signature").mapInArrow(tidy(make), "node long, key long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

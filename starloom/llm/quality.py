@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import read, small_batches, written
+from .common import read, small_batches, tidy, written
 from .textops import SPACED, mix, pieces, words
 
 #: Labelled rows a model is fitted on at most: those with the smallest hashes, whole texts.
@@ -116,7 +116,7 @@ def with_statistics(docs: DataFrame, text: str, keep: list[str], name: str = "fe
                 yield pa.RecordBatch.from_arrays([*(c.slice(row, len(x)) for c in batch.columns[1:]), flat], names=[*keep, name])
 
     kinds = [f.simpleString().split(":", 1)[1] for f in flow.schema.fields[1:]]
-    return flow.mapInArrow(make, ", ".join(f"`{c}` {k}" for c, k in zip([*keep, name], [*kinds, "array<double>"], strict=True)))
+    return flow.mapInArrow(tidy(make), ", ".join(f"`{c}` {k}" for c, k in zip([*keep, name], [*kinds, "array<double>"], strict=True)))
 
 
 @dataclass
@@ -251,7 +251,7 @@ def scored(docs: DataFrame, model: Additive, keep: list[str], text: str = "text"
             score = [sent.value.score(statistics(data, offsets)) for _, data, offsets in pieces(batch.column(0), 1 << 21)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*keep, "__starloom_score"])
 
-    return flow.mapInArrow(make, StructType([*flow.schema.fields[1:], StructField("__starloom_score", DoubleType())]))
+    return flow.mapInArrow(tidy(make), StructType([*flow.schema.fields[1:], StructField("__starloom_score", DoubleType())]))
 
 
 def held_out(doc_id: str, n: int, rest: int):

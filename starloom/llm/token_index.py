@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_folder, small_batches
+from .common import read, shared_folder, small_batches, tidy, written
 from .textops import SPACED, mix, pieces, words
 
 END_ID = 1
 #: Documents of a shard, and keys of an index part, aimed at; both numbers of files grow with the table.
 SHARD_ROWS, PART_KEYS = 8192, 16384
 #: Words whose ids a worker remembers at most; those not met for long are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 _BUCKET_KEYS, _SEEDS = 4, 1 << 20
 _IDS, _MPH = b"SLTOK1\0\0", b"SLMPH1\0\0"
 
@@ -236,7 +236,7 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, key: str = "doc_id",
         shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer)
         keys, nulls, lengths, ids = [], [], [], []
         for batch in batches:
-            for _, data, offsets in pieces(batch.column(1), 1 << 23):
+            for _, data, offsets in pieces(batch.column(1), 1 << 22):
                 parts, n = encode(data, offsets, end_id)
                 ids += parts
                 lengths.append(n)
@@ -252,9 +252,7 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, key: str = "doc_id",
         _put(uri, f"ids/{shard:06d}.bin", [_IDS, np.array([len(length), int(length.sum()), encode.kind.itemsize], "<u8").tobytes(), head.astype("<u8").tobytes(), *ids])
         yield pa.record_batch({"k": pa.array(key_of, mask=null.astype(bool)), "shard": pa.array(np.full(len(length), shard), pa.int64()), "first": pa.array(first.astype(np.int64)), "n": pa.array(length.astype(np.int64))})
 
-    from .common import written
-
-    entries = written(ordered.select("k", "t").mapInArrow(put, "k long, shard long, first long, n long"), "entries")
+    entries = written(ordered.select("k", "t").mapInArrow(tidy(put), "k long, shard long, first long, n long"), "entries")
     sizes = {r["shard"]: r["n"] for r in entries.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     parts = max(1, -(-n // PART_KEYS))
     first = entries.where("k is not null").groupBy("k").agg(F.min(F.struct("shard", "first", "n")).alias("e"))
@@ -315,7 +313,7 @@ def read_store(spark: SparkSession, uri: str, manifest: dict) -> DataFrame:
 
     shards = spark.createDataFrame(manifest["shards"] or [], "shard long, base long")
     spread = shards.repartition(max(1, len(manifest["shards"])), "shard")
-    return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(load), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class Store:
