@@ -61,8 +61,9 @@ def pending(expected: DataFrame, present: DataFrame) -> DataFrame:
 def volume_report(samples: DataFrame, targets: DataFrame) -> DataFrame:
     """One row: samples and bytes written, bricks of the selection, bytes the whole selection would take."""
     done = samples.where("status = 'written'").agg(F.count("*").alias("n_samples"), F.sum("bytes").alias("sample_bytes"))
-    full = targets.agg(F.count("*").alias("n_targets"), F.countDistinct("brick").alias("n_bricks"))
-    return done.crossJoin(F.broadcast(full)).withColumn("extrapolated_bytes", F.col("sample_bytes") / F.nullif("n_samples", F.lit(0)) * F.col("n_targets"))  # one row each
+    full = targets.agg(F.count("*").alias("n_targets"), F.countDistinct("brick").alias("n_bricks")).withColumn("one", F.lit(1))
+    both = done.withColumn("one", F.lit(1)).join(full, "one").drop("one")
+    return both.withColumn("extrapolated_bytes", F.col("sample_bytes") / F.nullif("n_samples", F.lit(0)) * F.col("n_targets"))
 
 
 def spec_gate(spark: SparkSession, path: str, spec: dict) -> None:

@@ -27,7 +27,7 @@ def subsample(df: DataFrame, order: list[str], sample: int | None = None, limit:
     if sample:
         ranked = df.withColumn("_rank", F.row_number().over(W.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
         i = F.explode(F.sequence(F.lit(0), F.lit(sample - 1))).alias("_i")
-        picks = df.sparkSession.range(1).select(i).crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # sample rows, one row
+        picks = df.sparkSession.range(1).select(i, df.agg(F.count("*")).scalar().alias("_n"))
         step = F.rint(F.col("_i") * ((F.col("_n") - 1) / max(sample - 1, 1))) if sample > 1 else F.lit(0.0)
         picks = picks.select(step.cast("long").alias("_rank"), F.lit(True).alias("_picked")).distinct()
         df = ranked.join(F.broadcast(picks), "_rank", "left").where("_picked or _n <= " + str(sample)).drop("_rank", "_n", "_picked")  # sample rows

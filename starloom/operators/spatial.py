@@ -72,8 +72,8 @@ def blocked(positions: DataFrame, atlas: DataFrame, margin: float = 1.5) -> Data
 
     The atlas (sga_id, ra, dec, r26, ba, pa) is exploded by its own reach plus the largest extra.
     """
-    most = positions.agg(F.coalesce(F.max("extra"), F.lit(0.0)).alias("most"))
-    near = reaching(atlas.select("sga_id", F.col("ra").alias("gra"), F.col("dec").alias("gdec"), "r26", "ba", "pa").crossJoin(F.broadcast(most)), F.col("r26") * margin + F.col("most"), "gra", "gdec").drop("most")  # one row
+    most = positions.agg(F.coalesce(F.max("extra"), F.lit(0.0))).scalar()
+    near = reaching(atlas.select("sga_id", F.col("ra").alias("gra"), F.col("dec").alias("gdec"), "r26", "ba", "pa", (F.col("r26") * margin + most).alias("reach")), F.col("reach"), "gra", "gdec").drop("reach")
     east, north = tangent_offsets(F.col("ra"), F.col("dec"), F.col("gra"), F.col("gdec"), F.col("dec"))
     reach = F.col("r26") * margin
     close = (elliptical_radius(east, north, F.col("pa"), F.col("ba")) <= reach + F.col("extra") / F.col("ba")) & (F.hypot(east, north) <= reach + F.col("extra"))
@@ -88,8 +88,8 @@ def clear_of(positions: DataFrame, atlas: DataFrame, margin: float = 1.5) -> Dat
 
 def overlapping(positions: DataFrame, atlas: DataFrame, margin: float = 1.0) -> DataFrame:
     """(id, sga_id, sep): galaxies whose margin * r26 circle may reach the stamp (half_diag) at a position."""
-    most = positions.agg(F.coalesce(F.max("half_diag"), F.lit(0.0)).alias("most"))
-    near = reaching(atlas.select("sga_id", F.col("ra").alias("gra"), F.col("dec").alias("gdec"), "r26").crossJoin(F.broadcast(most)), F.col("r26") * margin + F.col("most"), "gra", "gdec", True)  # one row
+    most = positions.agg(F.coalesce(F.max("half_diag"), F.lit(0.0))).scalar()
+    near = reaching(atlas.select("sga_id", F.col("ra").alias("gra"), F.col("dec").alias("gdec"), "r26", (F.col("r26") * margin + most).alias("reach")), F.col("reach"), "gra", "gdec", True)
     sep = separation(F.col("ra"), F.col("dec"), F.col("gra"), F.col("gdec"))
     pairs = cell_of(positions.select("id", "ra", "dec", "half_diag")).join(near, ["cell_y", "cell_x"]).withColumn("sep", sep)
     return pairs.where(F.col("sep") <= F.col("r26") * margin + F.col("half_diag")).select("id", "sga_id", "sep")
