@@ -75,6 +75,35 @@ def write_sidecars(stars: DataFrame, path: str, key: str = "sga_id", overwrite:
     stars.write.mode("append").partitionBy(key).csv(path, header=True)
 
 
+def fixed(df: DataFrame, **digits: int) -> DataFrame:
+    """Doubles as text with so many digits after the point, for a text sink alone."""
+    return df.withColumns({c: F.format_string(f"%.{n}f", c) for c, n in digits.items()})
+
+
+def write_candidates(candidates: DataFrame, path: str) -> None:
+    """The public columns of candidates, written anew."""
+    public = ["parent_sga_id", "k", "ra", "dec", "pa_deg", "sep_arcsec", "size_px", "brick", "hemisphere", "in_parent_brick", "status", "reason"]
+    fixed(candidates.select(public), ra=6, dec=6, pa_deg=2, sep_arcsec=1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_companions(companions: DataFrame, path: str) -> None:
+    """file, companion_ratio and companion_sep_r26, sorted by file."""
+    rows = companions.select("file", "companion_ratio", "companion_sep_r26").orderBy("file")
+    fixed(rows, companion_ratio=4, companion_sep_r26=4).write.mode("overwrite").csv(path, header=True)
+
+
+def write_calibration(summary: DataFrame, fits: DataFrame, path: str) -> None:
+    """One JSON object: a summary and the fits of each band; bands are few, fits of a band are its stamps."""
+    by_band = fits.groupBy("band").agg(F.sort_array(F.collect_list(F.struct(*[c for c in fits.columns if c != "band"]))).alias("fits"))
+    rows = summary.join(by_band, "band").select("band", F.struct(*[c for c in summary.columns if c != "band"]).alias("summary"), "fits")
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A table as CSV with a header if its name says so, else as Parquet."""
+    df.write.mode("overwrite").csv(path, header=True) if path.endswith(".csv") else df.write.mode("overwrite").parquet(path)
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(name, length) of the files of a folder, without reading them."""
     files = spark.read.format("binaryFile").load(path)
@@ -88,8 +117,9 @@ def looks_whole(content: bytes, digest: str | None = None) -> bool:
     return content.startswith((b"SIMPLE  =", b"\x1f\x8b"))
 
 
-def fetch_one(url: str, dest: str, digest: str | None = None, retries: int = RETRIES, pause=time.sleep) -> tuple[int, str | None]:
-    """(bytes fetched, error): a file that is there is kept; a partial one is gone on with; a bad one is fetched anew."""
+def fetch_one(url: str, dest: str, digest: str | None = None, retries: int = RETRIES, pause=time.sleep, validate: bool = True) -> tuple[int, str | None]:
+    """(bytes fetched, error): a file that is there is kept; a partial one is gone on with; a bad one is fetched anew (unless
+    whatever comes is taken, as older image services have it)."""
     if os.path.exists(dest):
         return 0, None
     part, error = dest + ".part", None
@@ -105,7 +135,7 @@ def fetch_one(url: str, dest: str, digest: str | None = None, retries: int = RET
                     f.write(block)
             with open(part, "rb") as f:
                 content = f.read()
-            if looks_whole(content, digest):
+            if not validate or looks_whole(content, digest):
                 os.replace(part, dest)
                 return len(content) - have, None
             os.remove(part)

@@ -160,3 +160,38 @@ def test_fetch_goes_on_validates_and_gives_up(spark, tmp_path):
     assert files.fetch_one(f"{at}/bad", str(tmp_path / "bad"), retries=3, pause=waits.append) == (0, "content")
     assert asked[0] == ("/half", 100) and waits == [2, 4] and not (tmp_path / "bad").exists()
     server.shutdown()
+
+
+def test_a_galaxy_run_goes_on_where_it_stopped(spark, tmp_path):
+    from starloom.plans import catalogue, runs
+
+    sf, out = "/root/testdata/sf0.001", str(tmp_path / "run")
+    galaxies, bricks = catalogue.v(spark, sf, "galaxies"), catalogue.v(spark, sf, "bricks")
+    packed = catalogue.v(spark, sf, "pixels").withColumn("layers", layers.invalid().cast("int"))
+    s = runs.arguments(runs.Galaxies, ["--zcut", "0.04"])
+    n = runs.galaxy_run(spark, galaxies, bricks, packed, out, s)
+    assert n > 0 and runs.galaxy_run(spark, galaxies, bricks, packed, out, s) == 0
+    rows = files.ledger(spark, f"{out}/manifest").collect()
+    assert len(rows) == n and {r.status for r in rows} == {"written", "rejected"}
+    assert all((r.valid_frac < 0.8) == (r.reason == "coverage") for r in rows)
+    with pytest.raises(ValueError, match="other parameters"):
+        runs.galaxy_run(spark, galaxies, bricks, packed, out, runs.Galaxies(zcut=0.03))
+
+
+def test_seeded_candidates_and_sinks(spark, tmp_path):
+    from starloom.plans import catalogue, runs
+
+    sf = "/root/testdata/sf0.001"
+    c = runs.propose(catalogue.v(spark, sf, "galaxies"), catalogue.v(spark, sf, "bricks"), runs.arguments(runs.Backgrounds, ["--n-candidates", "3", "--limit", "20"]))
+    assert c.count() == 60 and {r.k for r in c.collect()} == {0, 1, 2}
+    assert {r.reason for r in c.collect()} <= {"", "footprint", "sga_overlap"}
+    files.write_candidates(c, str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 60
+    fits = spark.createDataFrame([("g", 2.0, 3.0, 0.1, 0.2), ("g", 3.0, 4.0, 0.1, 0.2), ("r", 2.5, 3.0, 0.1, 0.2)], "band string, beta double, fwhm_px double, tv_moffat double, tv_gauss double")
+    files.write_calibration(psf.summary(fits), fits, str(tmp_path / "psf"))
+    assert {r.band: len(r.fits) for r in spark.read.json(str(tmp_path / "psf")).collect()} == {"g": 2, "r": 1}
+    stars_ = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "sga_id long, s string, m double")
+    files.write_sidecars(stars_.limit(1), str(tmp_path / "side"))
+    files.write_sidecars(stars_, str(tmp_path / "side"))
+    assert spark.read.csv(str(tmp_path / "side"), header=True).count() == 2
+    assert {r.name[-4:] for r in files.listing(spark, str(tmp_path / "c" / "*.csv")).collect()} == {".csv"}
