@@ -46,7 +46,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
     taken = written(mixing.mix(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(times).alias("__starloom_times")), "taken")
-    joined = docs.join(taken, "doc_id", "left").withColumn("__starloom_times", F.coalesce("__starloom_times", F.lit(1)))
+    # Both sides grow with the documents: the join is a shuffled one at every size.
+    joined = docs.join(taken.hint("merge"), "doc_id", "left").withColumn("__starloom_times", F.coalesce("__starloom_times", F.lit(1)))
     copies = joined.where("__starloom_times > 0").withColumn("__starloom_copy", F.explode(F.sequence(F.lit(1), "__starloom_times")))
     return copies.select(docs.columns)
 
