@@ -110,11 +110,14 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-def looks_whole(content: bytes, digest: str | None = None) -> bool:
-    """Whether a download is what was asked for: its digest if one is known, else a FITS or gzip beginning."""
+def looks_whole(path: str, digest: str | None = None) -> bool:
+    """Whether a downloaded file is what was asked for: its digest if one is known, else whole FITS, compressed by gzip or not."""
     if digest:
-        return hashlib.sha256(content).hexdigest() == digest
-    return content.startswith((b"SIMPLE  =", b"\x1f\x8b"))
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest() == digest
+    from .fits import whole
+
+    return whole(path)
 
 
 def fetch_one(url: str, dest: str, digest: str | None = None, retries: int = RETRIES, pause=time.sleep, validate: bool = True) -> tuple[int, str | None]:
@@ -133,11 +136,9 @@ def fetch_one(url: str, dest: str, digest: str | None = None, retries: int = RET
             with urllib.request.urlopen(request, timeout=60) as answer, open(part, "ab" if have and answer.status == 206 else "wb") as f:
                 while block := answer.read(1 << 20):
                     f.write(block)
-            with open(part, "rb") as f:
-                content = f.read()
-            if not validate or looks_whole(content, digest):
+            if not validate or looks_whole(part, digest):
                 os.replace(part, dest)
-                return len(content) - have, None
+                return os.path.getsize(dest) - have, None
             os.remove(part)
             error = "content"
         except (urllib.error.URLError, OSError) as e:

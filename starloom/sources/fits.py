@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -70,6 +72,32 @@ def table(path: str) -> tuple[int, int, np.dtype, list[tuple[str, str, int]]]:
     raise ValueError(f"{path} has no binary table")
 
 
+def whole(path: str) -> bool:
+    """Whether a file, whatever its name, is FITS (or FITS in gzip) all of whose headers end and whose blocks are all there."""
+    try:
+        with open(path, "rb") as f:
+            packed = f.read(2) == b"\x1f\x8b"
+        with gzip.open(path, "rb") if packed else open(path, "rb") as f:
+            if f.read(9) != b"SIMPLE  =":
+                return False
+            f.seek(0)
+            while block := f.read(BLOCK):
+                cards = block
+                while len(block) == BLOCK and not any(block[at : at + 8] == b"END     " for at in range(0, BLOCK, CARD)):
+                    block = f.read(BLOCK)
+                    cards += block
+                if len(block) < BLOCK:
+                    return False
+                left = _padded(_size(header(io.BytesIO(cards))))
+                while left > 0:
+                    if not (block := f.read(min(left, 1 << 20))):
+                        return False
+                    left -= len(block)
+        return True
+    except (OSError, EOFError, ValueError, KeyError, zlib.error):
+        return False
+
+
 class _Rows(InputPartition):
     def __init__(self, first: int, n: int):
         self.first, self.n = first, n

@@ -195,3 +195,17 @@ def test_seeded_candidates_and_sinks(spark, tmp_path):
     files.write_sidecars(stars_, str(tmp_path / "side"))
     assert spark.read.csv(str(tmp_path / "side"), header=True).count() == 2
     assert {r.name[-4:] for r in files.listing(spark, str(tmp_path / "c" / "*.csv")).collect()} == {".csv"}
+
+
+def test_a_truncated_fits_file_is_not_whole(tmp_path):
+    import gzip
+
+    cards = lambda *c: "".join(x.ljust(80) for x in (*c, "END")).ljust(2880).encode()
+    good = cards("SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    0") + cards(
+        "XTENSION= 'BINTABLE'", "BITPIX  =                    8", "NAXIS   =                    2", "NAXIS1  =                  100", "NAXIS2  =                   50", "PCOUNT  =                    0", "GCOUNT  =                    1", "TFIELDS =                    1", "TFORM1  = '100A'"
+    ) + b"a" * 5000 + b"\0" * 760
+    packed = gzip.compress(good)
+    whole = {"good": good, "no-end.fits": good[:2000], "header": good[:4000], "data": good[:8000], "padding": good[:-1], "packed": packed, "packed-cut": packed[:-20], "page": b"<html>", "empty": b""}
+    for name, content in whole.items():
+        (tmp_path / name).write_bytes(content)
+    assert [n for n in whole if files.looks_whole(str(tmp_path / n))] == ["good", "packed"]
