@@ -23,7 +23,7 @@ def test_words_apart_give_the_ids_of_whole_texts(plain):
     for some in (TEXTS, [t for t in TEXTS if "<|" not in (t or "")]):
         data, offsets = buffers(pa.array(some, pa.string()))
         parts, n = e(data, offsets, 1)
-        ids = np.frombuffer(b"".join(parts), e.kind).tolist()
+        ids = np.concatenate(parts).tolist()
         want = [plain(t) for t in some]
         assert n.tolist() == [len(w) for w in want] and ids == sum(want, [])
 
@@ -33,12 +33,13 @@ def test_an_encoder_that_forgets_is_as_right(plain, monkeypatch):
     e = K._Encoder(K.tokenizer_path())
     for t in ["the cat sat", "on the mat.", "the cat, the mat"] * 3:
         data, offsets = buffers(pa.array([t]))
-        assert np.frombuffer(b"".join(e(data, offsets, 1)[0]), e.kind).tolist() == plain(t)
+        assert np.concatenate(e(data, offsets, 1)[0]).tolist() == plain(t)
 
 
 def test_the_store_reads_back_whole_and_by_key(spark, make, plain, monkeypatch):
     monkeypatch.setattr(K, "SHARD_ROWS", 5)
     monkeypatch.setattr(K, "PART_KEYS", 4)
+    monkeypatch.setattr(K, "SHARD_BYTES", 64)
     rows = [(i * 37 % 101 - 20, t) for i, t in enumerate(TEXTS * 3)]
     rows = list({r[0]: r for r in rows}.values())
     out, uri = K.token_index(make(rows))
@@ -49,7 +50,7 @@ def test_the_store_reads_back_whole_and_by_key(spark, make, plain, monkeypatch):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     store = K.Store(uri)
-    assert len(store.manifest["shards"]) > 1 and store.manifest["parts"] > 1
+    assert len(store.manifest["shards"]) > 6 and store.manifest["parts"] > 1
     for i, t in rows:
         assert store[i].tolist() == plain(t)
     for absent in (-1000, 5000, 2**40):
