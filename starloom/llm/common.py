@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Words of 64 bits in a key bitmap: at most 2 MB to broadcast, whatever the data.
 BITMAP_WORDS = 1 << 17
-#: Edges that one task joins up; a larger graph takes the distributed way.
+#: Edges that one task joins up (3 MB); a larger graph takes the distributed way.
 ONE_TASK = 200_000
+#: Bytes of its sources that a task reads at most where a narrow table is written.
+NARROW_BYTES = 1 << 26
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,20 +41,51 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation.
 
-    A narrow table (a few numbers a row) is written by four tasks a core at most, which spares many small files.
+    A narrow table (a few numbers a row) is written by four tasks a core, which spares many small files, or by as many as
+    it takes to read NARROW_BYTES of its sources each.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
     if narrow:
-        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, min(size // NARROW_BYTES, 1 << 20)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._starloom_path = path
+    if _scratch.open:
+        _scratch.open[-1].append(out)
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows and 16 MB, so that a Python worker's memory stays bounded for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+class _Scratch(threading.local):
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_scratch = _Scratch()
+
+
+@contextlib.contextmanager
+def scratch():
+    """What written makes within it goes at its end, but for the tables that the given function was called with."""
+    kept: list[DataFrame] = []
+    _scratch.open.append([])
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        made = _scratch.open.pop()
+        discard(*(t for t in made if not any(t is k for k in kept)))
+        if _scratch.open:
+            _scratch.open[-1].extend(kept)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that written made, once all that was read from them has been written itself."""
+    for t in tables:
+        if path := getattr(t, "_starloom_path", None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def tidy(work):

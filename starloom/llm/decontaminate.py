@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, tidy
+from .common import read, tidy
 from .textops import ALNUM, buffers, pieces, runs, words
 
 WINDOW, TOKEN = 10, 3
@@ -117,7 +117,6 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     Items come to the driver in blocks of so many windows; documents are never shuffled.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     own = ("__starloom_words", "__starloom_spans", "__starloom_items")
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in own]
     blocks, block = [], []

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import read, small_batches, tidy
+from .common import read, tidy
 from .quality import held_out
 from .textops import pieces
 
@@ -104,7 +104,6 @@ def decode(model: Model, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.n
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts n-grams by language over all docs with a language, however many; what comes to the driver is of fixed size per language."""
     spark = docs.sparkSession
-    small_batches(spark)
     some = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     languages = sorted(r[0] for r in some.select(F.col(lang)).distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
@@ -151,7 +150,6 @@ def identified(docs: DataFrame, model: Model, keep: list[str], text: str = "text
     A text that is null or has no letter is `und` with score 0; so is every text when no language has been learned.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    small_batches(docs.sparkSession)
     flow = docs.select(F.col(text).alias("_t"), *keep)
 
     def make(batches):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, tidy, written
+from .common import read, tidy, written
 from .decontaminate import _bitmap, _probe
 from .textops import ALNUM, pieces, words
 
@@ -131,7 +131,6 @@ def _best(t: _Templates, data: np.ndarray, offsets: np.ndarray, cosine: float):
 
 def scan(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """Columns keep of files, own_license and own_score: the template closest to any line of the text, null and 0 below the threshold."""
-    small_batches(files.sparkSession)
     t = _Templates(templates)
     t.weigh(*_statistics(files, t))
     flow = files.select("text", *keep)

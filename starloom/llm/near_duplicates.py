@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, key_filter, read, small_batches, tidy, written
+from .common import components, key_filter, read, scratch, tidy, written
 from .textops import SPACED, mix, pieces, shingles, words
 
 WIDTH, PERCENT = 5, 75
 #: Minwise values of a signature, trees, documents of a node compared exhaustively, levels of a tree.
-VALUES, TREES, LIMIT, DEPTH = 128, 10, 2000, 3
+VALUES, TREES, LIMIT, DEPTH = 128, 10, 280, 5
 #: Sketch bytes (of VALUES) that two documents at the threshold share but for one pair in 100,000.
 ALIKE = 74
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -58,7 +58,6 @@ def branch(node: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, k1 and k2 (hash of the set), signature, sketch (its low bytes) and nodes (children of all roots)."""
-    small_batches(docs.sparkSession)
 
     def make(batches):
         for batch in batches:
@@ -137,10 +136,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, doc_id:
                     good[at + k] = n > 0 and 100 * n >= percent * (len(x) + len(y) - n)
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(good))
 
-    small_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ids = pairs.select("a").union(pairs.select("b"))
-    d = written(key_filter(d, "doc_id", ids), "texts")
+    d = written(key_filter(d, "doc_id", ids).distinct(), "texts")
     t = [d.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab"]
     return pairs.join(t[1], "b").join(t[0], "a").select("a", "b", "ta", "tb").mapInArrow(tidy(test), "a long, b long")
 
@@ -252,9 +250,8 @@ def _linked(meeting: DataFrame, docs: DataFrame, percent: int, doc_id: str, text
             if (root != node).any():
                 yield pa.record_batch({"a": pa.array(node[root != node]), "b": pa.array(root[root != node])})
 
-    small_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
-    d = written(key_filter(d, "node", meeting.select("node")), "texts")
+    d = written(key_filter(d, "node", meeting.select("node")).distinct(), "texts")
     whole = meeting.join(d, "node").select("key", "node", "text")
     return whole.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(test), "a long, b long")
 
@@ -268,8 +265,7 @@ def _deeper(rows: DataFrame, feat: DataFrame) -> DataFrame:
                 row, child = branch(batch.column(1).to_numpy().view(np.uint64), _matrix(batch.column(2), np.uint32))
                 yield pa.record_batch({"node": pa.array(batch.column(0).to_numpy()[row]), "key": pa.array(child.view(np.int64))})
 
-    sig = feat.select(F.col("doc_id").alias("node"), "signature")
-    return rows.select("node", "key").join(sig, "node").select("node", "key", "signature").mapInArrow(tidy(make), "node long, key long")
+    return rows.select("node", "key").join(feat.select("node", "signature"), "node").select("node", "key", "signature").mapInArrow(tidy(make), "node long, key long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,64 +273,69 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a text of fewer than five words is one
     shingle.  A null text or one without words has an empty set, n_shingles 0, links with nothing and stays.
-    Documents with equal sets are one class, stood for by its smallest id, from the start; so rows that are repeated get
-    the same result each.  A row without an id takes its class's smallest id as component and is never kept.
+    Documents with equal sets are one class, stood for by one row with its smallest id, from the start; so rows that are
+    repeated cost and get the same each.  Rows that repeat an id with other texts belong to their texts' classes; two
+    classes with the same smallest id are one node that links as either does.  A row without an id takes its class's smallest id as component and is never kept.
     Columns other than the two aren't read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    feat = written(features(docs, doc_id, text), "features")
-    classes = written(feat.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes", True)
-    sketch = feat.select("doc_id", "sketch").where("sketch is not null")
-    rows = feat.select("k1", "k2", F.col("doc_id").alias("node"), "nodes").join(classes, ["k1", "k2", "node"]).select("node", F.explode("nodes").alias("key"))
-    links: list[DataFrame] = []
-    labels: DataFrame | None = None
-
-    def labelled(df: DataFrame) -> DataFrame:
-        if labels is None:
-            return df.withColumn("label", F.col("node"))
-        return df.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-
-    def confirm(candidates: DataFrame, test) -> None:
-        """Adds the links that test finds for candidates, and brings the labels up to date."""
-        nonlocal labels
-        candidates = written(candidates, "candidates", True)
-        if candidates.isEmpty():
-            return
-        found = written(test(candidates, docs, percent, doc_id, text), "links", True)
-        if not found.isEmpty():
-            links.append(found)
-            labels = written(components(reduce(DataFrame.union, links)), "labels", True)
-
-    for level in range(1, DEPTH + 1):
-        rows = written(rows, "nodes", True)
-        stats = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "stats", True)
-        multi = written(rows.join(stats, "key"), "multi", True)
-        pairs = labelled(multi).where("node <> leader and label <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        if level in (1, DEPTH):
-            confirm(_alike(pairs, sketch).groupBy("a").agg(F.min("b").alias("b")), confirmed)
-        multi = labelled(multi)
-        unlike = written(multi.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "unlike", True)
-        multi = multi.join(unlike, "key")
-        small = multi.where(F.col("n") <= LIMIT).withColumn("tree", F.col("key")).withColumn("part", F.lit(None).cast("long"))
-        confirm(_meeting(small, sketch), _linked)
-        rest = written(multi.where(F.col("n") > LIMIT).select("node", "key", "n"), "rest", True)
-        if rest.isEmpty():
-            break
-        if level < DEPTH:
-            rows = _deeper(rest, feat)
-    else:  # nodes that stay large: pairs of parts of them, each of bounded size
-        parts = F.ceil(F.col("n") / (LIMIT // 2))
-        mine = F.pmod(F.xxhash64("node"), parts)
-        split = labelled(rest).select("node", "label", F.col("key").alias("tree"), mine.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("o"))
-        # Under its own number a part is held against itself, so that its rows count as parts of their own there.
-        part = F.when(F.col("c") != F.col("o"), F.col("c"))
-        split = split.select("node", "label", "tree", part.alias("part"), F.xxhash64("tree", F.least("c", "o"), F.greatest("c", "o")).alias("key"))
-        confirm(_meeting(split, sketch), _linked)
-
-    found = labels if labels is not None else spark.createDataFrame([], "node long, component long")
-    named = feat.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    with scratch() as keep:
+        feat = written(features(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "features")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")
+        classes = written(feat.where("n_shingles > 0").groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("f.doc_id").alias("node"), "f.row"), "classes", True)
+        reps = feat.select("row", "signature", "sketch", "nodes").join(classes.where("node is not null").select("row", "node"), "row")
+        sketch = written(reps.select(F.col("node").alias("doc_id"), "sketch"), "sketches")
+        rows = reps.select("node", F.explode("nodes").alias("key"))
+        links: list[DataFrame] = []
+        labels: DataFrame | None = None
+
+        def labelled(df: DataFrame) -> DataFrame:
+            if labels is None:
+                return df.withColumn("label", F.col("node"))
+            return df.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+        def confirm(candidates: DataFrame, test) -> None:
+            """Adds the links that test finds for candidates, and brings the labels up to date."""
+            nonlocal labels
+            candidates = written(candidates, "candidates", True)
+            if candidates.isEmpty():
+                return
+            found = written(test(candidates, docs, percent, doc_id, text), "links", True)
+            if not found.isEmpty():
+                links.append(found)
+                labels = written(components(reduce(DataFrame.union, links)), "labels", True)
+
+        for level in range(1, DEPTH + 1):
+            rows = written(rows, "nodes", True)
+            stats = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "stats", True)
+            multi = written(rows.join(stats, "key"), "multi", True)
+            pairs = labelled(multi).where("node <> leader and label <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+            if level in (1, DEPTH):
+                confirm(_alike(pairs, sketch).groupBy("a").agg(F.min("b").alias("b")), confirmed)
+            multi = labelled(multi)
+            unlike = written(multi.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "unlike", True)
+            multi = multi.join(unlike, "key")
+            small = multi.where(F.col("n") <= LIMIT).withColumn("tree", F.col("key")).withColumn("part", F.lit(None).cast("long"))
+            confirm(_meeting(small, sketch), _linked)
+            rest = written(multi.where(F.col("n") > LIMIT).select("node", "key", "n"), "rest", True)
+            if rest.isEmpty():
+                break
+            if level < DEPTH:
+                rows = _deeper(rest, reps)
+        else:  # nodes that stay large: pairs of parts of them, each of bounded size
+            parts = F.ceil(F.col("n") / (LIMIT // 2))
+            mine = F.pmod(F.xxhash64("node"), parts)
+            split = labelled(rest).select("node", "label", F.col("key").alias("tree"), mine.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("o"))
+            # Under its own number a part is held against itself, so that its rows count as parts of their own there.
+            part = F.when(F.col("c") != F.col("o"), F.col("c"))
+            split = split.select("node", "label", "tree", part.alias("part"), F.xxhash64("tree", F.least("c", "o"), F.greatest("c", "o")).alias("key"))
+            confirm(_meeting(split, sketch), _linked)
+
+        keep(feat, classes, labels)
+        found = labels if labels is not None else spark.createDataFrame([], "node long, component long")
+        named = feat.select("doc_id", "n_shingles", "k1", "k2").join(classes.drop("row"), ["k1", "k2"], "left").join(found, "node", "left")
+        component = F.coalesce("component", "node", "doc_id")
+        return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import read, small_batches, tidy, written
+from .common import read, tidy, written
 from .textops import SPACED, mix, pieces, words
 
 #: Labelled rows a model is fitted on at most: those with the smallest hashes, whole texts.
@@ -105,7 +105,6 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text: str, keep: list[str], name: str = "features") -> DataFrame:
     """Columns keep of docs and an array of statistics of the text."""
-    small_batches(docs.sparkSession)
     flow = docs.select(F.col(text).alias("_t"), *keep)
 
     def make(batches):
@@ -243,7 +242,6 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def scored(docs: DataFrame, model: Additive, keep: list[str], text: str = "text") -> DataFrame:
     """Columns keep of docs and score.  A null text counts as empty; an empty text has a score like any other."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    small_batches(docs.sparkSession)
     flow = docs.select(F.col(text).alias("_t"), *keep)
 
     def make(batches):

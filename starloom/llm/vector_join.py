@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read, small_batches, written
+from .common import components, read, written
 from .textops import mix
 
 COSINE = 0.98
@@ -127,7 +127,6 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     Equal vectors are one class with its smallest id standing for it; repeated rows count as vectors of their own.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
     flow, kind = _cleaned(vectors, vec_id, embedding, label)
     base = written(flow, "vectors")

@@ -90,6 +90,34 @@ def test_nulls_empty_texts_repeats_and_short_texts(make):
     assert sorted(nulls, key=str) == sorted([(7, False), (None, False)], key=str)
 
 
+def test_a_row_repeated_a_thousand_times_costs_as_one(make):
+    base = [f"x{i}" for i in range(80)]
+    near = [" ".join([*base[: 20 + k], f"y{k}", *base[21 + k :]]) for k in range(40)]
+    half = [" ".join([*base[:45], *(f"z{k}_{i}" for i in range(40))]) for k in range(20)]
+    rows = [(5, " ".join(base))] * 1000 + [(10 + k, t) for k, t in enumerate(near)] + [(100 + k, t) for k, t in enumerate(half)] + [(3, near[7])] * 200
+    got = N.near_duplicates(make(rows)).collect()
+    assert len(got) == len(rows)
+    want = brute([(r, t) for r, t in dict(rows).items()])
+    assert all(r.component_id == want[r.doc_id] for r in got)
+    assert {r.doc_id for r in got if r.kept} == {3, *range(100, 120)}
+
+
+def test_an_id_with_two_texts(make):
+    a, b, c = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    got = sorted((r.doc_id, r.component_id) for r in N.near_duplicates(make([(7, a), (7, b), (3, a), (9, b), (1, b + " x"), (1, c)])).collect())
+    assert got == [(1, 1), (1, 1), (3, 3), (7, 1), (7, 3), (9, 1)]
+
+
+def test_nothing_is_left_behind_but_what_the_result_reads(make, monkeypatch, tmp_path):
+    from starloom.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}{next(counter)}")
+    counter = iter(range(1000))
+    out = N.near_duplicates(make(corpus(4, 30)))
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"features", "classes", "labels"}
+    assert out.count() == 30
+
+
 def test_empty_table(make):
     assert N.near_duplicates(make([])).collect() == []
 
