@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,51 @@ from .common import read, written
 
 #: JSON types of a schema's properties; an integer is a number too, a boolean neither.
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
-MOST_LEVELS = 10_000
+#: Waits of a conversation up to which one task orders its calls; those of a larger one are settled level by level.
+GATHER = 100_000
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+class Refused(ValueError):
+    """JSON that can't be written canonically; says why."""
+
+
+def _integer(digits: str) -> int:
+    if len(digits) > 4000:
+        raise Refused("number too long")
+    return int(digits)
+
+
+def _constant(name: str):
+    raise Refused("not JSON")
+
+
+def parsed(text: str):
+    """The value of a JSON text; of repeated keys the last counts.  Raises Refused."""
+    try:
+        return json.loads(text, parse_int=_integer, parse_constant=_constant)
+    except Refused:
+        raise
+    except RecursionError:
+        raise Refused("nested too deeply") from None
+    except ValueError:
+        raise Refused("not JSON") from None
 
 
 def canonical(value) -> str:
-    """JSON with keys in code-point order, no spaces, no escapes but the needed ones; NaN and infinities are refused."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with keys in code-point order, no spaces, no escapes but the needed ones.  Numbers keep their kind, so that 1 and
+    1.0 differ; half of a surrogate pair is escaped; infinite numbers and too deep values raise Refused."""
+    try:
+        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except RecursionError:
+        raise Refused("nested too deeply") from None
+    except ValueError:
+        raise Refused("number out of range") from None
+    return _escaped(text)
+
+
+def _escaped(text: str) -> str:
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def violation(value, schema: dict, at: str = "$") -> str | None:
@@ -49,12 +90,13 @@ def violation(value, schema: dict, at: str = "$") -> str | None:
     return None
 
 
-def levels(calls: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+def levels(calls: DataFrame, gather: int = GATHER) -> DataFrame:
     """(conv_id, call_id, level) of calls (conv_id, call_id, after: ids that a call waits for): 0 without any, else one more
     than the highest of them.  Ids that name no call are not waited for; calls in or behind a cycle get no row.
 
     Calls that wait for one other form chains, whose ends are found by doubling pointers, in as many rounds as the longest
-    has binary digits.  What remains, the calls that wait for several, is settled level by level.
+    has binary digits.  What remains, the calls that wait for several, is ordered by one task for each conversation, or level
+    by level where it has more than gather waits.
     """
     key = ["conv_id", "call_id"]
     waits = calls.select(*key, F.explode("after").alias("on")).where("`on` is not null").distinct()
@@ -74,28 +116,71 @@ def levels(calls: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     total = written(calls.select(*key).join(waits.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long")), "level", True)
     ends = chains.select("conv_id", F.col("call_id").alias("on"), F.col("to").alias("end"), "far")
     several = several.join(ends, ["conv_id", "on"], "left").select(*key, F.coalesce("end", "on").alias("on"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    several = several.join(total.select("conv_id", F.col("call_id").alias("on"), "level"), ["conv_id", "on"], "left").select(*key, "on", "far", "level")
     several = written(several, "waits", True)
-    for _ in range(most):
-        if several.isEmpty():
-            break
-        met = several.join(total.select("conv_id", F.col("call_id").alias("on"), "level"), ["conv_id", "on"], "left")
-        state = met.groupBy(*key).agg(F.count("*").alias("n"), F.count("level").alias("met"), F.max(F.col("level") + F.col("far")).alias("level"))
+    size = written(several.groupBy("conv_id").agg(F.count("*").alias("n")), "sizes", True)
+    small = several.join(size.where(F.col("n") <= gather).select("conv_id"), "conv_id").repartition("conv_id").sortWithinPartitions("conv_id")
+    kinds = {f.name: f.dataType.simpleString() for f in several.schema}
+    found = [total, small.select(*key, "on", "far", "level").mapInArrow(_ordered, f"conv_id {kinds['conv_id']}, call_id {kinds['call_id']}, level long")]
+    several = written(several.join(size.where(F.col("n") > gather).select("conv_id"), "conv_id").select(*key, "on", "far", "level"), "waits", True)
+    while not several.isEmpty():
+        state = several.groupBy(*key).agg(F.count("*").alias("n"), F.count("level").alias("met"), F.max(F.col("level") + F.col("far")).alias("level"))
         fresh = written(state.where("n = met").select(*key, "level"), "level", True)
         if fresh.isEmpty():
             break
-        several = written(several.join(fresh, key, "left_anti"), "waits", True)
-        total = written(total.union(fresh), "level", True)
+        found.append(fresh)
+        rest = several.join(fresh.select(*key), key, "left_anti").join(fresh.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("got")), ["conv_id", "on"], "left")
+        several = written(rest.select(*key, "on", "far", F.coalesce("level", "got").alias("level")), "waits", True)
+        if len(found) > 50:
+            found = [written(reduce(DataFrame.union, found), "level", True)]
+    total = written(reduce(DataFrame.union, found), "level", True)
     ends = total.select("conv_id", F.col("call_id").alias("to"), "level")
     return total.union(chains.join(ends, ["conv_id", "to"]).select(*key, F.col("level") + F.col("far")))
 
 
+def _ordered(batches):
+    """Levels of the calls (conv_id, call_id, on, far, level of on if known) of whole conversations, sorted by conversation."""
+    conv, rows = None, []
+
+    def settled():
+        waits, behind, level = {}, {}, {}
+        for call, on, far, known in rows:
+            level.setdefault(call, 0)
+            waits.setdefault(call, 0)
+            if known is not None:
+                level[call] = max(level[call], known + far)
+            else:
+                waits[call] += 1
+                behind.setdefault(on, []).append((call, far))
+        ready = [c for c, n in waits.items() if not n]
+        for c in ready:  # grows as calls become ready
+            for call, far in behind.get(c, ()):
+                level[call] = max(level[call], level[c] + far)
+                waits[call] -= 1
+                if not waits[call]:
+                    ready.append(call)
+        return pa.RecordBatch.from_arrays([pa.array([conv] * len(ready), kind[0]), pa.array(ready, kind[1]), pa.array([level[c] for c in ready], pa.int64())], names=["conv_id", "call_id", "level"])
+
+    for batch in batches:
+        kind = batch.schema.types
+        for c, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if c != conv and rows:
+                yield settled()
+                rows = []
+            conv = c
+            rows.append(row)
+    if rows:
+        yield settled()
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row for each call and result: conv_id, turn, kind, call_id, status, problem, place, json.
 
     calls: conv_id, turn, call_id, name, arguments (JSON), after (array of call ids).  results: conv_id, turn, call_id,
     content.  status of a call: `repeated` if its conversation has its id more than once, `unanswered` without a result,
     `cycle` if it waits for itself, `invalid` if its arguments aren't JSON or break its function's schema (problem says
-    where; an unknown function is a problem too), else `ok`.  status of a result: `orphan` without a call, `repeated` if
+    where; an unknown function is a problem too; so are numbers of over 4,000 digits or beyond a double, and
+    too deep nesting, whose arguments are then written as the string they came as), else `ok`.  status of a result: `orphan` without a call, `repeated` if
     call or result is there more than once, else `ok`.  place is twice the call's level, and one more for its result, so
     that sorting a conversation by (place, turn) is a topological order; null where there is none.  Null ids link with
     nothing: such calls are unanswered, such results orphans.  A null content is the JSON null.
@@ -119,18 +204,20 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 problem = None
                 if kind == "call":
                     try:
-                        value = json.loads(body) if body is not None else None
+                        value = parsed(body) if body is not None else None
                         text = canonical(value)
                         problem = violation(value, schemas[name]) if name in schemas else "unknown function"
-                    except ValueError:
-                        problem, text = "not JSON", canonical(body)
+                    except Refused as e:
+                        problem, text = str(e), canonical(body)
+                    except RecursionError:
+                        problem, text = "nested too deeply", canonical(body)
                     state = "repeated" if (n_calls or 0) > 1 else "unanswered" if not n_results else "cycle" if level is None else "invalid" if problem else "ok"
                     texts.append(f'{{"arguments":{text},"id":{canonical(call_id)},"name":{canonical(name)},"type":"call"}}')
                 else:
                     state = "orphan" if not n_calls else "repeated" if n_calls > 1 or n_results > 1 else "ok"
                     texts.append(f'{{"content":{canonical(body)},"id":{canonical(call_id)},"type":"result"}}')
                 status.append(state)
-                problems.append(problem)
+                problems.append(problem and _escaped(problem))
                 places.append(None if level is None or state in ("repeated", "orphan") else 2 * level + (kind == "result"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(status, pa.string()), pa.array(problems, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], names=["conv_id", "turn", "kind", "call_id", "status", "problem", "place", "json"])
 

@@ -53,6 +53,15 @@ def test_linking_order_and_problems(spark):
         assert r.place is None or kind == "call" or r.place % 2 == 1, conv
 
 
+def test_json_that_is_hard_to_write(spark):
+    bodies = ['{"x":"\\ud800"}', "[" * 20_000 + "]" * 20_000, '{"x":' + "9" * 5000 + "}", '{"x":1e999}', '{"x":NaN}', '{"x":1,"x":2}', '{"x":1.0}', '{"\\udfff":1}', "x" * 3_000_000]
+    got, _ = run(spark, [(1, k, str(k), "f", b, []) for k, b in enumerate(bodies)], [(1, 100 + k, str(k), "r") for k in range(len(bodies))])
+    assert [got[1, k, "call"].problem for k in range(len(bodies))] == [None, "nested too deeply", "number too long", "number out of range", "not JSON", None, None, "$.x: missing", "not JSON"]
+    assert got[1, 0, "call"].json.startswith('{"arguments":{"x":"\\ud800"}') and got[1, 5, "call"].json.startswith('{"arguments":{"x":2}') and got[1, 6, "call"].json.startswith('{"arguments":{"x":1.0}')
+    for k in range(len(bodies)):
+        assert json.loads(got[1, k, "call"].json)["id"] == str(k)
+
+
 def test_empty_tables_and_conversations(spark):
     assert run(spark, [], [])[1] == 0
     m = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", None), (1, 3, "user", None), (2, 0, "assistant", "x"), (None, 1, "user", "q")], "conv_id long, turn long, role string, text string")
@@ -68,14 +77,23 @@ def test_long_chains(spark, depth):
     assert [got[1, k, "call"].place for k in range(depth)] == [2 * k for k in range(depth)]
 
 
-def test_levels_of_a_random_graph(spark):
+def test_a_deep_graph_in_one_task(spark):
+    after = {k: [str(x) for x in (k - 1, k - 2) if x >= 0] for k in range(300)}
+    df = spark.createDataFrame([(c, str(k), v) for c in (1, 2) for k, v in after.items()], "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in C.levels(df).collect()}
+    assert got == {(c, str(k)): k for c in (1, 2) for k in range(300)}
+
+
+@pytest.mark.parametrize("gather", [0, 10**6])
+def test_levels_of_a_random_graph(spark, gather):
     import random
 
     rng = random.Random(4)
     after = {k: sorted({rng.randrange(k) for _ in range(rng.choice([1, 1, 1, 1, 2, 3]))}) if k else [] for k in range(60)}
+    after = after if gather else {k: v for k, v in after.items() if k < 25}
     after |= {70: [71], 71: [72], 72: [70], 73: [72], 74: [73, 1], 75: [74]}
     df = spark.createDataFrame([(1, str(k), [str(x) for x in v]) for k, v in after.items()], "conv_id long, call_id string, after array<string>")
     want: dict = {}
-    for k in range(60):
+    for k in range(60 if gather else 25):
         want[str(k)] = 1 + max((want[str(x)] for x in after[k]), default=-1)
-    assert {r.call_id: r.level for r in C.levels(df).collect()} == want
+    assert {r.call_id: r.level for r in C.levels(df, gather).collect()} == want
