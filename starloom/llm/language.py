@@ -26,7 +26,9 @@ MOST_BITS, MOST_LANGUAGES = 64, 4096
 #: A win by less probability than this is ambiguous.
 NARROW = 0.2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+#: Bytes of a long text whose n-grams are held at once.
+BLOCK = 1 << 21
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32  # digits, punctuation and white space all end a word alike
@@ -51,6 +53,24 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.n
     return out, offsets + np.arange(n + 1)
 
 
+def gram_blocks(data: np.ndarray, offsets: np.ndarray):
+    """The same in parts of bounded size: a run of texts whole, a long text alone in several parts of offsets [0, n]."""
+    if len(offsets) > 2 or len(data) <= BLOCK:
+        yield grams(data, offsets)
+        return
+    for lo in range(0, len(data), BLOCK):
+        hi = min(lo + BLOCK, len(data))
+        before = min(lo, 1)  # a letter of two bytes may lie across the cut
+        part = data[lo - before : hi + max(GRAMS) - 1]
+        found, _ = grams(part, np.array([0, len(part)]))
+        n = hi - lo + (hi == len(data))
+        yield [x[before : before + n] for x in found], np.array([0, n])
+
+
+def lettered(text: str | None) -> bool:
+    return text is not None and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def codewords(n: int) -> np.ndarray:
     """(n, bits) of +1 and -1: all splits of up to six languages, else random ones kept far apart."""
     if n <= 6:
@@ -79,13 +99,13 @@ class Model:
 
 def margins(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(texts, bits): mean evidence of a text's n-grams."""
-    found, at = grams(data, offsets)
-    n = np.diff(at)
-    total = np.zeros((len(n), model.code.shape[1]))
-    for k, bucket in enumerate(found):
-        if len(bucket):
-            total += np.add.reduceat(model.evidence[k][bucket], at[:-1], axis=0)
-    return total / np.maximum(n, 1)[:, None] / len(found)
+    n, total = np.zeros(len(offsets) - 1), np.zeros((len(offsets) - 1, model.code.shape[1]))
+    for found, at in gram_blocks(data, offsets):
+        n += np.diff(at)
+        for k, bucket in enumerate(found):
+            if len(bucket):
+                total += np.add.reduceat(model.evidence[k][bucket], at[:-1], axis=0, dtype=np.float64)
+    return total / np.maximum(n, 1)[:, None] / len(GRAMS)
 
 
 def decode(model: Model, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,12 +135,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         for batch in batches:
             of = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
             for row, data, offsets in pieces(batch.column(0), 1 << 20):
-                found, at = grams(data, offsets)
-                mine = np.repeat(of[row : row + len(offsets) - 1], np.diff(at))
-                for i in np.unique(mine).tolist():
-                    for k, bucket in enumerate(found):
-                        t = total.setdefault(i, np.zeros((len(GRAMS), BUCKETS), np.int64))
-                        t[k] += np.bincount(bucket[mine == i], minlength=BUCKETS)
+                for found, at in gram_blocks(data, offsets):
+                    mine = np.repeat(of[row : row + len(offsets) - 1], np.diff(at))
+                    for i in np.unique(mine).tolist():
+                        for k, bucket in enumerate(found):
+                            t = total.setdefault(i, np.zeros((len(GRAMS), BUCKETS), np.int64))
+                            t[k] += np.bincount(bucket[mine == i], minlength=BUCKETS)
         for i, t in total.items():
             for k in range(len(GRAMS)):
                 b = np.flatnonzero(t[k])
@@ -159,15 +179,15 @@ def identified(docs: DataFrame, model: Model, keep: list[str], text: str = "text
             score, doubt = [], []
             for row, data, offsets in pieces(batch.column(0), 1 << 20):
                 some = batch.column(0).slice(row, len(offsets) - 1).to_pylist()
-                lettered = np.array([t is not None and _LETTER.search(t) is not None for t in some])
+                letters = np.array([lettered(t) for t in some])
                 if model.languages:
                     m = margins(model, data, offsets)
                     best, p, close = decode(model, m, np.diff(offsets))
                 else:
-                    best, p, close, lettered = np.zeros(len(some), int), np.zeros(len(some)), np.zeros(len(some), bool), np.zeros(len(some), bool)
-                names += [model.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-                score.append(np.where(lettered, p, 0.0))
-                doubt.append(np.where(lettered, close, True))
+                    best, p, close, letters = np.zeros(len(some), int), np.zeros(len(some)), np.zeros(len(some), bool), np.zeros(len(some), bool)
+                names += [model.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+                score.append(np.where(letters, p, 0.0))
+                doubt.append(np.where(letters, close, True))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), pa.array(np.concatenate(doubt) if doubt else [], pa.bool_())], names=[*keep, "lang_pred", "score", "ambiguous"])
 
     kinds = StructType([*flow.schema.fields[1:], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])

@@ -58,3 +58,16 @@ def test_query_holds_out_a_third_and_is_right_on_it(spark, sf):
     held = [r for r in got if r.held_out]
     assert {r.doc_id for r in held} == {i for i in lang if crc(i, 3) == 1}
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.95
+
+
+def test_numerals_are_no_letters():
+    assert [L.lettered(t) for t in (None, "", "½ ²", "①", "12 _", "é", "漢", "a")] == [False] * 5 + [True] * 3
+
+
+def test_a_long_text_in_parts_has_the_same_grams(monkeypatch):
+    data = np.frombuffer("Ünïted ÀÉ straße, x ".encode() * 50, np.uint8)
+    whole, at = L.grams(data, np.array([0, len(data)]))
+    for block in (7, 64, 100, 999):
+        monkeypatch.setattr(L, "BLOCK", block)
+        parts = [f for f, _ in L.gram_blocks(data, np.array([0, len(data)]))]
+        assert len(parts) > 1 and all((np.concatenate([p[k] for p in parts]) == whole[k]).all() for k in range(len(whole)))
