@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, tidy
+from .common import discard, read, tidy, written
 from .textops import ALNUM, buffers, pieces, runs, words
 
 WINDOW, TOKEN = 10, 3
@@ -114,28 +114,41 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
     A null or empty text has no words and no hit.  Items that are null or have no words match nothing; items with the same
     id count once.  Repeated documents are judged each by itself.  Without items every document is clean.
-    Items come to the driver in blocks of so many windows; documents are never shuffled.
+    Items come to the driver in blocks of so many windows, one at a time; with more than one the documents are written
+    after each pass, so that one index alone is with the executors.  Documents are never shuffled.
     """
     spark = docs.sparkSession
     own = ("__starloom_words", "__starloom_spans", "__starloom_items")
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in own]
-    blocks, block = [], []
-    for r in items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).orderBy(item_id, item_text).toLocalIterator():
-        block.append((r[0], r[1]))
-        if sum(len(t) // 2 for _, t in block) > most:
-            blocks.append(block)
-            block = []
-    blocks += [block] if block or not blocks else []
     flow = docs.select(*dict.fromkeys([*kept, text])).withColumn(own[0], F.lit(None).cast("long")).withColumn(own[1], F.array().cast("array<struct<a:long,b:long>>")).withColumn(own[2], F.array().cast("array<string>"))
-    for block in blocks:
+    before = None
+    for block, last in _blocks(items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()), most):
         found = list(_tokens_of(block, window, token))
         tables = [(k, np.unique(np.concatenate([t for _, w, t in found if len(w) - len(t) + 1 == k]))) for k in sorted({len(w) - len(t) + 1 for _, w, t in found})]
         rare = {r["token"]: r["n"] for r in token_counts(docs, tables, text).toLocalIterator()} if tables else {}
         index = spark.sparkContext.broadcast((_Index(found, rare), [i for i, _ in block]))
         flow = _scan(flow, text, own, index)
+        if not last:  # one index is there at a time
+            after = written(flow, "pass")
+            discard(before)
+            index.destroy()
+            flow = before = after
     return flow.select(*kept, *(F.col(a).alias(b) for a, b in zip(own, names, strict=True)))
 
 
+def _blocks(items: DataFrame, most: int):
+    """(items, whether they are the last) in blocks of so many windows at most, or a single item; a block is held at a time."""
+    block, size = [], 0
+    for r in items.distinct().orderBy(*items.columns).toLocalIterator():
+        n = len(r[1]) // 2  # a word and what ends it take two characters at least
+        if block and size + n > most:
+            yield block, False
+            block, size = [], 0
+        block.append((r[0], r[1]))
+        size += n
+    yield block, True
+
+
 def _scan(flow: DataFrame, text: str, own: tuple, sent) -> DataFrame:
     at = [flow.columns.index(c) for c in (text, *own)]
     names, kinds = flow.columns, flow.schema

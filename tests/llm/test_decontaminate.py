@@ -46,6 +46,13 @@ def test_hits_are_those_of_brute_force(spark, make, most):
     assert run(make(DOCS), items, most=most) == brute(DOCS, ITEMS)
 
 
+def test_one_block_of_items_is_held_at_a_time(spark):
+    items = spark.createDataFrame([(i, f"w{i} " * 40) for i in range(30)] + [(3, "w3 " * 40)], "item_id string, text string")
+    got = list(D._blocks(items, 200))
+    assert sorted(i for b, _ in got for i, _ in b) == sorted(str(i) for i in range(30)) and [last for _, last in got] == [False] * (len(got) - 1) + [True]
+    assert len(got) >= 8 and all(len(b) <= 4 for b, _ in got)
+
+
 def test_no_items_no_documents_and_clashing_columns(spark, make):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert {v[1] for v in run(make(DOCS), items.limit(0)).values()} == {0}
