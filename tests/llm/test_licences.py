@@ -18,14 +18,20 @@ def brute(files):
     lines = [tokens(x) for _, t, _ in files for x in (t or "").split("\n")]
     lines = [x for x in lines if x]
     df = Counter(w for x in lines for w in set(x))
-    known = {w for _, t in L.TEMPLATES for w in tokens(t)}
-    idf = lambda w: math.log((len(lines) + 1) / ((df[w] if w in known else 0) + 1)) + 1
+    idf = lambda w: math.log((len(lines) + 1) / (df[w] + 1)) + 1
     vec = lambda x: {w: math.log1p(n) * idf(w) for w, n in Counter(x).items()}
     norm = lambda v: math.sqrt(sum(a * a for a in v.values()))
     out = {}
     for path, text, _ in files:
         best = (0.0, None)
-        for x in (text or "").split("\n"):
+        parts, held = [], []
+        for x in [*(text or "").split("\n"), ""]:
+            if tokens(x):
+                held.append(x)
+            else:
+                parts.append(" ".join(held))
+                held = []
+        for x in [*(text or "").split("\n"), *parts, text or ""]:
             v = vec(tokens(x))
             for k, (name, t) in enumerate(L.TEMPLATES):
                 u = vec(tokens(t))
@@ -48,6 +54,37 @@ def test_scores_are_those_of_brute_force(spark):
     assert got["LICENSE"][0] == "MIT" and got["src/x/LICENSE.md"][0] == "Apache-2.0" and got["src/w/license"][0] == "GPL-3.0"
 
 
+def wrapped(text, width=60, prefix="# "):
+    import textwrap
+
+    return "\n".join(prefix + x for x in textwrap.wrap(text, width))
+
+
+def test_wrapped_headers_and_whole_files_are_found(spark):
+    full = {n: t for n, t in L.TEMPLATES if len(t) > 300}
+    rows = [(f"{n}.py", f"#!/usr/bin/env python\n\n{wrapped(t)}\n\nimport os\nprint(os.name)\n", 1) for n, t in full.items()]
+    rows += [(f"{n}/LICENSE", "The licence\n\nCopyright (c) 2020 Some One\n\n" + wrapped(t, 70, "") + "\n", 1) for n, t in full.items()]
+    rows += [("other.py", "# " + " ".join(f"word{i} of the software and a copy" for i in range(40)), 1), ("long.txt", "the software is a thing of use\n" * 40_000, 1)]
+    got = {r.path: (r.own_license, round(r.own_score, 6)) for r in L.scan(spark.createDataFrame(rows, FILES)).collect()}
+    assert got["other.py"][0] is None and got["long.txt"][0] is None
+    assert all(got[f"{n}.py"][0] == got[f"{n}/LICENSE"][0] == n for n in full)
+    assert {k: v for k, v in got.items() if k != "long.txt"} == {k: v for k, v in brute(rows).items() if k != "long.txt"}
+
+
+def test_a_licence_line_is_found_in_a_small_and_in_a_large_table(spark):
+    line = "Released under the MIT License, see LICENSE for details."
+    for n in (10, 20_000):
+        rows = [("a", line, 1)] + [(f"f{i}", f"see for details of the thing {i % 977} and this is for more", 1) for i in range(n)]
+        got = {r.path: r.own_license for r in L.scan(spark.createDataFrame(rows, FILES)).where("path = 'a' or path = 'f3'").collect()}
+        assert got == {"a": "MIT", "f3": None}
+
+
+def test_ties_fall_by_path_and_clashing_columns_stay(spark):
+    rows = [("d/COPYING", 0.9, "AAA", "x", "y"), ("d/LICENSE", 0.9, "ZZZ", "x", "y"), ("d/a", 0.0, None, "x", "y")]
+    out = L.inherited(spark.createDataFrame(rows, "path string, own_score double, own_license string, dir string, above string"))
+    assert {(r.path, r.license, r.dir, r.above) for r in out.collect()} == {("d/COPYING", "AAA", "x", "y"), ("d/LICENSE", "ZZZ", "x", "y"), ("d/a", "AAA", "x", "y")}
+
+
 def test_the_nearest_directory_counts(spark):
     got = {r.path: (r.license, r.license_from) for r in L.inherited(L.scan(spark.createDataFrame(TREE, FILES))).collect()}
     assert got["a.txt"] == got["src/b.txt"] == got["src/xy/f.txt"] == got["src/z/g.txt"] == got["src/z/COPYING"] == ("MIT", "")
