@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ def positive(c: Column) -> Column:
 
 
 def with_geometry(galaxies: DataFrame) -> DataFrame:
-    """Adds r26 (arcsec) and cleans ba (1 unless in (0, 1]) and pa (0 for NaN)."""
+    """Adds r26 (arcsec) and cleans ba (1 unless in (0, 1]) and pa (0 for NaN and null, the largest double for an infinite one)."""
+    most = sys.float_info.max
     r26 = F.when(positive(F.col("sma_sb26")), F.col("sma_sb26")).otherwise(F.col("d26") * 30.0)
     ba = F.when(positive(F.col("ba")) & (F.col("ba") <= 1), F.col("ba")).otherwise(1.0)
-    return galaxies.withColumn("r26", r26).withColumn("ba", ba).withColumn("pa", F.nanvl("pa", F.lit(0.0)))
+    return galaxies.withColumn("r26", r26).withColumn("ba", ba).withColumn("pa", F.greatest(F.least(F.coalesce(F.nanvl("pa", F.lit(0.0)), F.lit(0.0)), F.lit(most)), F.lit(-most)))
 
 
 def isophotal_radius(sb: float) -> Column:

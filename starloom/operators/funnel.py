@@ -84,3 +84,9 @@ def outcome(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     status = F.when(live & (F.col("l_status") == "written"), "accepted").when(live, "rejected").otherwise(F.col("status"))
     reason = F.when(~live, F.col("reason")).when(F.col("l_status") == "written", "").when(F.col("l_status").isNull(), "error").otherwise(F.coalesce("l_reason", F.lit("")))
     return rows.withColumn("reason", reason).withColumn("status", status).drop("l_status", "l_reason")
+
+
+def rejected_in_mirror(candidates: DataFrame, tiles: DataFrame, n: int = 48, without: tuple = ("footprint", "fetch")) -> DataFrame:
+    """The first n rejected candidates, by parent and k, whose tile (brick) is mirrored; those rejected for want of one are left out."""
+    rows = candidates.where((F.col("status") == "rejected") & ~F.col("reason").isin(*without))
+    return rows.join(tiles.select("brick").distinct(), "brick", "left_semi").orderBy("parent_sga_id", "k").limit(n)

@@ -11,16 +11,32 @@ from pyspark.sql import functions as F
 PLANES, BANDS = ("image", "invvar", "psfsize"), ("g", "r", "z")
 
 
-def brick_files(bricks: DataFrame, root: str = "https://portal.example/coadd") -> DataFrame:
-    """The eleven files of each brick (brick, hemisphere): nine band planes, the mask plane and the catalogue."""
+def brick_files(bricks: DataFrame, root: str = "https://portal.example/coadd", prefix: str = "survey") -> DataFrame:
+    """The eleven files of each brick (brick, hemisphere): nine band planes, the mask plane and the catalogue.
+
+    root and prefix (of the planes' names) are those of the archive that is fetched from.
+    """
     kinds = [f"{p}-{b}" for p in PLANES for b in BANDS] + ["maskbits", "tractor"]
     rows = bricks.select("brick", "hemisphere", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
     tractor = F.col("kind") == "tractor"
-    name = F.when(tractor, F.concat(F.lit("tractor-"), "brick", F.lit(".fits"))).otherwise(F.concat(F.lit("survey-"), "brick", F.lit("-"), "kind", F.lit(".fits.fz")))
+    name = F.when(tractor, F.concat(F.lit("tractor-"), "brick", F.lit(".fits"))).otherwise(F.concat(F.lit(f"{prefix}-"), "brick", F.lit("-"), "kind", F.lit(".fits.fz")))
     folder = F.concat_ws("/", F.lit(root), "hemisphere", F.when(tractor, "tractor").otherwise("coadd"), F.substring("brick", 1, 3), F.when(~tractor, F.col("brick")))
     return rows.select("brick", "kind", name.alias("name"), F.concat_ws("/", folder, name).alias("url"))
 
 
+def checksum_files(bricks: DataFrame, root: str = "https://portal.example/coadd", prefix: str = "survey", release: str = "dr") -> DataFrame:
+    """(brick, hemisphere, url) of the checksum list beside each brick's planes."""
+    part = F.substring("brick", 1, 3)
+    name = F.concat(F.concat_ws("_", F.lit(prefix), F.lit(release), "hemisphere", F.lit("coadd"), part, "brick"), F.lit(".sha256sum"))
+    return bricks.select("brick", "hemisphere", F.concat_ws("/", F.lit(root), "hemisphere", F.lit("coadd"), part, "brick", name).alias("url"))
+
+
+def checksum_lines(answers: DataFrame) -> DataFrame:
+    """(line) of downloaded checksum lists (status, body): none where the status isn't 200 or the body is a page of HTML."""
+    whole = answers.where((F.col("status") == 200) & ~F.ltrim("body").startswith("<"))
+    return whole.select(F.explode(F.split("body", r"\r?\n")).alias("line"))
+
+
 def psf_files(groups: DataFrame, root: str = "https://portal.example/psf") -> DataFrame:
     """Three stamps for each group (group_name, group_ra), in a folder of its whole degree of RA, three digits wide."""
     rows = groups.select("group_name", "group_ra", F.explode(F.array(*[F.lit(b) for b in BANDS])).alias("band"))

@@ -49,8 +49,14 @@ def summary(fits: DataFrame) -> DataFrame:
     )
 
 
-def _fit(z: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple | None:
-    """Bounded Levenberg-Marquardt fit of amplitude, centre, alpha and beta of a circular Moffat."""
+def with_stamps(groups: DataFrame, present: DataFrame, bands: tuple = ("g", "r", "z")) -> DataFrame:
+    """(group_name, band) of groups whose stamp in the band is present (group_name, band)."""
+    every = groups.select("group_name", F.explode(F.array(*[F.lit(b) for b in bands])).alias("band"))
+    return every.join(present, ["group_name", "band"], "left_semi")
+
+
+def _fit(z: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple | None:
+    """Bounded Levenberg-Marquardt fit of amplitude, centre, alpha and beta of a circular Moffat; None if it doesn't settle."""
     peak = float(z.max())
     if not peak > 0:
         return None
@@ -83,13 +89,13 @@ def _fit(z: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple
                 return (*p, cost)
         else:
             damp *= 4
-            if damp > 1e10:
+            if damp > 1e10:  # no step leads down any more
                 return (*p, cost)
-    return (*p, cost)
+    return None
 
 
 def fit_moffat(stamps: DataFrame, key: list[str]) -> DataFrame:
-    """A circular Moffat for each stamp of (key, y, x, value); stamps without a positive peak give no row.
+    """A circular Moffat for each stamp of (key, y, x, value); stamps without a positive peak, and fits that don't settle, give no row.
 
     One stamp is one group: at most a few thousand pixels.
     """

@@ -32,3 +32,9 @@ def subsample(df: DataFrame, order: list[str], sample: int | None = None, limit:
         picks = picks.select(step.cast("long").alias("_rank"), F.lit(True).alias("_picked")).distinct()
         df = ranked.join(F.broadcast(picks), "_rank", "left").where("_picked or _n <= " + str(sample)).drop("_rank", "_n", "_picked")  # sample rows
     return df.orderBy(*order).limit(limit) if limit else df
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows drawn without replacement by the order of their keys' hashes under a seed; rows with equal keys stay in no order."""
+    drawn = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return df.orderBy(drawn, key).limit(n)

@@ -210,6 +210,23 @@ def psf_urls(spark, sf):
     return ledger.psf_files(v(spark, sf, "galaxies").select("group_name", "group_ra").distinct())
 
 
+@query
+def checksum_urls(spark, sf):
+    return ledger.checksum_files(_targets(spark, sf).select("brick", "hemisphere").distinct())
+
+
+@query
+def psf_present(spark, sf):
+    groups = v(spark, sf, "galaxies").select("group_name").distinct()
+    listed = groups.select("group_name", F.explode(F.array(*[F.lit(b) for b in "grz"])).alias("band"))
+    return psf.with_stamps(groups, listed.where("pmod(length(group_name) * 31 + ascii(substring(group_name, -1, 1)) + ascii(band), 5) <> 2"))
+
+
+@query
+def seeded_sample(spark, sf):
+    return rounded(select.seeded_sample(v(spark, sf, "galaxies").select("sga_id", "ra", "dec"), "sga_id", 50, 7))
+
+
 # --- candidates
 
 
@@ -234,6 +251,12 @@ def candidate_outcome(spark, sf):
     return _finished(spark, sf).select("parent_sga_id", "k", "status", "reason")
 
 
+@query
+def rejected_mirrored(spark, sf):
+    tiles = v(spark, sf, "bricks").where("nexp_g % 3 <> 1").select(F.col("brickname").alias("brick"))
+    return funnel.rejected_in_mirror(_finished(spark, sf), tiles).select("parent_sga_id", "k", "brick", "reason")
+
+
 @query
 def candidates_public(spark, sf):
     return rounded(_finished(spark, sf).select("parent_sga_id", "k", "ra", "dec", "pa_deg", "sep_arcsec", "size_px", "brick", "hemisphere", "in_parent_brick", "status", "reason"))
@@ -549,6 +572,14 @@ def checksum_manifest(spark, sf):
     return ledger.parse_checksums(_lines(spark, sf))
 
 
+@query
+def checksum_answers(spark, sf):
+    lines = _lines(spark, sf)
+    status = F.when(F.length("line") % 5 == 0, 404).otherwise(200)
+    body = F.concat(F.when(F.length("line") % 3 == 0, F.lit(" <html>\n")).otherwise(F.lit("")), F.lit("# list\n"), F.col("line"), F.lit("\n"))
+    return ledger.parse_checksums(ledger.checksum_lines(lines.select(status.alias("status"), body.alias("body"))))
+
+
 @query
 def checksum_lookup(spark, sf):
     files = v(spark, sf, "checksums").select("name")

@@ -181,6 +181,11 @@ _SQL = {
     "distinct_bricks": f"WITH {TARGETS} SELECT DISTINCT brick, hemisphere FROM targets",
     "pick_groups": f"""WITH {TARGETS}, gr AS (SELECT DISTINCT group_name, group_ra FROM targets), rk AS (SELECT *, row_number() OVER (ORDER BY group_ra, group_name) - 1 AS i, count(*) OVER () AS n FROM gr),
       pk AS (SELECT DISTINCT round_even(j * ((n - 1) / 29e0), 0)::BIGINT AS i FROM (SELECT unnest(range(0, 30)) AS j), (SELECT max(n) AS n FROM rk)) SELECT group_name, round(group_ra, 6) AS group_ra FROM rk WHERE n <= 30 OR i IN (SELECT i FROM pk)""",
+    "checksum_urls": f"WITH {FILES} SELECT brick, hemisphere, 'https://portal.example/coadd/' || hemisphere || '/coadd/' || brick[1:3] || '/' || brick || '/survey_dr_' || hemisphere || '_coadd_' || brick[1:3] || '_' || brick || '.sha256sum' AS url FROM bh",
+    "psf_present": "SELECT group_name, band FROM (SELECT DISTINCT group_name FROM v_galaxies), (SELECT unnest(['g', 'r', 'z']) AS band) WHERE (length(group_name) * 31 + ascii(right(group_name, 1)) + ascii(band)) % 5 <> 2",
+    "seeded_sample": "SELECT sga_id, round(ra, 6) AS ra, round(dec, 6) AS dec FROM (SELECT * FROM v_galaxies ORDER BY md5(sga_id || ':7'), sga_id LIMIT 50)",
+    "rejected_mirrored": f"WITH {FUNNEL} SELECT parent_sga_id, k, brick, reason FROM (SELECT * FROM outcome WHERE status = 'rejected' AND reason NOT IN ('footprint', 'fetch') AND brick IN (SELECT brickname FROM v_bricks WHERE nexp_g % 3 <> 1) ORDER BY parent_sga_id, k LIMIT 48)",
+    "checksum_answers": "SELECT name, digest FROM (SELECT *, length(coalesce(digest, 'missing')) + 3 + length(name) AS n FROM v_checksums) WHERE digest IS NOT NULL AND n % 5 <> 0 AND n % 3 <> 0",
     "brick_urls": f"WITH {FILES} SELECT brick, kind, name, url FROM files",
     "psf_urls": "WITH g AS (SELECT DISTINCT group_name, group_ra FROM v_galaxies), b AS (SELECT unnest(['g', 'r', 'z']) AS band) SELECT group_name, band, 'https://portal.example/psf/' || lpad(trunc(group_ra)::INT::VARCHAR, 3, '0') || '/' || group_name || '/' || group_name || '-largegalaxy-psf-' || band || '.fits.fz' AS url FROM g, b",
     "propose_geometry": f"WITH {CAND} SELECT parent_sga_id, k, round(ra, 6) AS ra, round(dec, 6) AS dec, round(pa_deg, 6) AS pa_deg, round(sep_arcsec, 6) AS sep_arcsec, size_px FROM cand",

@@ -61,6 +61,12 @@ def write_samples(samples: DataFrame, path: str) -> None:
     samples.write.mode("append").partitionBy("brick").parquet(path)
 
 
+def read_samples(spark: SparkSession, path: str, bricks: list[str] | None = None) -> DataFrame:
+    """Samples as write_samples has left them; of some bricks alone, whose folders are then the only ones read."""
+    rows = spark.read.parquet(path)
+    return rows if bricks is None else rows.where(F.col("brick").isin(*bricks))
+
+
 def write_sidecars(stars: DataFrame, path: str, key: str = "sga_id", overwrite: bool = False) -> None:
     """A folder of CSV for each frame with a star; those already there are kept unless overwritten."""
     spark = stars.sparkSession

@@ -209,3 +209,30 @@ def test_a_truncated_fits_file_is_not_whole(tmp_path):
     for name, content in whole.items():
         (tmp_path / name).write_bytes(content)
     assert [n for n in whole if files.looks_whole(str(tmp_path / n))] == ["good", "packed"]
+
+
+def test_samples_read_back_by_brick(spark, tmp_path):
+    from starloom.sources import files
+
+    rows = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("b", 2, [3.0]), ("a", 3, [])], "brick string, sga_id long, sci array<double>")
+    files.write_samples(rows, str(tmp_path / "s"))
+    assert {(r.brick, r.sga_id, tuple(r.sci)) for r in files.read_samples(spark, str(tmp_path / "s")).collect()} == {("a", 1, (1.0, 2.0)), ("b", 2, (3.0,)), ("a", 3, ())}
+    assert {r.sga_id for r in files.read_samples(spark, str(tmp_path / "s"), ["a"]).collect()} == {1, 3}
+
+
+def test_angles_are_cleaned_as_numpy_does(spark):
+    import sys
+
+    from starloom.operators import catalog
+
+    rows = spark.createDataFrame([(1, 1.0, 1.0, 0.5, p) for p in (3.0, float("nan"), float("inf"), float("-inf"), None)], "sga_id long, sma_sb26 double, d26 double, ba double, pa double")
+    assert [r.pa for r in catalog.with_geometry(rows).collect()] == [3.0, 0.0, sys.float_info.max, -sys.float_info.max, 0.0]
+
+
+def test_the_archives_names_are_parameters(spark):
+    from starloom.operators import ledger
+
+    bricks = spark.createDataFrame([("1234p567", "north")], "brick string, hemisphere string")
+    urls = {r.url for r in ledger.brick_files(bricks, "https://a.example", "other").collect()}
+    assert len(urls) == 11 and "https://a.example/north/coadd/123/1234p567/other-1234p567-maskbits.fits.fz" in urls
+    assert ledger.checksum_files(bricks, "https://a.example", "other", "r1").head().url == "https://a.example/north/coadd/123/1234p567/other_r1_north_coadd_123_1234p567.sha256sum"
