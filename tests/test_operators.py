@@ -236,3 +236,19 @@ def test_the_archives_names_are_parameters(spark):
     urls = {r.url for r in ledger.brick_files(bricks, "https://a.example", "other").collect()}
     assert len(urls) == 11 and "https://a.example/north/coadd/123/1234p567/other-1234p567-maskbits.fits.fz" in urls
     assert ledger.checksum_files(bricks, "https://a.example", "other", "r1").head().url == "https://a.example/north/coadd/123/1234p567/other_r1_north_coadd_123_1234p567.sha256sum"
+
+
+def test_mask_boxes_match_a_count_over_whole_planes(spark):
+    width, scale, rng = 150, 0.262, np.random.default_rng(3)
+    mask = {s: np.where(rng.random((width, width)) < 0.01, 4096 + rng.integers(0, 8), rng.integers(0, 8, (width, width))) for s in (1, 2)}
+    pixels = spark.createDataFrame([(s, int(x), int(y), int(m[y, x])) for s, m in mask.items() for y, x in np.argwhere(m >= 1)], "sample_id long, x int, y int, mask int")
+    tiles = spark.createDataFrame([("a", 10.0, 0.0, 1), ("b", 20.0, 0.0, 2), ("c", 30.0, 0.0, 3)], "brick string, tra double, tdec double, sample_id long")
+    px = [(i, b, ra0, x, y) for i, (b, ra0, x, y) in enumerate([("a", 10.0, 64.3, 63.7), ("a", 10.0, 2.2, 148.0), ("a", 10.0, 500.0, 60.0), ("b", 20.0, 75.1, 75.2), ("b", 20.0, 128.0, 64.0), ("c", 30.0, 70.0, 70.0)])]
+    step = scale / 3600.0
+    c = spark.createDataFrame([(i, b, ra0 - (x - (width - 1) / 2) * step, (y - (width - 1) / 2) * step) for i, b, ra0, x, y in px], "id long, brick string, ra double, dec double")
+    got = {r.id: r for r in funnel.mask_box(c, tiles, pixels, width, scale, F.lit(70)).collect()}
+    for i, b, _, x, y in px:
+        x0, x1, y0, y1 = (min(max(int(v), 0), width) for v in (x - 35, x + 35, y - 35, y + 35))
+        want = 0 if b == "c" else int((mask[1 if b == "a" else 2][y0:y1, x0:x1] & 4096 > 0).sum())
+        assert got[i].galaxy_pixels == want
+        assert got[i].on_grid == pytest.approx((x1 - x0) * (y1 - y0) / 4900)
