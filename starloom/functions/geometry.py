@@ -42,9 +42,8 @@ def tangent_offsets(ra: Column, dec: Column, ra0: Column, dec0: Column, at_dec:
 
 
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
-    """Great-circle arcseconds by the clipped dot product."""
-    dot = [x * y for x, y in zip(unit_vector(ra1, dec1), unit_vector(ra2, dec2), strict=True)]
-    return F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot[0] + dot[1] + dot[2])))) * 3600.0
+    """Great-circle arcseconds by the chord, which keeps its digits where the arc is small."""
+    return F.degrees(F.asin(F.least(F.lit(1.0), chord(ra1, dec1, ra2, dec2) / 2))) * 7200.0
 
 
 def to_pixel(ra: Column, dec: Column, ra0: Column, dec0: Column, scale: Column, crpix: float | Column) -> tuple[Column, Column]:

@@ -170,7 +170,7 @@ def clearance_targets(spark, sf):
 
 @query
 def overlapping(spark, sf):
-    return rounded(spatial.overlapping(_positions(spark, sf), _atlas(spark, sf)).select(F.col("id").alias("target"), "sga_id", "sep"), sep=1)
+    return rounded(spatial.overlapping(_positions(spark, sf), _atlas(spark, sf)).select(F.col("id").alias("target"), "sga_id", "sep"), sep=6)
 
 
 @query
@@ -509,7 +509,7 @@ def bright_star_summary(spark, sf):
 @query
 def star_sidecars(spark, sf):
     f = v(spark, sf, "galaxies").select(F.col("sga_id").alias("id"), "ra", "dec", (F.col("d26") * 90.0).alias("size_arcsec"))
-    return rounded(stars.star_sidecars(f, v(spark, sf, "stars")).withColumnRenamed("id", "sga_id"), gmag=9, sep_arcsec=1, sep_pix=1, x_pix=4, y_pix=4)
+    return rounded(stars.star_sidecars(f, v(spark, sf, "stars")).withColumnRenamed("id", "sga_id"), gmag=9, sep_arcsec=6, sep_pix=6, x_pix=4, y_pix=4)
 
 
 @query

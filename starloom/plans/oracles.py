@@ -15,8 +15,7 @@ def _chord(a: str, b: str) -> str:
 
 
 def _sep(a: str, b: str) -> str:
-    dot = f"cos({R}({a}dec)) * cos({R}({a}ra)) * cos({R}({b}dec)) * cos({R}({b}ra)) + cos({R}({a}dec)) * sin({R}({a}ra)) * cos({R}({b}dec)) * sin({R}({b}ra)) + sin({R}({a}dec)) * sin({R}({b}dec))"
-    return f"degrees(acos(least(1e0, greatest(-1e0, {dot})))) * 36e2"
+    return f"degrees(asin(least(1e0, {_chord(a, b)} / 2e0))) * 72e2"
 
 
 def _mod(x: str, m: str = "360e0") -> str:
@@ -172,7 +171,7 @@ _SQL = {
     "select_redshift": "SELECT sga_id, round(z_leda, 6) AS z_leda FROM v_galaxies WHERE z_leda > 0 AND z_leda < 5e-2",
     "resolve_bricks": f"WITH allpos AS (SELECT *, sga_id AS id FROM v_galaxies), {_resolve('allpos', 'tr')} SELECT id AS sga_id, brick, hemisphere FROM tr",
     "clearance_targets": f"WITH {ATLAS}, {_blocked('pos', 'tb', 'sga_id')} SELECT sga_id FROM pos WHERE id NOT IN (SELECT id FROM tb)",
-    "overlapping": f"WITH {ATLAS} SELECT p.sga_id AS target, g.sga_id, round({_sep('p.', 'g.')}, 1) AS sep FROM pos p JOIN atlas g ON {_sep('p.', 'g.')} <= g.r26 + p.half_diag",
+    "overlapping": f"WITH {ATLAS} SELECT p.sga_id AS target, g.sga_id, round({_sep('p.', 'g.')}, 6) AS sep FROM pos p JOIN atlas g ON {_sep('p.', 'g.')} <= g.r26 + p.half_diag",
     "neighbours": f"WITH {ATLAS} SELECT p.sga_id, g.sga_id AS other, round({_chord('p.', 'g.')}, 8) AS chord FROM pos p JOIN atlas g ON {_chord('p.', 'g.')} <= 2 * sin({R}(120e0 / 36e2) / 2)",
     "galaxy_targets": f"WITH {TARGETS} SELECT sga_id, galaxy, round(ra, 6) AS ra, round(dec, 6) AS dec, round(d26, 6) AS d26, size_px, group_name, round(group_ra, 6) AS group_ra, brick, hemisphere FROM targets",
     "subsample": f"""WITH {TARGETS}, rk AS (SELECT *, row_number() OVER (ORDER BY ra, sga_id) - 1 AS i, count(*) OVER () AS n FROM targets),
@@ -235,7 +234,7 @@ _SQL = {
     "bright_star_summary": f"SELECT count(*) AS n, round(min(phot_g_mean_mag), 9) AS mag_min, round(max(phot_g_mean_mag), 9) AS mag_max, round(min(abs(b)), 6) AS b_min, round(max(abs(b)), 6) AS b_max FROM ({BRIGHT})",
     "star_sidecars": f"""WITH f AS (SELECT sga_id, ra, dec, d26 * 9e1 AS a FROM v_galaxies), j AS (SELECT f.sga_id, f.ra AS ra0, f.dec AS dec0, a, s.*, {_sep('f.', 's.')} AS sep FROM f JOIN v_stars s ON abs(f.dec - s.dec) < 0.1e0 AND s.phot_g_mean_mag < 15),
       p AS (SELECT *, round_even(a / 0.262e0, 0) AS n, round_even(a / 0.262e0, 0) / 2 - (ra - ra0) * cos({R}(dec0)) * 36e2 / 0.262e0 AS xp, round_even(a / 0.262e0, 0) / 2 + (dec - dec0) * 36e2 / 0.262e0 AS yp FROM j WHERE sep <= 0.5e0 * sqrt(2e0) * a)
-      SELECT sga_id, source_id, round(ra, 6) AS ra_deg, round(dec, 6) AS dec_deg, round(phot_g_mean_mag, 9) AS gmag, round(sep, 1) AS sep_arcsec, round(sep / 0.262e0, 1) AS sep_pix, round(xp, 4) AS x_pix, round(yp, 4) AS y_pix FROM p WHERE xp >= 0 AND xp < n AND yp >= 0 AND yp < n""",
+      SELECT sga_id, source_id, round(ra, 6) AS ra_deg, round(dec, 6) AS dec_deg, round(phot_g_mean_mag, 9) AS gmag, round(sep, 6) AS sep_arcsec, round(sep / 0.262e0, 6) AS sep_pix, round(xp, 4) AS x_pix, round(yp, 4) AS y_pix FROM p WHERE xp >= 0 AND xp < n AND yp >= 0 AND yp < n""",
     "legacy_sizes": "SELECT sga_id, trunc(d26 * 3e0 * 3e1 / 0.262e0)::INT AS galaxy_px, least(512, greatest(16, round_even(d26 * 3e0 * 3e1 / 0.262e0, 0)))::INT AS field_px, round(d26 * 3e0 * 3e1, 6) AS size_arcsec FROM v_galaxies",
     "legacy_fields": f"""WITH a AS (SELECT *, d26 * 5e0 * 3e1 / 36e2 AS rad, unnest(range(0, 6)) AS i FROM v_galaxies) SELECT sga_id, round(i * 60e0, 6) AS angle_deg, round(ra + rad / cos({R}(dec)) * cos(2 * pi() * i / 6), 6) AS field_ra, round(least(90e0, greatest(-90e0, dec + rad * sin(2 * pi() * i / 6))), 6) AS field_dec FROM a""",
     "legacy_footprint": f"""WITH d AS (SELECT g.sga_id, g.ra, g.dec, b.* EXCLUDE (ra, dec), row_number() OVER (PARTITION BY g.sga_id, hemisphere ORDER BY round({_chord('g.', 'b.')}, 12), brickname) AS rk FROM v_galaxies g JOIN v_bricks b ON abs(g.dec - b.dec) < 0.6e0)
