@@ -35,21 +35,25 @@ _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32  # digits, punctua
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket of the n-gram that starts at each byte, for each size, with a space after each text; offsets of the texts in them.
+    """Bucket of the n-gram that starts at each byte and at each text's end, for each size; offsets of the texts in them.
 
-    Letters count in lower case, also those of two bytes whose lower case lies 32 further (as in Latin-1 and Greek).
+    Spaces follow each text, so that no n-gram reaches into the next one.  Letters count in lower case, also those of two
+    bytes whose lower case lies 32 further (as in Latin-1).
     """
     n = len(offsets) - 1
-    x = np.full(len(data) + n + max(GRAMS), 32, np.uint64)
-    x[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = _FOLD[data]
+    gap = max(GRAMS)
+    m = len(data) + n * gap
+    x = np.full(m + gap, 32, np.uint64)
+    x[np.arange(len(data)) + np.repeat(np.arange(n) * gap, np.diff(offsets))] = _FOLD[data]
     accent = np.flatnonzero((x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[:-1] == 0xC3)) + 1
     x[accent] += np.uint64(32)
-    m = len(data) + n
+    starts = np.ones(m, bool)
+    starts[(offsets[1:] + np.arange(1, n + 1) * gap)[:, None] - np.arange(1, gap)] = False
     out, key = [], x[:m].copy()
     for k in range(1, max(GRAMS)):
         key = (key << np.uint64(8)) | x[k : k + m]
         if k + 1 in GRAMS:
-            out.append(((key * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k * 0xC2B2AE3D27D4EB4F) % 2**64)) >> np.uint64(64 - 15)).astype(np.int64))
+            out.append(((key * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k * 0xC2B2AE3D27D4EB4F) % 2**64)) >> np.uint64(64 - 15))[starts].astype(np.int64))
     return out, offsets + np.arange(n + 1)
 
 

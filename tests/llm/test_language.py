@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,3 +73,72 @@ def test_a_long_text_in_parts_has_the_same_grams(monkeypatch):
         monkeypatch.setattr(L, "BLOCK", block)
         parts = [f for f, _ in L.gram_blocks(data, np.array([0, len(data)]))]
         assert len(parts) > 1 and all((np.concatenate([p[k] for p in parts]) == whole[k]).all() for k in range(len(whole)))
+
+
+def test_neighbours_of_a_text_leave_its_grams_alone():
+    texts = ["x", "", "la maison", "ñ", "zzz"]
+    data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found, where = L.grams(data, at)
+    for i, t in enumerate(texts):
+        alone, _ = L.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        assert all((f[where[i] : where[i + 1]] == a).all() and len(a) == len(t.encode()) + 1 for f, a in zip(found, alone, strict=True))
+
+
+def plain_grams(text):
+    """(size, bucket) of each n-gram of a text, byte by byte."""
+    x = [b + 32 if 65 <= b <= 90 else 32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in text.encode()]
+    x = [b + 32 if i and x[i - 1] == 0xC3 and 0x80 <= b <= 0x9E else b for i, b in enumerate(x)] + [32] * 4
+    out = []
+    for i in range(len(x) - 3):
+        for size in (2, 3, 4):
+            key = int.from_bytes(bytes(x[i : i + size]), "big")
+            out.append((size, (key * 0x9E3779B97F4A7C15 + (size - 1) * 0xC2B2AE3D27D4EB4F) % 2**64 >> 49))
+    return out
+
+
+def plain_predictions(train, texts):
+    """(language, score, ambiguous) of texts, counted and decoded one by one from (text, language) pairs."""
+    languages = sorted({g for _, g in train})
+    counts = {g: {k: Counter() for k in (2, 3, 4)} for g in languages}
+    for text, g in train:
+        for size, bucket in plain_grams(text):
+            counts[g][size][bucket] += 1
+    total = {(g, k): sum(counts[g][k].values()) for g in languages for k in (2, 3, 4)}
+    share = lambda g, k, b: (counts[g][k][b] + 0.5) / (total[g, k] + 0.5 * 2**15)
+    code = L.codewords(len(languages)).tolist()
+    bits = range(len(code[0]))
+    sides = [[[g for g, word in zip(languages, code, strict=True) if word[j] == s] for s in (1, -1)] for j in bits]
+    mean = lambda side, k, b: sum(share(g, k, b) for g in side) / len(side)
+    known = {}
+
+    def evidence(k, b):
+        if (k, b) not in known:
+            known[k, b] = [max(-4.0, min(4.0, math.log(mean(plus, k, b)) - math.log(mean(minus, k, b)))) for plus, minus in sides]
+        return known[k, b]
+
+    trust = []
+    for j in bits:
+        by = [sum(share(g, k, b) * evidence(k, b)[j] for k in (2, 3, 4) for b in range(2**15)) / 3 for g in languages]
+        trust.append(max(0.05, min(x * word[j] for x, word in zip(by, code, strict=True))))
+    out = []
+    for text in texts:
+        if text is None or not any(map(str.isalpha, text)):
+            out.append(("und", 0.0, True))
+            continue
+        found = plain_grams(text)
+        m = [sum(evidence(k, b)[j] for k, b in found) / len(found) * 4 * math.sqrt(min(len(text.encode()), 400)) for j in bits]
+        loss = [sum(t * math.log1p(math.exp(-x * c)) for t, x, c in zip(trust, m, word, strict=True)) / sum(trust) for word in code]
+        p = [math.exp(-4 * (v - min(loss))) for v in loss]
+        top = sorted((v / sum(p) for v in p), reverse=True)
+        out.append((languages[loss.index(min(loss))], top[0], top[0] - top[1] < 0.2))
+    return out
+
+
+def test_predictions_are_those_of_plain_counting(make):
+    train = [(i, t, g) for i, t, g in corpus(60, 5, ["en", "de", "fr", "es"])]
+    rows = [*((i, t) for i, t, _ in corpus(40, 6, ["en", "de", "fr", "es"])), (90, None), (91, "12 ½"), (92, "x"), (93, "ÉTÉ à la Maison, AÑO"), (94, "漢字 der haus le")]
+    got = {r.doc_id: r for r in L.identified(make(rows), L.train(make(train)), ["doc_id"]).collect()}
+    for (i, _), (lang, score, doubt) in zip(rows, plain_predictions([(t, g) for _, t, g in train], [t for _, t in rows]), strict=True):
+        assert got[i].score == pytest.approx(score, abs=1e-4)
+        if lang == "und" or abs(score - 0.5) > 0.1:
+            assert (got[i].lang_pred, got[i].ambiguous) == (lang, doubt)
