@@ -59,3 +59,36 @@ def test_query_is_right_on_held_out_labels(spark):
     assert np.mean([r.predicted == quality[r.doc_id] for r in known]) > 0.95
     assert np.mean([r.predicted for r in known if quality[r.doc_id] == 1]) > 0.98
     assert all(r.predicted == (r.score >= 0.3) for r in got)
+
+
+TEXTS = ["A b", "", "Hello world. Hello world.\nHello", "x", "ñandú Ünï\n\nfoo foo foo", "TOTAL CAPS 123 %%", "a", "the end. " * 40, "a b c\n" * 9]
+
+
+def plain_statistics(text):
+    b = text.encode()
+    return Q.statistics(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0]
+
+
+def test_neighbours_of_a_text_leave_its_statistics_alone():
+    at = np.cumsum([0, *(len(t.encode()) for t in TEXTS)])
+    whole = Q.statistics(np.frombuffer("".join(TEXTS).encode(), np.uint8), at)
+    for row, text in zip(whole, TEXTS, strict=True):
+        assert np.allclose(row, plain_statistics(text), rtol=1e-9, atol=1e-9)
+
+
+def test_scores_are_sums_of_looked_up_bins(make):
+    rng = np.random.default_rng(4)
+    x = np.array([plain_statistics(" ".join(rng.choice(["The", "cat", "sat.", "%%", "AND", "fine\n"], rng.integers(1, 60)))) for _ in range(600)])
+    model = Q.fit(x, (x[:, Q.FEATURES.index("log_words")] > 3).astype(float))
+    assert model.pairs
+
+    def bin_of(edges, v):
+        return sum(bool(e <= v) for e in edges)
+
+    got = {r.doc_id: r["__starloom_score"] for r in Q.scored(make(list(enumerate([*TEXTS, None]))), model, ["doc_id"]).collect()}
+    assert len(got) == len(TEXTS) + 1
+    for i, text in enumerate([*TEXTS, None]):
+        v = plain_statistics(text or "")
+        total = model.base + sum(t[bin_of(e, v[k])] for k, (e, t) in enumerate(zip(model.edges, model.tables, strict=True)))
+        total += sum(t[bin_of(model.coarse[a], v[a]), bin_of(model.coarse[b], v[b])] for a, b, t in model.pairs)
+        assert abs(got[i] - 1 / (1 + np.exp(-min(30.0, max(-30.0, total))))) < 1e-9
