@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licences, mixing, near_duplicates, passages, quality, token_index, vector_join
+from . import chat, decontaminate, language, licences, manifest, mixing, near_duplicates, passages, quality, token_index, vector_join
 
 
 def _pipeline(spark, sf_dir):
@@ -24,8 +24,9 @@ def queries() -> dict:
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_passages": passages.op9_passages,
         "op10_quality": quality.op10_quality,
+        "op13_manifest": manifest.op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.OP2_SQL, "op5_vector_join": vector_join.OP5_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_near_duplicates": near_duplicates.OP8_SQL}
+    return {"op2_chat": chat.OP2_SQL, "op5_vector_join": vector_join.OP5_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_near_duplicates": near_duplicates.OP8_SQL, "op13_manifest": manifest.OP13_SQL}
