@@ -9,6 +9,7 @@ their ids by 64-bit hashes of their bytes, which stand for them.
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from heapq import heapify, heappop, heappush
 
@@ -23,10 +24,14 @@ from .token_index import _slots, _Words, build_hash
 
 #: Bytes of pre-tokens that are hashed and compared as words of 8; longer ones, and all longer than any token, are kept by their bytes.
 WIDE = 64
-#: Characters of a text that are split at a time, about.
+#: Bytes of a text that are split at a time, about.
 STRETCH = 1 << 20
+#: Fixed value: the pattern whose classes are looked up for a whole batch; any other is matched text by text.
+USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _RNG = np.random.Generator(np.random.PCG64(12))
 _Q = [np.uint64(int(x) | 1) for x in _RNG.integers(0, 2**64, WIDE // 8 + 1, dtype=np.uint64)]
+_EDGE = re.compile(rb"[!-~](?=[ \t-\r])")
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
@@ -94,7 +99,7 @@ class Coder:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(split)
-        self.edge = regex.compile(r"(?<=\S)\s")
+        self.kinds = self._kinds() if split == USUAL else None
         tokens = sorted(ranks, key=ranks.__getitem__)
         if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary has no token for {len(lacking)} bytes")
@@ -126,32 +131,84 @@ class Coder:
         bucket = ((h >> np.uint64(32)) % np.uint64(len(self.move))).astype(np.int64)
         return _slots(h, self.move[bucket], len(self.rank) if hasattr(self, "rank") else len(h)).astype(np.int64)
 
-    def _spans(self, text: str):
-        """Numbers of characters of a text's pre-tokens, many at a time; between stretches no pre-token is cut."""
+    def _kinds(self) -> np.ndarray:
+        """For each code point, whether it is a letter, a number, white space or another."""
+        import regex
+
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))  # surrogates are in no text
+        out = np.zeros(0x110000, np.uint8)
+        for kind, what in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for m in regex.finditer(what, every):
+                out[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
+        out[0xD800:0xE000] = _OTHER
+        return out
+
+    def ends(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the pre-tokens of texts that stand in a row end, in bytes; how many of them are before each text, and in all)."""
+        data = np.frombuffer(raw, np.uint8)
+        wide = not raw.isascii()
+        begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(raw)) if wide else np.arange(len(raw) + 1)
+        firsts = np.searchsorted(begins, offsets)
+        if self.split.pattern != USUAL:
+            sizes = [list(map(len, self.split.findall(raw[a:b].decode()))) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            stops = np.concatenate([firsts[:-1].repeat([len(x) for x in sizes]) + np.concatenate([np.cumsum(x) for x in sizes]).astype(np.int64)]) if sizes else firsts[:0]
+            return begins[stops], np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).astype(np.int64)
+        codes = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4") if wide else data
+        starts = self._starts(codes, firsts)
+        at = np.flatnonzero(starts)
+        return begins[np.append(at[1:], len(codes))] if len(at) else at, np.searchsorted(at, firsts)
+
+    def _starts(self, codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Which characters begin a pre-token: those of another kind than the one before them, but for single spaces, which
+        go with what follows, and contractions."""
+        n = len(codes)
+        kind = self.kinds[codes]
+        first = np.zeros(n + 1, bool)
+        first[firsts] = True
+        first[n] = True
+        starts = first[:n].copy()
+        starts[1:] |= kind[1:] != kind[:-1]
+        after = np.flatnonzero(starts & ~first[:n] & (kind != _SPACE))
+        after = after[kind[after - 1] == _SPACE]  # what follows white space: its last character stands apart, or before it if a space
+        starts[after - 1] = True
+        starts[after[codes[after - 1] == 32]] = False
+        mark = np.flatnonzero((codes == 39) & starts)
+        mark = mark[mark + 1 < n]
+        mark = mark[(kind[mark + 1] == _LETTER) & ~first[mark + 1]]
+        one = codes[mark + 1]
+        two = np.where((mark + 2 < n) & ~first[np.minimum(mark + 2, n)], codes[np.minimum(mark + 2, n - 1)], 0)
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, 0)
+        for a, b in ("re", "ve", "ll"):
+            size[(one == ord(a)) & (two == ord(b))] = 2
+        mark, size = mark[size > 0], size[size > 0]
+        starts[mark + 1] = False
+        end = mark + 1 + size
+        starts[end[end < n]] = True
+        return starts
+
+    def _stretches(self, raw: bytes):
+        """A long text in parts between which no pre-token is cut: white space after a character that is none begins one."""
         at = 0
-        while at < len(text):
-            end = self.edge.search(text, at + STRETCH) if len(text) > at + STRETCH else None
-            stop = end.start() if end else len(text)
-            found = self.split.findall(text, at, stop) if stop == len(text) else self.split.findall(text[at:stop])
-            yield np.fromiter(map(len, found), np.int64, len(found)), text[at:stop]
+        while at < len(raw):
+            stop, found = at + STRETCH, None
+            while stop < len(raw) and found is None:
+                found = _EDGE.search(raw, stop)
+                stop = found.start() + 1 if found else len(raw)
+            yield raw[at : min(stop, len(raw))]
             at = stop
 
-    def __call__(self, text: str) -> list[np.ndarray]:
-        """Ids of a text, in parts."""
-        return [self._coded(size, part) for size, part in self._spans(text)]
-
-    def _coded(self, chars: np.ndarray, text: str) -> np.ndarray:
-        raw = text.encode()
-        data = np.frombuffer(raw + bytes(8), np.uint8)
-        ends = np.cumsum(chars)
-        if len(raw) != len(text):  # characters of several bytes: where each character begins
-            begins = np.append(np.flatnonzero((data[:-8] & 0xC0) != 0x80), len(raw))
-            ends = begins[ends]
-        return self.coded(raw, data, ends)
+    def __call__(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts that stand in a row, numbers of ids of each)."""
+        if len(offsets) == 2 and len(raw) > STRETCH:
+            ids = np.concatenate([self._coded(part, np.array([0, len(part)]))[0] for part in self._stretches(raw)])
+            return ids, np.array([len(ids)])
+        return self._coded(raw, offsets)
 
-    def coded(self, raw: bytes, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Ids of pre-tokens that follow one another and end there."""
-        return self.counted(raw, data, ends)[0]
+    def _coded(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends, before = self.ends(raw, offsets)
+        ids, n = self.counted(raw, np.frombuffer(raw + bytes(8), np.uint8), ends)
+        total = np.concatenate([[0], np.cumsum(n)])
+        return ids, np.diff(total[before])
 
     def counted(self, raw: bytes, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of them for each pre-token)."""
@@ -230,11 +287,8 @@ def encoded(docs: DataFrame, path: str, split: str, text: str = "text", ids: str
         own = coder(path, split)
         for b in batches:
             for row, data, offsets in pieces(b.column(text), 1 << 20):
-                raw = data.tobytes()
-                parts = [own(raw[a:z].decode()) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                n = np.array([sum(map(len, p)) for p in parts])
-                flat = [x for p in parts for x in p]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+                found, n = own(data.tobytes(), offsets)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(found))
                 yield pa.record_batch([*(b.column(c).slice(row, len(n)) for c in others), lists], names=[*others, ids])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others)

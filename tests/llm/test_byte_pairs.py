@@ -25,22 +25,36 @@ def library():
 
 
 def ids_of(text):
-    return np.concatenate([np.zeros(0, np.int32), *B.coder(PATH, SPLIT)(text)]).tolist()
+    return coded(B.coder(PATH, SPLIT), [text])[0]
+
+
+def coded(own, texts):
+    """Ids of each text, coded in one go."""
+    raw = [t.encode() for t in texts]
+    ids, n = own(b"".join(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
 def test_ids_are_the_librarys(library):
+    assert SPLIT == B.USUAL
+    assert coded(B.coder(PATH, SPLIT), [t or "" for t in TEXTS]) == [library.encode_ordinary(t or "") for t in TEXTS]
     for t in TEXTS:
         assert ids_of(t or "") == library.encode_ordinary(t or "")
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text() | st.text(alphabet="ab c'st\n ."))
-def test_any_text(text):
+@given(st.lists(st.text() | st.text(alphabet="ab c'srevlmdt\n .1"), min_size=1, max_size=4))
+def test_any_texts(texts):
     ranks = B.read_ranks(PATH)
     global _LIBRARY
     _LIBRARY = globals().get("_LIBRARY") or tiktoken.Encoding("any", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    assert ids_of(text) == _LIBRARY.encode_ordinary(text)
-    assert b"".join(B.coder(PATH, SPLIT).decoded(np.array(ids_of(text), np.int32))) == text.encode()
+    want = [_LIBRARY.encode_ordinary(t) for t in texts]
+    assert coded(B.coder(PATH, SPLIT), texts) == want
+    assert [b"".join(B.coder(PATH, SPLIT).decoded(np.array(ids, np.int32))) for ids in want] == [t.encode() for t in texts]
+    raw = [t.encode() for t in texts]  # as the pattern splits them
+    ends, before = B.coder(PATH, SPLIT).ends(b"".join(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    sizes = [len(m.encode()) for t in texts for m in B.coder(PATH, SPLIT).split.findall(t)]
+    assert np.diff(ends, prepend=0).tolist() == sizes and before[-1] == len(sizes)
 
 
 def test_every_token_is_found_whole_by_the_hash():
@@ -73,7 +87,14 @@ def test_stretches_and_forgetting_change_nothing(library, monkeypatch):
     own = B.Coder(B.read_ranks(PATH), SPLIT)
     own.known.most = 3
     for t in TEXTS * 2:
-        assert np.concatenate([np.zeros(0, np.int32), *own(t or "")]).tolist() == library.encode_ordinary(t or "")
+        assert coded(own, [t or ""])[0] == library.encode_ordinary(t or "")
+
+
+def test_another_pattern():
+    split = r"\p{L}+|[^\p{L}]"
+    own = B.Coder(B.read_ranks(PATH), split)
+    library = tiktoken.Encoding("other", pat_str=split, mergeable_ranks=own.ranks, special_tokens={})
+    assert coded(own, [t or "" for t in TEXTS]) == [library.encode_ordinary(t or "") for t in TEXTS]
 
 
 def test_query_rows(spark, make, library, tmp_path):
