@@ -9,6 +9,7 @@ their ids by 64-bit hashes of their bytes, which stand for them.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 from heapq import heapify, heappop, heappush
@@ -48,7 +49,18 @@ def pattern() -> str:
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Ranks by token of a file of lines, each a token in base64 and its rank."""
+    """Ranks by token of a file of lines, each a token in base64 and its rank, or of a byte-level BPE model in JSON.
+
+    There each byte is written as a character: the printable ones of Latin-1 as themselves, the others, in order, as those
+    from U+0100 on; merges stand in the order of the ids that they give.
+    """
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["content"] for t in model["added_tokens"] if t["special"]}
+        shown = [b for b in range(256) if chr(b).isprintable() and chr(b) != " " and b != 0xAD]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        return {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 

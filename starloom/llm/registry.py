@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_pairs, chat, decontaminate, language, licences, manifest, mixing, near_duplicates, passages, quality, token_index, vector_join
+from . import alignment, byte_pairs, chat, decontaminate, language, licences, manifest, mixing, near_duplicates, passages, quality, token_index, vector_join
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_passages": passages.op9_passages,
         "op10_quality": quality.op10_quality,
+        "op11_alignment": alignment.op11_alignment,
         "op12_byte_pairs": byte_pairs.op12_byte_pairs,
         "op13_manifest": manifest.op13_manifest,
     }
