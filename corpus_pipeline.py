@@ -2,7 +2,8 @@
 
 Every stage takes the documents that the one before it kept, with all their columns, and returns them as a DataFrame; the
 last returns a row for each document of the token store.  Documents with a null text are empty documents, those without
-an id are never taken for copies, and columns beyond the known ones travel along unread.
+an id are never taken for copies, rows that share an id are documents of their own, and columns beyond the known ones travel
+along unread.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from starloom.llm import decontaminate, mixing, near_duplicates, quality, token_index
 from starloom.llm.common import read, written
 
+#: The column that tells rows apart where ids don't.
+ROW = "__starloom_row"
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, doesn't reject."""
@@ -21,15 +25,31 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(F.col("__starloom_score") >= quality.THRESHOLD).drop("__starloom_score")
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column that tells its rows apart: doc_id if it does, else their number in a written copy.
+
+    Ids that several rows have, or rows without one, thus never stand for one another's texts.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if shared.isEmpty():
+        return docs, "doc_id"
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows"), ROW
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id, and one of its rows if it has several."""
-    found = written(near_duplicates.near_duplicates(docs).where("doc_id is not null"), "near-duplicates")
-    gone = written(found.where("not kept").select("doc_id").distinct(), "copies")
-    again = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
-    rest = docs.join(gone, "doc_id", "left_anti")
-    if not again.isEmpty():
-        rest = rest.join(again, "doc_id", "left_anti").union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return rest.select(docs.columns)
+    """One document of each group of near-duplicates: that with the smallest id, and the first of its rows if several are alike.
+
+    Each row is judged by its own text: one whose id another text shares stays if nothing is like it.  Rows without an id stay.
+    """
+    rows, key = told_apart(docs)
+    found = near_duplicates.near_duplicates(rows, doc_id=key).withColumnRenamed("doc_id", key)
+    if key == "doc_id":
+        gone = written(found.where("not kept").select(key), "copies")
+        return docs.join(gone, key, "left_anti").select(docs.columns)
+    members = written(found.select(key, "component_id").join(rows.select(key, "doc_id"), key), "members")
+    first = members.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("__starloom_first"))
+    gone = members.where("doc_id is not null").join(first, "component_id").where(F.col(key) != F.col(f"__starloom_first.{key}"))
+    return rows.join(written(gone.select(key), "copies"), key, "left_anti").select(docs.columns)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,18 +62,21 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: their words taken by their size, to the nearest whole number.
 
-    Documents without words count as taken once; rows without an id, which the mix can't be joined to, stay as they are.
+    Documents without words count as taken once.  Rows that share an id, or have none, are taken each by its own size.
     """
+    rows, key = told_apart(docs)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    taken = written(mixing.mix(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(times).alias("__starloom_times")), "taken")
+    sizes = rows.select(F.col(key).alias("doc_id"), "source", "text")
+    taken = written(mixing.mix(sizes).select(F.col("doc_id").alias(key), times.alias("__starloom_times")), "taken")
     # Both sides grow with the documents: the join is a shuffled one at every size.
-    joined = docs.join(taken.hint("merge"), "doc_id", "left").withColumn("__starloom_times", F.coalesce("__starloom_times", F.lit(1)))
-    copies = joined.where("__starloom_times > 0").withColumn("__starloom_copy", F.explode(F.sequence(F.lit(1), "__starloom_times")))
+    joined = rows.join(taken.hint("merge"), key).where("__starloom_times > 0")
+    copies = joined.withColumn("__starloom_copy", F.explode(F.sequence(F.lit(1), "__starloom_times")))
     return copies.select(docs.columns)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the token store: doc_id, start, n_tokens, ids_crc32."""
+    """Rows of the token store: doc_id, start, n_tokens, ids_crc32; rows that share an id follow one another by their texts' hashes,
+    each with a row of its own, and the store's index leads to the first of them."""
     return token_index.token_index(docs)[0]
 
 
