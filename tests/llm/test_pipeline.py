@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -89,6 +90,22 @@ def test_the_store_has_every_document_in_order(stages):
     assert sorted(tuple(r) for r in stages[5]) == want
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark, sf, make):
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    text = {n: " ".join(f"{n}{w}" for w in words) for n in "ABC"}
+    near = text["B"] + " more"
+    stage = lambda rows: sorted((r.doc_id, r.text) for r in C.one_of_each(spark, make(rows), sf).collect())
+    assert stage([(1, text["A"]), (2, text["A"]), (2, text["B"]), (3, text["C"])]) == [(1, text["A"]), (2, text["B"]), (3, text["C"])]
+    assert stage([(2, near), (1, text["A"]), (2, text["B"]), (2, text["B"])]) in ([(1, text["A"]), (2, text["B"])], [(1, text["A"]), (2, near)])
+    assert stage([(5, text["A"]), (4, text["A"]), (4, text["C"]), (4, text["C"])]) == [(4, text["A"]), (4, text["C"])]
+    docs = make([(1, "one two three", "en", "s"), (1, "four", "en", "s"), (None, "five six", "en", "s"), (1, "", "en", "t"), (7, "x " * 50, "en", "t")])
+    got = Counter((r.doc_id, r.text) for r in C.mixed(spark, docs, sf).collect())
+    assert set(got) <= {(r.doc_id, r.text) for r in docs.collect()} and got[1, ""] == 1
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    taken = mixing.mix(rows.drop("doc_id").withColumnRenamed("row", "doc_id")).collect()
+    assert sum(got.values()) == sum(int(r.taken / r.size + 0.5) if r.size else 1 for r in taken)
+
+
 def test_odd_rows_go_through_every_stage(spark, sf, make):
     text = "The first of the words that are here and the last of them."
     docs = make([(1, text), (1, text), (2, None), (3, ""), (None, text), (None, None), (4, "x" * 2_000_000), (5, text.upper(), None, None)])
