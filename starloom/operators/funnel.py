@@ -7,14 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import elliptical_radius, offset_position, to_pixel
+from ..functions.geometry import elliptical_radius, offset_position
 from .catalog import half_diagonal
 from .spatial import blocked, resolve_bricks
 
-#: Bit of a galaxy in maskbits.
-GALAXY_BIT = 1 << 12
-#: Side of the squares of pixels on which boxes and mask planes are joined.
-BLOCK = 64
 #: Reasons in the order of their tests.
 REASONS = ("footprint", "sga_overlap", "fetch", "coverage", "sga_maskbit", "error")
 
@@ -53,27 +49,6 @@ def structural_tests(candidates: DataFrame, atlas: DataFrame, bricks: DataFrame,
     return rows.withColumn("in_parent_brick", (F.col("brick") == F.col("parent_brick")).cast("int")).withColumn("clear", F.col("bad").isNull()).drop("bad")
 
 
-def mask_box(candidates: DataFrame, tiles: DataFrame, pixels: DataFrame, width: int, scale: float, size: Column) -> DataFrame:
-    """(id, on_grid, galaxy_pixels): the share of a candidate's box on its tile's grid, and pixels with a galaxy bit in it.
-
-    tiles (brick, tra, tdec, sample_id) name the mask plane of a brick; bounds are cut off to whole pixels toward zero.
-    Boxes meet only the pixels of the BLOCK x BLOCK squares that they reach.
-    """
-    x, y = to_pixel(F.col("ra"), F.col("dec"), F.col("tra"), F.col("tdec"), F.lit(scale), F.lit((width + 1) / 2))
-    rows = candidates.join(tiles, "brick").select("id", "sample_id", x.alias("px"), y.alias("py"), size.alias("size"))
-    for axis in "xy":
-        lo = F.greatest((F.col(f"p{axis}") - F.col("size") / 2).cast("int"), F.lit(0))
-        hi = F.least(F.greatest((F.col(f"p{axis}") + F.col("size") / 2).cast("int"), F.lit(0)), F.lit(width))
-        rows = rows.withColumn(f"{axis}0", F.least(lo, F.lit(width))).withColumn(f"{axis}1", F.greatest(hi, F.least(lo, F.lit(width))))
-    blocks = [F.when(F.col(f"{a}1") > F.col(f"{a}0"), F.sequence(F.floor(F.col(f"{a}0") / BLOCK), F.floor((F.col(f"{a}1") - 1) / BLOCK))) for a in "xy"]
-    rows = rows.withColumn("bx", F.explode_outer(blocks[0])).withColumn("by", F.explode_outer(blocks[1]))
-    hit = pixels.where(F.col("mask").bitwiseAND(GALAXY_BIT) != 0).select("sample_id", F.floor(F.col("x") / BLOCK).alias("bx"), F.floor(F.col("y") / BLOCK).alias("by"), "x", "y")
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    on_grid = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("size") * F.col("size"))
-    met = rows.select("id", "sample_id", "bx", "by", "x0", "x1", "y0", "y1", on_grid.alias("on_grid")).join(hit, ["sample_id", "bx", "by"], "left")
-    return met.groupBy("id").agg(F.first("on_grid").alias("on_grid"), F.count(F.when(inside, 1)).alias("galaxy_pixels"))
-
-
 def funnel(candidates: DataFrame, failed: DataFrame, boxes: DataFrame, coverage_min: float = 0.8) -> DataFrame:
     """Status and reason of candidates: the first test that fails counts."""
     rows = candidates.join(failed.select("brick", F.lit(True).alias("failed")).distinct(), "brick", "left").join(boxes, "id", "left")

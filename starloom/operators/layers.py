@@ -1,11 +1,10 @@
-"""Pixel masks: flags, ellipse paint, packing, verdicts, cutouts."""
+"""Pixel masks: flags of pixels, and shapes of detections."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import elliptical_radius, to_pixel
 from .catalog import positive
 
 #: Bits 2 to 7 of maskbits: bright stars and saturation; bit 12: an atlas galaxy.
@@ -38,49 +37,3 @@ def source_shapes(tractor: DataFrame, psf_fwhm_r: Column, radius_factor: float =
     radius = F.when(point, F.greatest(psf_fwhm_r * psf_factor, F.lit(least))).otherwise(F.greatest(F.col("shape_r") * radius_factor, F.lit(least)))
     ratio = F.when(point | (e <= 0), 1.0).otherwise((1.0 - e) / (1.0 + e))
     return tractor.withColumn("point", point).withColumn("radius", radius).withColumn("axis_ratio", ratio).withColumn("angle", F.degrees(F.atan2("shape_e2", "shape_e1")) * 0.5)
-
-
-def paint(frames: DataFrame, shapes: DataFrame, key: str, width: int) -> DataFrame:
-    """Distinct pixels (key, y, x) inside any shape (ra, dec, radius, axis_ratio, angle) of its frame (ra0, dec0, scale).
-
-    Only the pixels of a shape's bounding box are made.  North is up, east to the left, and a pixel's offset from the
-    shape's centre is scaled by the frame's pixel size.
-    """
-    x0, y0 = to_pixel(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"), F.col("scale"), F.lit((width + 1) / 2))
-    rows = shapes.join(frames.select(key, "ra0", "dec0", "scale"), key).select(key, "scale", "radius", "axis_ratio", "angle", x0.alias("x0"), y0.alias("y0"))
-    edge = F.col("radius") / F.col("scale")
-    near = [(F.col(c) > -edge) & (F.col(c) < edge + width) for c in ("x0", "y0")]
-    reach = F.ceil(edge).cast("int") + 1
-    rows = rows.where(near[0] & near[1])
-    for c in "xy":
-        lo = F.greatest(F.floor(f"{c}0").cast("int") - reach, F.lit(0))
-        hi = F.least(F.ceil(f"{c}0").cast("int") + reach, F.lit(width - 1))
-        rows = rows.withColumn(c, F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
-    east, north = (F.col("x0") - F.col("x")) * F.col("scale"), (F.col("y") - F.col("y0")) * F.col("scale")
-    return rows.where(elliptical_radius(east, north, F.col("angle"), F.col("axis_ratio")) <= F.col("radius")).select(key, "y", "x").distinct()
-
-
-def pack(pixels: DataFrame, sources: DataFrame, galaxies: DataFrame) -> DataFrame:
-    """Adds layers: 1 invalid, 2 bright, 4 source, 8 galaxy."""
-    key = ["sample_id", "y", "x"]
-    rows = pixels.join(sources.withColumn("_s", F.lit(SOURCE)), key, "left").join(galaxies.withColumn("_g", F.lit(GALAXY)), key, "left")
-    flags = invalid().cast("int") * INVALID + bright().cast("int") * BRIGHT
-    return rows.withColumn("layers", flags + F.coalesce("_s", F.lit(0)) + F.coalesce("_g", F.lit(0))).drop("_s", "_g")
-
-
-def verdict(packed: DataFrame) -> DataFrame:
-    """Shares of a sample's pixels: covered, and in each layer, and with the galaxy bit of the mask."""
-    bit = {n: F.col("layers").bitwiseAND(b) != 0 for n, b in (("invalid", INVALID), ("bright", BRIGHT), ("source", SOURCE), ("galaxy", GALAXY))}
-    return packed.groupBy("sample_id").agg((1.0 - share(bit["invalid"])).alias("valid_frac"), *(share(bit[n]).alias(f"{n}_frac") for n in ("bright", "source", "galaxy")), share(galaxy_bit()).alias("galaxy_bit_frac"))
-
-
-def cutout(pixels: DataFrame, centres: DataFrame, size: int) -> DataFrame:
-    """size x size pixels about a centre (sample_id, cx, cy) of each plane: index ceil(centre - size / 2) comes first; beyond
-    the plane sci and ivar are 0 and mask is 1."""
-    grid = F.sequence(F.lit(0), F.lit(size - 1))
-    rows = centres.select("sample_id", F.ceil(F.col("cx") - size / 2).cast("int").alias("x_lo"), F.ceil(F.col("cy") - size / 2).cast("int").alias("y_lo"))
-    rows = rows.withColumn("row", F.explode(grid)).withColumn("col", F.explode(grid))
-    rows = rows.select("sample_id", "row", "col", (F.col("y_lo") + F.col("row")).alias("y"), (F.col("x_lo") + F.col("col")).alias("x"))
-    planes = [f"{p}_{b}" for p in ("sci", "ivar") for b in BANDS]
-    joined = rows.join(pixels, ["sample_id", "y", "x"], "left")
-    return joined.select("sample_id", "row", "col", *[F.coalesce(p, F.lit(0.0)).alias(p) for p in planes], F.coalesce("mask", F.lit(1)).alias("mask"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,57 +55,134 @@ def with_stamps(groups: DataFrame, present: DataFrame, bands: tuple = ("g", "r",
     return every.join(present, ["group_name", "band"], "left_semi")
 
 
-def _fit(z: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple | None:
-    """Bounded Levenberg-Marquardt fit of amplitude, centre, alpha and beta of a circular Moffat; None if it doesn't settle."""
-    peak = float(z.max())
-    if not peak > 0:
-        return None
-    k = int(np.argmax(z))
-    p = np.array([peak, x[k], y[k], 3.0, 2.5])
-    lo = np.array([0.0, x[k] - 3, y[k] - 3, 0.3, 1.1])
-    hi = np.array([10 * peak, x[k] + 3, y[k] + 3, 30.0, 10.0])
-
-    def model(p):
-        r2 = (x - p[1]) ** 2 + (y - p[2]) ** 2
-        u = 1 + r2 / p[3] ** 2
-        f = u ** -p[4]
-        slope = p[0] * p[4] * f / u
-        grad = np.stack([f, slope * 2 * (x - p[1]) / p[3] ** 2, slope * 2 * (y - p[2]) / p[3] ** 2, slope * 2 * r2 / p[3] ** 3, -p[0] * f * np.log(u)], axis=1)
-        return p[0] * f, grad
-
-    damp = 1e-3
-    f, grad = model(p)
-    cost = float(((f - z) ** 2).sum())
-    for _ in range(steps):
-        a, g = grad.T @ grad, grad.T @ (f - z)
-        step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), -g)
-        q = np.clip(p + step, lo, hi)
-        f2, grad2 = model(q)
-        cost2 = float(((f2 - z) ** 2).sum())
-        if cost2 < cost:
-            small = cost - cost2 < 1e-10 * cost
-            p, f, grad, cost, damp = q, f2, grad2, cost2, damp / 3
-            if small:
-                return (*p, cost)
-        else:
-            damp *= 4
-            if damp > 1e10:  # no step leads down any more
-                return (*p, cost)
-    return None
-
-
-def fit_moffat(stamps: DataFrame, key: list[str]) -> DataFrame:
-    """A circular Moffat for each stamp of (key, y, x, value); stamps without a positive peak, and fits that don't settle, give no row.
-
-    One stamp is one group: at most a few thousand pixels.
+#: Stamps that are fitted together, and steps of a fit at most.
+TOGETHER, STEPS = 256, 200
+
+
+def _model(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Circular Moffats (stamps x pixels) and their derivatives by amplitude, centre, alpha and beta."""
+    amplitude, x0, y0, alpha, beta = (p[:, i, None] for i in range(5))
+    dx, dy = x[None, :] - x0, y[None, :] - y0
+    r2 = dx * dx + dy * dy
+    u = 1 + r2 / alpha**2
+    f = u**-beta
+    slope = amplitude * beta * f / u
+    return amplitude * f, np.stack([f, slope * 2 * dx / alpha**2, slope * 2 * dy / alpha**2, slope * 2 * r2 / alpha**3, -amplitude * f * np.log(u)], axis=2)
+
+
+def fits(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parameters, cost, whether it settled) of bounded Levenberg-Marquardt fits of stamps (a row of pixels each), all together.
+
+    The normal equations of all stamps that haven't settled are solved at once; each has its own damping.  A fit has
+    settled if its cost hardly falls any more, or if no step leads down where its slope is nought within the bounds.
+    """
+    n = len(z)
+    top = np.argmax(z, axis=1) if z.shape[1] else np.zeros(n, int)
+    peak = z.max(axis=1, initial=-np.inf)
+    p = np.stack([peak, x[top], y[top], np.full(n, 3.0), np.full(n, 2.5)], axis=1)
+    lo = np.stack([np.zeros(n), x[top] - 3, y[top] - 3, np.full(n, 0.3), np.full(n, 1.1)], axis=1)
+    hi = np.stack([10 * peak, x[top] + 3, y[top] + 3, np.full(n, 30.0), np.full(n, 10.0)], axis=1)
+    damp, settled = np.full(n, 1e-3), np.zeros(n, bool)
+    cost = np.full(n, np.inf)
+    live = np.flatnonzero(np.isfinite(peak) & (peak > 0))
+    f, grad = _model(p[live], x, y)
+    cost[live] = ((f - z[live]) ** 2).sum(axis=1)
+    for _ in range(STEPS):
+        if not len(live):
+            break
+        a = np.einsum("spi,spj->sij", grad, grad)
+        g = np.einsum("spi,sp->si", grad, f - z[live])
+        diagonal = np.einsum("sii->si", a)
+        a = a + (damp[live, None] * (diagonal + 1e-12))[:, :, None] * np.eye(5)
+        q = np.clip(p[live] + np.linalg.solve(a, -g[:, :, None])[:, :, 0], lo[live], hi[live])
+        f2, grad2 = _model(q, x, y)
+        cost2 = ((f2 - z[live]) ** 2).sum(axis=1)
+        better = cost2 < cost[live]
+        small = better & (cost[live] - cost2 < 1e-10 * cost[live])
+        won = live[better]
+        p[won], cost[won] = q[better], cost2[better]
+        f[better], grad[better] = f2[better], grad2[better]
+        damp[live] = np.where(better, damp[live] / 3, damp[live] * 4)
+        at = p[live]
+        free = ~((at <= lo[live]) & (g > 0) | (at >= hi[live]) & (g < 0))
+        flat = (np.abs(g * at) * free).max(axis=1) <= 1e-9 * (z[live] ** 2).sum(axis=1)
+        stuck = damp[live] > 1e10
+        settled[live[small | (stuck & flat)]] = True
+        stay = ~(small | stuck)
+        live, f, grad = live[stay], f[stay], grad[stay]
+    return p, cost, settled
+
+
+def _by_shape(b: pa.RecordBatch):
+    """(row numbers, values, x, y) of stamps of one shape, some at a time."""
+    width, height = b.column("width").to_numpy(), b.column("height").to_numpy()
+    lists = b.column("value")
+    flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    for w, h in sorted(set(zip(width.tolist(), height.tolist(), strict=True))):
+        every = np.flatnonzero((width == w) & (height == h))
+        y, x = (v.ravel().astype(float) for v in np.mgrid[0:h, 0:w])
+        for k in range(0, len(every), TOGETHER):
+            rows = every[k : k + TOGETHER]
+            yield rows, flat[at[rows][:, None] + np.arange(w * h)], x, y
+
+
+_FIT = ("amplitude", "x0", "y0", "alpha", "beta", "cost")
+
+
+def fit_stamps(stamps: DataFrame, keep: list[str]) -> DataFrame:
+    """A circular Moffat for each stamp (width, height, value as an array): what keep names, amplitude, x0, y0, alpha, beta, cost, fwhm_px.
+
+    Stamps without a positive peak, and fits that don't settle, give no row.
+    """
+
+    def work(batches):
+        for b in batches:
+            for rows, z, x, y in _by_shape(b):
+                p, cost, settled = fits(z, x, y)
+                taken = pa.array(rows[settled])
+                yield pa.record_batch([*(b.column(c).take(taken) for c in keep), *(pa.array(v) for v in p[settled].T), pa.array(cost[settled])], names=[*keep, *_FIT])
+
+    kinds = ", ".join(f"`{c}` {stamps.schema[c].dataType.simpleString()}" for c in keep)
+    found = stamps.select(*dict.fromkeys([*keep, "width", "height", "value"])).mapInArrow(work, kinds + "".join(f", {c} double" for c in _FIT))
+    return found.withColumn("fwhm_px", moffat_fwhm(F.col("alpha"), F.col("beta")))
+
+
+def residuals(fitted: DataFrame, keep: list[str]) -> DataFrame:
+    """tv_moffat and tv_gauss: half the L1 distance of unit-sum stamps (width, height, value) from unit-sum kernels of their fit's
+    centre (x0, y0) and fwhm_px: a Moffat of beta_band, and a Gaussian."""
+
+    def work(batches):
+        for b in batches:
+            at = {c: b.column(c).to_numpy() for c in ("x0", "y0", "fwhm_px", "beta_band")}
+            for rows, z, x, y in _by_shape(b):
+                x0, y0, width, beta = (at[c][rows][:, None] for c in ("x0", "y0", "fwhm_px", "beta_band"))
+                r2 = (x[None, :] - x0) ** 2 + (y[None, :] - y0) ** 2
+                alpha = width / (2 * np.sqrt(2 ** (1 / beta) - 1))
+                kernels = (1 + r2 / alpha**2) ** -beta, np.exp(-0.5 * r2 / (width / 2.3548) ** 2)
+                far = [0.5 * np.abs(z / z.sum(axis=1, keepdims=True) - k / k.sum(axis=1, keepdims=True)).sum(axis=1) for k in kernels]
+                yield pa.record_batch([*(b.column(c).take(pa.array(rows)) for c in keep), *map(pa.array, far)], names=[*keep, "tv_moffat", "tv_gauss"])
+
+    kinds = ", ".join(f"`{c}` {fitted.schema[c].dataType.simpleString()}" for c in keep)
+    return fitted.select(*dict.fromkeys([*keep, "width", "height", "value", "x0", "y0", "fwhm_px", "beta_band"])).mapInArrow(work, f"{kinds}, tv_moffat double, tv_gauss double")
+
+
+def library(stamps: DataFrame, keep: list[str]) -> DataFrame:
+    """Stamps (band, width, height, value) with their fits and, by the median beta of their band, the distances from both kernels.
+
+    keep names columns that tell the stamps apart, band among them.
     """
+    fitted = fit_stamps(stamps, [*dict.fromkeys([*keep, "width", "height", "value"])])
+    bands = fitted.groupBy("band").agg(F.percentile("beta", F.lit(0.5)).alias("beta_band"))
+    return residuals(fitted.join(F.broadcast(bands), "band"), [*keep, "x0", "y0", "alpha", "beta", "fwhm_px"])
+
+
+def as_arrays(pixels: DataFrame, key: list[str]) -> DataFrame:
+    """Stamps as arrays (key, width, height, value) of full grids of pixels (key, y, x, value)."""
+    one = pixels.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("y", "x", "value"))).alias("p"))
+    return one.select(*key, (F.array_max("p.x") + 1).alias("width"), (F.array_max("p.y") + 1).alias("height"), F.col("p.value").alias("value"))
 
-    def fit(pixels: pd.DataFrame) -> pd.DataFrame:
-        found = _fit(pixels["value"].to_numpy(), pixels["x"].to_numpy(float), pixels["y"].to_numpy(float))
-        names = ["amplitude", "x0", "y0", "alpha", "beta", "cost"]
-        rows = [] if found is None else [{**{k: pixels[k].iloc[0] for k in key}, **dict(zip(names, found, strict=True))}]
-        return pd.DataFrame(rows, columns=[*key, *names])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stamps.select(*key).schema)
-    fits = stamps.groupBy(*key).applyInPandas(fit, f"{kinds}, amplitude double, x0 double, y0 double, alpha double, beta double, cost double")
-    return fits.withColumn("fwhm_px", moffat_fwhm(F.col("alpha"), F.col("beta")))
+def fit_moffat(pixels: DataFrame, key: list[str]) -> DataFrame:
+    """fit_stamps of stamps given as pixels (key, y, x, value)."""
+    full = as_arrays(pixels, key).where(F.size("value") == F.col("width") * F.col("height"))
+    return fit_stamps(full, key)

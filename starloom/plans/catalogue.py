@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import catalog, companions, funnel, layers, ledger, psf, reports, select, spatial, stars
-from ..sources.views import PIXSCALE, view
+from ..functions import projection as P
+from ..functions.projection import with_jacobian
+from ..operators import catalog, companions, funnel, layers, ledger, psf, reports, select, spatial, stamps, stars, tiles
+from ..sources import images
+from ..sources.shared import folder, kept
+from ..sources.views import PIXSCALE, planes, view
 
 REGISTRY: dict = {}
 #: Stamps of the pixel view are so wide; the r-band seeing taken for all of them.
@@ -37,13 +41,13 @@ def _positions(spark, sf) -> DataFrame:
     return g.withColumn("id", F.col("sga_id")).withColumn("half_diag", catalog.half_diagonal(F.col("size_px")))
 
 
-def _targets(spark, sf) -> DataFrame:
-    return select.galaxy_targets(v(spark, sf, "galaxies"), v(spark, sf, "bricks"))
+def _targets(spark, sf, bricks: DataFrame | None = None) -> DataFrame:
+    return select.galaxy_targets(v(spark, sf, "galaxies"), v(spark, sf, "bricks") if bricks is None else bricks)
 
 
-def _proposed(spark, sf) -> DataFrame:
+def _proposed(spark, sf, bricks: DataFrame | None = None) -> DataFrame:
     atlas = _atlas(spark, sf).select(F.col("sga_id"), "ba", "pa", "sma_sb25", "sma_sb26")
-    t = _targets(spark, sf).select("sga_id", "ra", "dec", "d26", "size_px", "brick").join(atlas, "sga_id")
+    t = _targets(spark, sf, bricks).select("sga_id", "ra", "dec", "d26", "size_px", "brick").join(atlas, "sga_id")
     rows = t.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
     angle = F.pmod(F.col("k") * 45 + F.col("sga_id") * 7, F.lit(360)).cast("double")
     slack = F.pmod(F.col("sga_id") * 13 + F.col("k") * 29, F.lit(50)) / 100.0
@@ -51,19 +55,17 @@ def _proposed(spark, sf) -> DataFrame:
     return out.select((F.col("sga_id") * 8 + F.col("k")).alias("id"), F.col("sga_id").alias("parent_sga_id"), "k", "ra", "dec", "pa_deg", "sep_arcsec", "size_px", "half_diag", F.col("brick").alias("parent_brick"))
 
 
-def _tiles(spark, sf) -> DataFrame:
-    """The mask plane of each brick, and whether it failed to come."""
-    b = v(spark, sf, "bricks")
-    plane = (F.col("nexp_g") * 31 + F.col("nexp_r") * 7 + F.col("nexp_z")) % 500
-    return b.select(F.col("brickname").alias("brick"), F.col("ra").alias("tra"), F.col("dec").alias("tdec"), plane.cast("long").alias("sample_id"), (F.col("nexp_r") % 9 == 4).alias("failed"))
-
-
 def _tested(spark, sf) -> DataFrame:
-    # Each test joins the candidates again, so what they are made from is kept, and lost parts of it are made anew.
-    rows = funnel.structural_tests(_proposed(spark, sf).persist(), _atlas(spark, sf), v(spark, sf, "bricks")).persist()
-    tiles = _tiles(spark, sf)
-    boxes = funnel.mask_box(rows, tiles.drop("failed"), v(spark, sf, "pixels"), WIDTH, 112.5, F.lit(2))
-    return funnel.funnel(rows, tiles.where("failed"), boxes)
+    """Candidates through all tests; bricks and candidates are derived once and read by each test."""
+    bricks = kept(v(spark, sf, "bricks"), "bricks")
+    proposed = kept(_proposed(spark, sf, bricks), "candidates")
+    rows = kept(funnel.structural_tests(proposed, _atlas(spark, sf), bricks), "tested")
+    plane = (F.col("nexp_g") * 31 + F.col("nexp_r") * 7 + F.col("nexp_z")) % 500
+    tiles = bricks.select(F.col("brickname").alias("brick"), F.col("ra").alias("tra"), F.col("dec").alias("tdec"), plane.cast("long").alias("sample_id"))
+    masks = tiles.join(planes(spark, sf).select("sample_id", "width", "height", "mask"), "sample_id", "left").withColumn("mask", F.coalesce("mask", F.array_repeat(F.lit(0), WIDTH * WIDTH)))
+    masks = masks.withColumns({c: F.coalesce(c, F.lit(WIDTH)) for c in ("width", "height")})
+    boxes = stamps.mask_boxes(rows, masks, F.lit(2), 112.5)
+    return funnel.funnel(rows, bricks.where("nexp_r % 9 = 4").select(F.col("brickname").alias("brick")), boxes)
 
 
 def _finished(spark, sf) -> DataFrame:
@@ -141,11 +143,17 @@ def tractor_shapes(spark, sf):
 
 @query
 def wcs_roundtrip(spark, sf):
-    g = v(spark, sf, "galaxies").select("sga_id", "ra", "dec", (F.col("ra") + F.col("d26") / 100).alias("ra2"), (F.col("dec") - F.col("d26") / 200).alias("dec2"))
-    x, y = G.to_pixel(F.col("ra2"), F.col("dec2"), F.col("ra"), F.col("dec"), F.lit(PIXSCALE), F.lit(33.0))
+    """Positions onto turned, flipped and sheared frames and back, and the slopes of the sky there."""
+    g = v(spark, sf, "galaxies").select("sga_id", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), (F.col("ra") + F.col("d26") / 100).alias("ra2"), (F.col("dec") - F.col("d26") / 200).alias("dec2"))
+    turn, k = F.radians(F.pmod(F.col("sga_id") * 29, F.lit(360)).cast("double")), F.col("sga_id")
+    flip, shear = F.when(k % 2 == 0, 1.0).otherwise(-1.0), F.when(k % 3 == 0, 0.1).otherwise(0.0)
+    cd = {"cd11": -PIXSCALE * flip * F.cos(turn), "cd12": PIXSCALE * (F.sin(turn) + shear), "cd21": PIXSCALE * flip * F.sin(turn), "cd22": PIXSCALE * F.cos(turn)}
+    g = g.withColumns({"crpix1": F.lit(33.0), "crpix2": F.lit(30.0), **cd})
+    x, y = P.pixel(P.frame(), F.col("ra2"), F.col("dec2"))
     g = g.withColumn("x", x).withColumn("y", y)
-    ra, dec = G.to_world(F.col("x"), F.col("y"), F.col("ra"), F.col("dec"), F.lit(PIXSCALE), F.lit(33.0))
-    return rounded(g.select("sga_id", "x", "y", ra.alias("back_ra"), dec.alias("back_dec")), x=4, y=4)
+    ra, dec = P.world(P.frame(), F.col("x"), F.col("y"))
+    slopes = P.jacobian(P.frame(), F.lit(31.5), F.lit(31.5))
+    return rounded(g.select("sga_id", "x", "y", ra.alias("back_ra"), dec.alias("back_dec"), *((F.round(e, 5) + 0.0).alias(n) for n, e in zip(("je_x", "je_y", "jn_x", "jn_y"), slopes, strict=True))), x=4, y=4)
 
 
 # --- selection, footprint, isolation
@@ -314,27 +322,42 @@ def companion_thresholds(spark, sf):
 
 
 def _frames(spark, sf) -> DataFrame:
-    """A frame for each stamp: the position of the galaxy of its number, scaled to its stamp's side."""
+    """A frame for each stamp: the position of the galaxy of its number, scaled to its stamp's side, turned, flipped and sheared by it."""
     g = _atlas(spark, sf).withColumn("size_px", catalog.stamp_side())
-    side = F.col("size_px") * PIXSCALE
-    f = g.select(F.col("sga_id").alias("sample_id"), F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), (side / WIDTH).alias("scale"), (F.sqrt(F.lit(2.0)) * 0.5 * side).alias("half_diag"))
-    return f.join(v(spark, sf, "pixels").select("sample_id").distinct(), "sample_id", "left_semi")
+    side, turn, k = F.col("size_px") * PIXSCALE, F.radians(F.pmod(F.col("sga_id") * 29, F.lit(360)).cast("double")), F.col("sga_id")
+    scale, flip, shear = side / WIDTH, F.when(k % 2 == 0, 1.0).otherwise(-1.0), F.when(k % 3 == 0, 0.1).otherwise(0.0)
+    cd = {"cd11": -scale * flip * F.cos(turn), "cd12": scale * (F.sin(turn) + shear), "cd21": scale * flip * F.sin(turn), "cd22": scale * F.cos(turn)}
+    mid, wide = F.lit((WIDTH + 1) / 2), F.lit(WIDTH)
+    f = g.select(k.alias("sample_id"), F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), mid.alias("crpix1"), mid.alias("crpix2"), *(c.alias(n) for n, c in cd.items()), scale.alias("scale"), wide.alias("width"), wide.alias("height"), (F.sqrt(F.lit(2.0)) * 0.5 * side).alias("half_diag"))
+    ids = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"))
+    return with_jacobian(f.join(ids, "sample_id", "left_semi"), wide, wide)
 
 
-def _source_paint(spark, sf) -> DataFrame:
-    shapes = layers.source_shapes(v(spark, sf, "tractor").where("trim(ref_cat) <> 'L3'"), F.lit(SEEING)).withColumnRenamed("grp", "sample_id")
-    return layers.paint(_frames(spark, sf), shapes, "sample_id", WIDTH)
+def _source_shapes(spark, sf) -> DataFrame:
+    shapes = layers.source_shapes(v(spark, sf, "tractor").where("trim(ref_cat) <> 'L3'"), F.lit(SEEING))
+    return shapes.select(F.col("grp").alias("sample_id"), F.lit(layers.SOURCE).alias("bit"), "ra", "dec", "radius", "axis_ratio", "angle")
 
 
-def _galaxy_paint(spark, sf) -> DataFrame:
+def _galaxy_shapes(spark, sf) -> DataFrame:
     frames, atlas = _frames(spark, sf), _atlas(spark, sf)
     near = spatial.overlapping(frames.select(F.col("sample_id").alias("id"), F.col("ra0").alias("ra"), F.col("dec0").alias("dec"), "half_diag"), atlas)
-    shapes = near.select(F.col("id").alias("sample_id"), "sga_id").join(atlas, "sga_id").select("sample_id", "ra", "dec", F.col("r26").alias("radius"), F.col("ba").alias("axis_ratio"), F.col("pa").alias("angle"))
-    return layers.paint(frames, shapes, "sample_id", WIDTH)
+    return near.select(F.col("id").alias("sample_id"), "sga_id").join(atlas, "sga_id").select("sample_id", F.lit(layers.GALAXY).alias("bit"), "ra", "dec", F.col("r26").alias("radius"), F.col("ba").alias("axis_ratio"), F.col("pa").alias("angle"))
+
 
+def _layered(spark, sf, shapes: DataFrame, keep: tuple = ()) -> DataFrame:
+    frames = _frames(spark, sf)
+    slopes = frames.select("sample_id", "je_x", "je_y", "jn_x", "jn_y")
+    return stamps.layered(planes(spark, sf).join(slopes, "sample_id", "left"), stamps.ellipses_of(frames, shapes, "sample_id"), "sample_id", keep)
 
-def _packed(spark, sf) -> DataFrame:
-    return layers.pack(v(spark, sf, "pixels"), _source_paint(spark, sf), _galaxy_paint(spark, sf))
+
+def _packed(spark, sf, keep: tuple = ()) -> DataFrame:
+    return _layered(spark, sf, _source_shapes(spark, sf).unionByName(_galaxy_shapes(spark, sf)), keep)
+
+
+def _places(found: DataFrame, bit: int) -> DataFrame:
+    """How many pixels have a layer, and the sum of their numbers."""
+    at = found.select("sample_id", F.expr(f"filter(sequence(0, size(layers) - 1), i -> (layers[i] & {bit}) <> 0)").alias("at"))
+    return at.where(F.size("at") > 0).select("sample_id", F.size("at").cast("long").alias("n"), F.expr("aggregate(at, 0L, (s, i) -> s + i)").alias("places"))
 
 
 @query
@@ -349,22 +372,22 @@ def layer_bright(spark, sf):
 
 @query
 def layer_source(spark, sf):
-    return _source_paint(spark, sf).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum((F.col("y") * 8 + F.col("x")).cast("long")).alias("places"))
+    return _places(_layered(spark, sf, _source_shapes(spark, sf)), layers.SOURCE)
 
 
 @query
 def layer_galaxy(spark, sf):
-    return _galaxy_paint(spark, sf).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum((F.col("y") * 8 + F.col("x")).cast("long")).alias("places"))
+    return _places(_layered(spark, sf, _galaxy_shapes(spark, sf)), layers.GALAXY)
 
 
 @query
 def layers_packed(spark, sf):
-    return _packed(spark, sf).groupBy("sample_id", "layers").agg(F.count("*").alias("n"))
+    return _packed(spark, sf).select("sample_id", F.posexplode("counts").alias("layers", "n")).where("n > 0")
 
 
 @query
 def layer_verdict(spark, sf):
-    return rounded(layers.verdict(_packed(spark, sf)))
+    return rounded(stamps.verdict(_packed(spark, sf), "sample_id"))
 
 
 @query
@@ -375,28 +398,24 @@ def coverage_verdict(spark, sf):
 
 @query
 def cutout_partial(spark, sf):
-    p = v(spark, sf, "pixels")
-    centres = p.select("sample_id").distinct().select("sample_id", (F.col("sample_id") % 9).cast("double").alias("cx"), (F.col("sample_id") % 7 + 0.25).alias("cy"))
-    c = layers.cutout(p, centres, 6)
-    return c.groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.sum("sci_r"), 6).alias("sci_r"), F.round(F.sum(F.col("ivar_z") * (F.col("row") * 6 + F.col("col"))), 5).alias("ivar_z"), F.sum(F.col("mask").cast("long")).alias("mask"))
+    p = planes(spark, sf)
+    centres = p.select("sample_id", (F.col("sample_id") % 9).cast("double").alias("cx"), (F.col("sample_id") % 7 + 0.25).alias("cy"))
+    c = stamps.cutouts(p, centres, "sample_id", 6)
+    sums = {"sci_r": F.round(F.expr("aggregate(sci_r, 0D, (s, x) -> s + x)"), 6), "ivar_z": F.round(F.expr("aggregate(sequence(0, size(ivar_z) - 1), 0D, (s, i) -> s + ivar_z[i] * i)"), 5), "mask": F.expr("aggregate(mask, 0L, (s, x) -> s + x)")}
+    return c.select("sample_id", F.size("sci_r").cast("long").alias("n"), *(e.alias(n) for n, e in sums.items()))
 
 
 @query
 def psf_fwhm(spark, sf):
-    """The value at a frame's centre pixel, or the median of the covered pixels around it, or 0."""
-    p = v(spark, sf, "pixels").withColumn("value", F.greatest(F.col("sci_r"), F.lit(0.0)))
-    c = p.withColumn("col", F.rint((F.col("sample_id") % 17) / 2).cast("int")).withColumn("row", F.rint((F.col("sample_id") % 15) / 2).cast("int"))
-    c = c.withColumn("col", F.least("col", F.lit(7))).withColumn("row", F.least("row", F.lit(7)))
-    box = (F.abs(F.col("x") - F.col("col")) <= 2) & (F.abs(F.col("y") - F.col("row")) <= 2)
-    at = c.groupBy("sample_id").agg(F.max(F.when((F.col("x") == F.col("col")) & (F.col("y") == F.col("row")), F.col("value"))).alias("centre"), F.median(F.when(box & (F.col("value") > 0), F.col("value"))).alias("around"))
-    return rounded(at.select("sample_id", F.when(F.col("centre") > 0, F.col("centre")).otherwise(F.coalesce("around", F.lit(0.0))).alias("fwhm")))
+    """The value at a position's pixel, or the median of the covered pixels in its stamp's box, or 0, in each band."""
+    p = planes(spark, sf).select("sample_id", "width", "height", *[F.transform(f"sci_{b}", lambda x: F.greatest(x, F.lit(0.0))).alias(f"psf_{b}") for b in layers.BANDS])
+    k = F.col("sample_id")
+    return rounded(stamps.seeings(p, p.select("sample_id", ((k % 17) / 2).alias("cx"), ((k % 15) / 2).alias("cy"), (k % 5 + 2).cast("int").alias("size_px")), "sample_id"))
 
 
 @query
 def pull_stats(spark, sf):
-    p = _packed(spark, sf).where(~layers.invalid() & (F.col("layers") == 0))
-    pull = F.col("sci_r") * F.sqrt("ivar_r")
-    return rounded(p.agg(F.count("*").alias("n"), F.avg(pull).alias("pull_mean"), F.stddev_pop(pull).alias("pull_std"), F.avg((F.col("sci_r") < 0).cast("double")).alias("negative")))
+    return rounded(stamps.pulls(_packed(spark, sf, ("sci_r", "ivar_r"))))
 
 
 @query
@@ -407,8 +426,7 @@ def mad_sigma(spark, sf):
 
 @query
 def extreme_samples(spark, sf):
-    w = _packed(spark, sf)
-    rows = layers.verdict(w).select("sample_id", F.round("galaxy_frac", 6).alias("f"))
+    rows = stamps.verdict(_packed(spark, sf), "sample_id").select("sample_id", F.round("galaxy_frac", 6).alias("f"))
     return rows.agg(F.max(F.struct("f", -F.col("sample_id"))).alias("hi"), F.min(F.struct("f", "sample_id")).alias("lo")).select((-F.col("hi.col2")).alias("most"), F.col("hi.f").alias("most_frac"), F.col("lo.sample_id").alias("least"), F.col("lo.f").alias("least_frac"))
 
 
@@ -430,6 +448,95 @@ def galaxy_bit_share(spark, sf):
     return rounded(v(spark, sf, "ledger").groupBy("status").agg(F.avg((F.col("galaxy_bit_frac") > 0).cast("double")).alias("share")))
 
 
+# --- image files
+
+#: Stamps of a tile along each side, and what there is of a tile.
+GRID, TILE = 4, 32
+_TILE_PLANES = {f"{k}_{b}": "f8" for k in ("sci", "ivar", "psf") for b in layers.BANDS}
+
+
+def _tile_frame(tile) -> P.Frame:
+    """A tile's place on the sky, turned by its number."""
+    turn = F.radians((tile * 29 % 360).cast("double"))
+    cd = (-PIXSCALE * F.cos(turn), PIXSCALE * F.sin(turn), PIXSCALE * F.sin(turn), PIXSCALE * F.cos(turn))
+    return P.Frame((tile % 350).cast("double") + 5.0, (tile % 80).cast("double") - 40.0, F.lit(16.5), F.lit(16.5), *cd)
+
+
+def _tile_paths(spark, sf) -> DataFrame:
+    """Tiles of GRID x GRID stamps as compressed files, one with floats and one with the mask: (brick, plane, file)."""
+    stamp = planes(spark, sf).withColumns({f"psf_{b}": F.transform(f"sci_{b}", lambda x: F.greatest(x, F.lit(0.0))) for b in layers.BANDS})
+    stamp = stamp.withColumn("tile", F.expr("sample_id div 16")).withColumn("slot", (F.col("sample_id") % 16).cast("int"))
+    slots = stamp.select("tile").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    names = [*_TILE_PLANES, "mask"]
+    every = slots.join(stamp.select("tile", "slot", *names), ["tile", "slot"], "left").withColumns({n: F.coalesce(n, F.array_repeat(F.lit(0).cast("int" if n == "mask" else "double"), WIDTH * WIDTH)) for n in names})
+    one = every.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("slot", *names))).alias("s"))
+
+    def mosaic(name: str):
+        at = f"transform(sequence(0, {TILE * TILE - 1}), i -> cast(s[cast((i div 32) div 8 * 4 + (i % 32) div 8 as int)].{name}[cast((i div 32) % 8 * 8 + i % 8 as int)] as double))"
+        kind = F.lit(_TILE_PLANES.get(name, "i2"))
+        return F.struct(F.lit(name).alias("name"), kind.alias("kind"), F.lit(TILE).alias("width"), F.lit(1).alias("depth"), F.expr(at).alias("pixels"))
+
+    f = _tile_frame(F.col("tile"))
+    head = dict(zip(("CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2"), f[:4], strict=True)) | {k: c / 3600.0 for k, c in zip(("CD1_1", "CD1_2", "CD2_1", "CD2_2"), f[4:], strict=True)}
+    cards = F.create_map(*[x for k, c in head.items() for x in (F.lit(k), c.cast("string"))]).alias("cards")
+    root = folder(spark, "tiles")
+    images.register(spark)
+    for kind, packed, some in (("planes", "GZIP_1", list(_TILE_PLANES)), ("maskbits", "RICE_1", ["mask"])):
+        rows = one.select(F.format_string(f"t%d/{kind}.fits.fz", "tile").alias("file"), F.array(*[mosaic(n) for n in some]).alias("planes"), cards)
+        rows.write.format("fits-planes").mode("append").option("path", root).option("packed", packed).save()
+    base = root.removeprefix("file://")
+    paths = [F.struct(F.lit(n).alias("plane"), F.format_string(f"{base}/t%d/{'maskbits' if n == 'mask' else 'planes'}.fits.fz", "tile").alias("file")) for n in names]
+    ids = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.expr("vec_id div 16").alias("tile")).distinct()
+    return ids.select(F.format_string("t%d", "tile").alias("brick"), "tile", F.explode(F.array(*paths)).alias("p")).select("brick", "tile", "p.*")
+
+
+@query
+def scan_images(spark, sf):
+    """Rows 8 to 23 of the mask planes, read from Rice-coded files: other planes and tiles are never opened."""
+    root = _tile_paths(spark, sf).where("plane = 'mask'").head()
+    if root is None:
+        return spark.createDataFrame([], "brick string, n_rows long, mask_sum long, places long")
+    found = images.images(spark, root.file.rsplit("/", 2)[0], ("mask",), 8, 24)
+    weighted = F.expr("aggregate(sequence(0, size(values) - 1), 0L, (s, i) -> s + cast(values[i] as long) * (y * 32 + i))")
+    total = F.expr("aggregate(values, 0L, (s, x) -> s + cast(x as long))")
+    return found.select(F.element_at(F.split("file", "/"), -2).alias("brick"), total.alias("t"), weighted.alias("w")).groupBy("brick").agg(F.count("*").alias("n_rows"), F.sum("t").alias("mask_sum"), F.sum("w").alias("places"))
+
+
+@query
+def tile_cutouts(spark, sf):
+    """Cutouts, coverage and seeing of samples by their places on the sky, from tiles' files that are opened once for all of them."""
+    paths = kept(_tile_paths(spark, sf), "paths")
+    files = tiles.tile_files(spark, paths)
+    s = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id")).withColumn("tile", F.expr("id div 16"))
+    x = F.expr("id % 4") * 8 + F.col("id") % 9 + 0.3
+    y = F.expr("id % 16 div 4") * 8 + F.col("id") % 7 + 0.3
+    ra, dec = P.world(_tile_frame(F.col("tile")), x, y)
+    s = s.select("id", F.format_string("t%d", "tile").alias("brick"), ra.alias("ra"), dec.alias("dec"), (F.col("id") % 5 + 4).cast("int").alias("size_px"))
+    c = tiles.cut_samples(tiles.placed(s, files), files)
+    sums = {"sci_r": F.expr("aggregate(sci_r, 0D, (s, x) -> s + x)"), "ivar_z": F.expr("aggregate(sequence(0, size(ivar_z) - 1), 0D, (s, i) -> s + ivar_z[i] * i)"), "mask": F.expr("aggregate(mask, 0L, (s, x) -> s + x)")}
+    valid = F.expr("size(filter(arrays_zip(ivar_g, ivar_r, ivar_z), p -> p.ivar_g > 0 and p.ivar_r > 0 and p.ivar_z > 0)) / size(ivar_g)")
+    return rounded(c.select("id", F.size("mask").cast("long").alias("n"), *(e.alias(n) for n, e in sums.items()), valid.alias("valid_frac"), "psf_g", "psf_r", "psf_z"), ivar_z=5)
+
+
+@query
+def sample_files(spark, sf):
+    """Samples with their layers written as files of four images, and the shares of their layers as they are read back."""
+    found = _packed(spark, sf, ("width", *tiles.PLANES, "mask"))
+    root = folder(spark, "samples")
+    rows = tiles.sample_rows(found, F.format_string("b%d/sga_%d.fits", F.expr("sample_id div 100"), "sample_id"), {"PIXSCALE": F.lit(PIXSCALE), "SAMPLE": F.col("sample_id")})
+    images.register(spark)
+    rows.write.format("fits-planes").mode("append").option("path", root).option("primary", "true").save()
+    read = images.images(spark, root.removeprefix("file://"), ("LAYERS", "MASK", "SCI:1"))
+    key = F.regexp_extract("file", r"sga_(\d+)\.fits$", 1).cast("long").alias("sample_id")
+    bit = lambda n: F.expr(f"size(filter(values, x -> (cast(x as int) & {n}) <> 0))")
+    each = read.select(key, "plane", F.size("values").alias("n"), *(bit(n).alias(f"n_{n}") for n in (1, 2, 4, 8, 4096)), F.expr("aggregate(values, 0D, (s, x) -> s + x)").alias("total"))
+    of = lambda plane, c: F.sum(F.when(F.col("plane") == plane, F.col(c)))
+    n = of("LAYERS", "n")
+    shares = [(of("LAYERS", f"n_{b}") / n).alias(f"{name}_frac") for name, b in (("bright", 2), ("source", 4), ("galaxy", 8))]
+    sums = each.groupBy("sample_id").agg((1.0 - of("LAYERS", "n_1") / n).alias("valid_frac"), *shares, (of("MASK", "n_4096") / of("MASK", "n")).alias("galaxy_bit_frac"), F.round(of("SCI:1", "total"), 4).alias("sci_r"))
+    return rounded(sums)
+
+
 # --- point-spread functions
 
 
@@ -473,13 +580,27 @@ def total_variation(spark, sf):
     return rounded(psf.total_variation(_stamps(spark, sf), ["sample_id", "band"], psf.gaussian(_r2(), _fwhm())))
 
 
+def _profiles(spark, sf) -> DataFrame:
+    """Stamps of 15 x 15 pixels with a Moffat of known width and slope about a known centre, one for each vector and band."""
+    k = F.col("sample_id")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.posexplode(F.array(*[F.lit(b) for b in "grz"])).alias("i", "band"))
+    rows = rows.withColumns({"fwhm": k % 5 / 2 + 2.0 + F.col("i") / 10, "b": k % 17 / 10 + 2.0, "x_at": (k % 7 - 3) / 10 + 7.0, "y_at": (k % 11 - 5) / 20 + 7.0})
+    rows = rows.withColumn("a", psf.moffat_alpha(F.col("fwhm"), F.col("b")))
+    r2 = "((i % 15 - x_at) * (i % 15 - x_at) + (i div 15 - y_at) * (i div 15 - y_at))"
+    value = F.expr(f"transform(sequence(0, 224), i -> pow(1 + {r2} / (a * a), -b))").alias("value")
+    return rows.select("sample_id", "band", F.lit(15).alias("width"), F.lit(15).alias("height"), value)
+
+
+@query
+def psf_library(spark, sf):
+    """Fits of known profiles: centre, alpha, beta and width come back to four digits."""
+    return rounded(psf.fit_stamps(_profiles(spark, sf), ["sample_id", "band"]).select("sample_id", "band", "x0", "y0", "alpha", "beta", "fwhm_px"), x0=4, y0=4, alpha=4, beta=4, fwhm_px=4)
+
+
 @query
 def psf_summary(spark, sf):
-    s = _stamps(spark, sf)
-    key = ["sample_id", "band"]
-    m = psf.total_variation(s, key, psf.moffat(_r2(), psf.moffat_alpha(_fwhm(), F.lit(2.8)), F.lit(2.8))).withColumnRenamed("total_variation", "tv_moffat")
-    g = psf.total_variation(s, key, psf.gaussian(_r2(), _fwhm())).withColumnRenamed("total_variation", "tv_gauss")
-    return rounded(psf.summary(m.join(g, key).withColumn("beta", _beta()).withColumn("fwhm_px", _fwhm())))
+    """Figures of each band, from fits to the distances from kernels of the band's median beta."""
+    return rounded(psf.summary(psf.library(_profiles(spark, sf), ["sample_id", "band"])), **{n: 5 for n in ("beta_median", "beta_q25", "beta_q75", "fwhm_median_arcsec", "tv_moffat_median", "tv_moffat_p90", "tv_gauss_median", "tv_gauss_p90")})
 
 
 @query

@@ -102,20 +102,48 @@ comp AS (SELECT cm.sga_id, CASE WHEN tf > 0 THEN coalesce(ratio, 0e0) ELSE 'NaN'
   FROM cm LEFT JOIN (SELECT * FROM cb WHERE rk = 1) b USING (sga_id))"""
 
 
+def _cd_pixel(ra: str, dec: str, f: str = "", crpix: tuple[str, str] = ("4.5e0", "4.5e0")) -> tuple[str, str]:
+    """A position in a frame (ra0, dec0, cd11 ...): the plane's offsets through the inverse of its matrix."""
+    east, north = _pixel(ra, dec, f"{f}ra0", f"{f}dec0", "1e0", "1e0")
+    xi, eta, det = f"(-{east})", north, f"({f}cd11 * {f}cd22 - {f}cd12 * {f}cd21)"
+    return f"(({f}cd22 * {xi} - {f}cd12 * {eta}) / {det} + {crpix[0]} - 1)", f"(({f}cd11 * {eta} - {f}cd21 * {xi}) / {det} + {crpix[1]} - 1)"
+
+
+def _cd_world(dx: str, dy: str) -> tuple[str, str]:
+    """The position of pixel offsets from the reference pixel."""
+    xi, eta = f"{R}((cd11 * ({dx}) + cd12 * ({dy})) / 36e2)", f"{R}((cd21 * ({dx}) + cd22 * ({dy})) / 36e2)"
+    below = f"(cos({R}(dec0)) - {eta} * sin({R}(dec0)))"
+    return _mod(f"ra0 + degrees(atan2({xi}, {below}))"), f"degrees(atan2(sin({R}(dec0)) + {eta} * cos({R}(dec0)), sqrt({xi} * {xi} + {below} * {below})))"
+
+
+def _slopes(dx: float, dy: float) -> str:
+    """je_x, je_y, jn_x, jn_y at pixel offsets from the reference pixel, by steps of a pixel."""
+    (a, d), (ax, dx_), (ay, dy_) = (_cd_world(f"{x}e0", f"{y}e0") for x, y in ((dx, dy), (dx + 1, dy), (dx, dy + 1)))
+    east = lambda to: f"({_mod(f'{to} - {a} + 180e0')} - 180e0) * cos({R}({d})) * 36e2"
+    return f"{east(ax)} AS je_x, {east(ay)} AS je_y, ({dx_} - {d}) * 36e2 AS jn_x, ({dy_} - {d}) * 36e2 AS jn_y"
+
+
+def _cd(k: str, scale: str) -> str:
+    t, f, sh = f"{R}((({k} * 29) % 360)::DOUBLE)", f"CASE WHEN {k} % 2 = 0 THEN 1e0 ELSE -1e0 END", f"CASE WHEN {k} % 3 = 0 THEN 0.1e0 ELSE 0e0 END"
+    return f"-{scale} * ({f}) * cos({t}) AS cd11, {scale} * (sin({t}) + ({sh})) AS cd12, {scale} * ({f}) * sin({t}) AS cd21, {scale} * cos({t}) AS cd22"
+
+
 def _paint(shapes: str, to: str) -> str:
     """Every pixel against every shape of its frame."""
-    x0, y0 = _pixel("s.ra", "s.dec", "f.ra0", "f.dec0", "f.scale", "4.5e0")
-    return f"""{to}_at AS (SELECT f.sample_id, f.scale, radius, s.axis_ratio, s.angle, {x0} AS x0, {y0} AS y0 FROM frames f JOIN {shapes} s USING (sample_id)),
+    x0, y0 = _cd_pixel("s.ra", "s.dec", "f.")
+    return f"""{to}_at AS (SELECT f.sample_id, f.scale, je_x, je_y, jn_x, jn_y, radius, s.axis_ratio, s.angle, {x0} AS x0, {y0} AS y0 FROM frames f JOIN {shapes} s USING (sample_id)),
 {to} AS (SELECT DISTINCT sample_id, y, x FROM {to}_at, (SELECT unnest(range(0, 8)) AS y) yy, (SELECT unnest(range(0, 8)) AS x) xx
-  WHERE x0 > -radius / scale AND x0 < 8 + radius / scale AND y0 > -radius / scale AND y0 < 8 + radius / scale AND abs(x - x0) <= ceil(radius / scale) + 2 AND abs(y - y0) <= ceil(radius / scale) + 2
-  AND {_ell("(x0 - x) * scale", "(y - y0) * scale", "angle", "axis_ratio")} <= radius)"""
+  WHERE x0 > -radius / scale AND x0 < 8 + radius / scale AND y0 > -radius / scale AND y0 < 8 + radius / scale
+  AND x BETWEEN floor(x0) - ceil(radius / scale) - 1 AND ceil(x0) + ceil(radius / scale) + 1 AND y BETWEEN floor(y0) - ceil(radius / scale) - 1 AND ceil(y0) + ceil(radius / scale) + 1
+  AND {_ell("(je_x * (x - x0) + je_y * (y - y0))", "(jn_x * (x - x0) + jn_y * (y - y0))", "angle", "axis_ratio")} <= radius)"""
 
 
 SHAPES = """shapes AS (SELECT grp AS sample_id, ra, dec, trim(type) IN ('PSF', 'DUP') AS point, CASE WHEN trim(type) IN ('PSF', 'DUP') THEN greatest(1.25e0 * 1.3e0, 1e0) ELSE greatest(2e0 * shape_r, 1e0) END AS radius,
   CASE WHEN trim(type) IN ('PSF', 'DUP') OR sqrt(shape_e1 * shape_e1 + shape_e2 * shape_e2) <= 0 THEN 1e0 ELSE (1e0 - sqrt(shape_e1 * shape_e1 + shape_e2 * shape_e2)) / (1e0 + sqrt(shape_e1 * shape_e1 + shape_e2 * shape_e2)) END AS axis_ratio,
   degrees(atan2(shape_e2, shape_e1)) * 0.5e0 AS angle FROM v_tractor WHERE trim(ref_cat) <> 'L3')"""
 FRAMES = f"""{ATLAS},
-frames AS (SELECT sga_id AS sample_id, ra AS ra0, dec AS dec0, size_px * 0.262e0 / 8 AS scale, sqrt(2e0) * 0.5e0 * size_px * 0.262e0 AS half_diag FROM atlas WHERE sga_id IN (SELECT sample_id FROM v_pixels))"""
+fr AS (SELECT *, {_cd("sample_id", "scale")} FROM (SELECT sga_id AS sample_id, ra AS ra0, dec AS dec0, size_px * 0.262e0 / 8 AS scale, sqrt(2e0) * 0.5e0 * size_px * 0.262e0 AS half_diag FROM atlas WHERE sga_id IN (SELECT sample_id FROM v_pixels))),
+frames AS (SELECT *, {_slopes(0, 0)} FROM fr)"""
 PAINT_S = f"{SHAPES},\n{_paint('shapes', 'ps')}"
 PAINT_G = f"""gshapes AS (SELECT f.sample_id, g.ra, g.dec, g.r26 AS radius, g.ba AS axis_ratio, g.pa AS angle FROM (SELECT *, ra0 AS ra, dec0 AS dec FROM frames) f JOIN atlas g ON {_sep("f.", "g.")} <= g.r26 + f.half_diag),
 {_paint("gshapes", "pg")}"""
@@ -150,7 +178,10 @@ kinds AS (SELECT unnest(['image-g', 'image-r', 'image-z', 'invvar-g', 'invvar-r'
 fn AS (SELECT *, CASE WHEN kind = 'tractor' THEN 'tractor-' || brick || '.fits' ELSE 'survey-' || brick || '-' || kind || '.fits.fz' END AS name FROM bh, kinds),
 files AS (SELECT brick, kind, name, 'https://portal.example/coadd/' || hemisphere || CASE WHEN kind = 'tractor' THEN '/tractor/' || brick[1:3] ELSE '/coadd/' || brick[1:3] || '/' || brick END || '/' || name AS url,
   (length(brick) * 31 + length(kind) * 7 + ascii(right(brick, 1))) % 23 = 5 AS failed FROM fn)"""
-_X, _Y = _pixel("ra2", "dec2", "ra", "dec", "0.262e0", "33e0")
+PROFILES = """prof AS (SELECT *, fwhm / (2e0 * sqrt(power(2e0, 1e0 / b) - 1e0)) AS a FROM (SELECT vec_id AS sample_id, band, (vec_id % 5) / 2e0 + 2e0 + i / 1e1 AS fwhm, (vec_id % 17) / 1e1 + 2e0 AS b,
+  (vec_id % 7 - 3) / 1e1 + 7e0 AS xa, (vec_id % 11 - 5) / 2e1 + 7e0 AS ya FROM embeddings, (SELECT unnest(range(0, 3)) AS i, unnest(['g', 'r', 'z']) AS band) bb) q)"""
+
+_WX, _WY = _cd_pixel("ra2", "dec2", "", ("33e0", "30e0"))
 _LISTED = r"(SELECT name, length, try_cast(split_part(name, '_', 2) AS BIGINT) AS sga_id, try_cast(regexp_extract(name, '_RA([-0-9.]+)_Dec([-0-9.]+)_size([-0-9.]+)\.jpeg$', 1) AS DOUBLE) AS ra, try_cast(regexp_extract(name, '_RA([-0-9.]+)_Dec([-0-9.]+)_size([-0-9.]+)\.jpeg$', 2) AS DOUBLE) AS dec, try_cast(regexp_extract(name, '_RA([-0-9.]+)_Dec([-0-9.]+)_size([-0-9.]+)\.jpeg$', 3) AS DOUBLE) AS size_arcsec FROM v_listing)"
 BRIGHT = "SELECT source_id, ra, dec, phot_g_mean_mag, b FROM v_stars WHERE phot_g_mean_mag < 15 AND abs(b) >= 5"
 
@@ -167,7 +198,7 @@ _SQL = {
     "isophotal_radius": f"SELECT sga_id, round({_iso(28.0)}, 6) AS r28, round({_iso(25.5)}, 6) AS r25h FROM v_galaxies",
     "stamp_size": f"WITH {ATLAS} SELECT sga_id, size_px, round(sqrt(2e0) * 0.5e0 * size_px * 0.262e0, 6) AS half_diag FROM atlas",
     "tractor_shapes": f"WITH {SHAPES} SELECT sample_id AS grp, count(*) FILTER (WHERE point) AS n_point, round(sum(radius), 4) AS radius, round(sum(axis_ratio), 4) AS axis_ratio, round(sum(abs(angle)), 4) AS angle FROM shapes GROUP BY 1",
-    "wcs_roundtrip": f"WITH g AS (SELECT sga_id, ra, dec, ra + d26 / 100 AS ra2, dec - d26 / 200 AS dec2 FROM v_galaxies) SELECT sga_id, round({_X}, 4) AS x, round({_Y}, 4) AS y, round({_mod('ra2')}, 6) AS back_ra, round(dec2, 6) AS back_dec FROM g",
+    "wcs_roundtrip": f"WITH g AS (SELECT sga_id, ra AS ra0, dec AS dec0, ra + d26 / 100 AS ra2, dec - d26 / 200 AS dec2, {_cd('sga_id', '0.262e0')} FROM v_galaxies), s AS (SELECT *, {_slopes(-0.5, 2.5)} FROM g) SELECT sga_id, round({_WX}, 4) AS x, round({_WY}, 4) AS y, round({_mod('ra2')}, 6) AS back_ra, round(dec2, 6) AS back_dec, round(je_x, 5) + 0e0 AS je_x, round(je_y, 5) + 0e0 AS je_y, round(jn_x, 5) + 0e0 AS jn_x, round(jn_y, 5) + 0e0 AS jn_y FROM s",
     "select_redshift": "SELECT sga_id, round(z_leda, 6) AS z_leda FROM v_galaxies WHERE z_leda > 0 AND z_leda < 5e-2",
     "resolve_bricks": f"WITH allpos AS (SELECT *, sga_id AS id FROM v_galaxies), {_resolve('allpos', 'tr')} SELECT id AS sga_id, brick, hemisphere FROM tr",
     "clearance_targets": f"WITH {ATLAS}, {_blocked('pos', 'tb', 'sga_id')} SELECT sga_id FROM pos WHERE id NOT IN (SELECT id FROM tb)",
@@ -207,13 +238,25 @@ _SQL = {
     "layers_packed": f"WITH {PACKED} SELECT sample_id, layers, count(*) AS n FROM packed GROUP BY 1, 2",
     "layer_verdict": f"WITH {VERDICT} SELECT sample_id, round(valid_frac, 6) AS valid_frac, round(bright_frac, 6) AS bright_frac, round(source_frac, 6) AS source_frac, round(galaxy_frac, 6) AS galaxy_frac, round(galaxy_bit_frac, 6) AS galaxy_bit_frac FROM verdict",
     "coverage_verdict": "WITH f AS (SELECT sample_id, avg((ivar_g > 0 AND ivar_r > 0 AND ivar_z > 0)::INT) AS v FROM v_pixels GROUP BY 1) SELECT sample_id, round(v, 6) AS valid_frac, CASE WHEN v < 0.8e0 THEN 'rejected' ELSE 'written' END AS status, CASE WHEN v < 0.8e0 THEN 'coverage' ELSE '' END AS reason FROM f",
+    "scan_images": """WITH m AS (SELECT concat('t', sample_id // 16) AS brick, (sample_id % 16) // 4 * 8 + y AS ty, sample_id % 4 * 8 + x AS tx, mask FROM v_pixels),
+      t AS (SELECT DISTINCT brick FROM m) SELECT brick, 16::BIGINT AS n_rows, coalesce(sum(mask) FILTER (WHERE ty BETWEEN 8 AND 23), 0)::BIGINT AS mask_sum, coalesce(sum(mask * (ty * 32 + tx)) FILTER (WHERE ty BETWEEN 8 AND 23), 0)::BIGINT AS places FROM t JOIN m USING (brick) GROUP BY 1""",
+    "tile_cutouts": f"""WITH m AS (SELECT sample_id // 16 AS tile, (sample_id % 16) // 4 * 8 + y AS ty, sample_id % 4 * 8 + x AS tx, * FROM v_pixels),
+      s AS (SELECT DISTINCT sample_id AS id, sample_id // 16 AS tile, sample_id % 4 * 8 + sample_id % 9 + 0.3e0 AS cx, (sample_id % 16) // 4 * 8 + sample_id % 7 + 0.3e0 AS cy, (sample_id % 5 + 4)::INT AS size FROM v_pixels),
+      g AS (SELECT *, unnest(range(0, size)) AS rw FROM s), h AS (SELECT *, unnest(range(0, size)) AS cl FROM g),
+      j AS (SELECT h.*, m.tx, m.sci_r, CASE WHEN h.x BETWEEN 0 AND 31 AND h.y BETWEEN 0 AND 31 THEN coalesce(m.mask, 0) ELSE 1 END AS mask, m.ivar_g, m.ivar_r, m.ivar_z
+        FROM (SELECT *, ceil(cx - size / 2e0)::INT + cl AS x, ceil(cy - size / 2e0)::INT + rw AS y FROM h) h LEFT JOIN m ON m.tile = h.tile AND m.tx = h.x AND m.ty = h.y),
+      a AS (SELECT id, count(*) AS n, round(sum(coalesce(sci_r, 0e0)), 6) AS sci_r, round(sum(coalesce(ivar_z, 0e0) * (rw * size + cl)), 5) AS ivar_z, sum(mask)::BIGINT AS mask, round(avg(coalesce(ivar_g > 0 AND ivar_r > 0 AND ivar_z > 0, false)::INT), 6) AS valid_frac FROM j GROUP BY 1),
+      q AS (SELECT id, least(greatest(round_even(cx, 0), 0), 31) AS col, least(greatest(round_even(cy, 0), 0), 31) AS row_, size // 2 AS half, tile FROM s),
+      w AS (SELECT id, {", ".join(f"max(greatest(sci_{b}, 0e0)) FILTER (WHERE tx = col AND ty = row_) AS c_{b}, quantile_cont(sci_{b}, 0.5) FILTER (WHERE sci_{b} > 0) AS m_{b}" for b in "grz")} FROM q JOIN m ON m.tile = q.tile AND abs(tx - col) <= half AND abs(ty - row_) <= half GROUP BY 1)
+      SELECT a.*, {", ".join(f"round(CASE WHEN c_{b} > 0 THEN c_{b} ELSE coalesce(m_{b}, 0e0) END, 6) AS psf_{b}" for b in "grz")} FROM a LEFT JOIN w USING (id)""",
+    "sample_files": f"WITH {VERDICT}, s AS (SELECT sample_id, round(sum(CAST(sci_r AS FLOAT)::DOUBLE), 4) AS sci_r FROM v_pixels GROUP BY 1) SELECT sample_id, round(valid_frac, 6) AS valid_frac, round(bright_frac, 6) AS bright_frac, round(source_frac, 6) AS source_frac, round(galaxy_frac, 6) AS galaxy_frac, round(galaxy_bit_frac, 6) AS galaxy_bit_frac, sci_r FROM verdict JOIN s USING (sample_id)",
     "cutout_partial": """WITH c AS (SELECT DISTINCT sample_id, ceil((sample_id % 9)::DOUBLE - 3)::INT AS x_lo, ceil((sample_id % 7) + 0.25e0 - 3)::INT AS y_lo FROM v_pixels),
       g AS (SELECT *, unnest(range(0, 6)) AS rw FROM c), h AS (SELECT *, unnest(range(0, 6)) AS cl FROM g)
       SELECT h.sample_id, count(*) AS n, round(sum(coalesce(sci_r, 0e0)), 6) AS sci_r, round(sum(coalesce(ivar_z, 0e0) * (rw * 6 + cl)), 5) AS ivar_z, sum(coalesce(mask, 1))::BIGINT AS mask
       FROM h LEFT JOIN v_pixels p ON p.sample_id = h.sample_id AND p.x = x_lo + cl AND p.y = y_lo + rw GROUP BY 1""",
-    "psf_fwhm": """WITH q AS (SELECT *, greatest(sci_r, 0e0) AS v, least(round_even((sample_id % 17) / 2e0, 0), 7) AS col, least(round_even((sample_id % 15) / 2e0, 0), 7) AS rw FROM v_pixels),
-      a AS (SELECT sample_id, max(v) FILTER (WHERE x = col AND y = rw) AS c, quantile_cont(v, 0.5) FILTER (WHERE abs(x - col) <= 2 AND abs(y - rw) <= 2 AND v > 0) AS m FROM q GROUP BY 1)
-      SELECT sample_id, round(CASE WHEN c > 0 THEN c ELSE coalesce(m, 0e0) END, 6) AS fwhm FROM a""",
+    "psf_fwhm": "WITH q AS (SELECT *, least(round_even((sample_id % 17) / 2e0, 0), 7) AS col, least(round_even((sample_id % 15) / 2e0, 0), 7) AS rw, (sample_id % 5 + 2) // 2 AS half FROM v_pixels), a AS (SELECT sample_id, "
+    + ", ".join(f"max(greatest(sci_{b}, 0e0)) FILTER (WHERE x = col AND y = rw) AS c_{b}, quantile_cont(sci_{b}, 0.5) FILTER (WHERE abs(x - col) <= half AND abs(y - rw) <= half AND sci_{b} > 0) AS m_{b}" for b in "grz")
+    + " FROM q GROUP BY 1) SELECT sample_id, " + ", ".join(f"round(CASE WHEN c_{b} > 0 THEN c_{b} ELSE coalesce(m_{b}, 0e0) END, 6) AS psf_{b}" for b in "grz") + " FROM a",
     "pull_stats": f"WITH {PACKED} SELECT count(*) AS n, round(avg(sci_r * sqrt(ivar_r)), 6) AS pull_mean, round(stddev_pop(sci_r * sqrt(ivar_r)), 6) AS pull_std, round(avg((sci_r < 0)::INT), 6) AS negative FROM packed WHERE layers = 0",
     "mad_sigma": """WITH m AS (SELECT *, quantile_cont(sci_r, 0.5) OVER (PARTITION BY sample_id) AS m FROM v_pixels), s AS (SELECT sample_id, 1.4826e0 * quantile_cont(abs(sci_r - m), 0.5) AS s FROM m GROUP BY 1), t AS (SELECT sample_id, CASE WHEN s = 0 THEN 1e-3 ELSE s END AS sigma FROM s)
       SELECT sample_id, round(sigma, 6) AS sigma, round(asinh(1 / (sigma * 3)), 6) AS stretch FROM t""",
@@ -226,9 +269,14 @@ _SQL = {
     "moffat_kernel": f"""WITH k AS (SELECT sample_id, {_MOFFAT} AS q, 2e0 * {_ALPHA.format(f=_FW, b=_BE)} * sqrt(power(2e0, 1e0 / {_BE}) - 1e0) AS w FROM v_pixels), n AS (SELECT sample_id, w, q / sum(q) OVER (PARTITION BY sample_id) AS q FROM k)
       SELECT sample_id, round(max(q), 9) AS peak, round(min(q), 9) AS edge, round(max(w), 6) AS fwhm FROM n GROUP BY 1""",
     "total_variation": f"WITH {STAMPS}, {_tv(_GAUSS, 'g')} SELECT sample_id, band, round(tv, 6) AS total_variation FROM g",
-    "psf_summary": f"""WITH {STAMPS}, {_tv(_GAUSS, 'g')}, {_tv(_MOFFAT28, 'm')}, j AS (SELECT g.sample_id, g.band, g.tv AS tg, m.tv AS tm, {_BE.replace('sample_id', 'g.sample_id')} AS beta, {_FW.replace('sample_id', 'g.sample_id')} AS fw FROM g JOIN m ON m.sample_id = g.sample_id AND m.band = g.band)
-      SELECT band, count(*) AS n_stamps, round(quantile_cont(beta, 0.5), 6) AS beta_median, round(quantile_cont(beta, 0.25), 6) AS beta_q25, round(quantile_cont(beta, 0.75), 6) AS beta_q75, round(quantile_cont(fw, 0.5) * 0.262e0, 6) AS fwhm_median_arcsec,
-      round(quantile_cont(tm, 0.5), 6) AS tv_moffat_median, round(quantile_cont(tm, 0.9), 6) AS tv_moffat_p90, round(quantile_cont(tg, 0.5), 6) AS tv_gauss_median, round(quantile_cont(tg, 0.9), 6) AS tv_gauss_p90 FROM j GROUP BY 1""",
+    "psf_library": f"WITH {PROFILES} SELECT sample_id, band, round(xa, 4) AS x0, round(ya, 4) AS y0, round(a, 4) AS alpha, round(b, 4) AS beta, round(fwhm, 4) AS fwhm_px FROM prof",
+    "psf_summary": f"""WITH {PROFILES}, med AS (SELECT band, quantile_cont(b, 0.5) AS bb FROM prof GROUP BY 1),
+      px AS (SELECT p.*, bb, y * 15 + x AS at, (x - xa) * (x - xa) + (y - ya) * (y - ya) AS r2 FROM prof p JOIN med USING (band), (SELECT unnest(range(0, 15)) AS x) xx, (SELECT unnest(range(0, 15)) AS y) yy),
+      kn AS (SELECT sample_id, band, power(1 + r2 / (a * a), -b) AS v, power(1 + r2 / power(fwhm / (2e0 * sqrt(power(2e0, 1e0 / bb) - 1e0)), 2), -bb) AS m, exp(-0.5e0 * r2 / power(fwhm / 2.3548e0, 2)) AS g FROM px),
+      su AS (SELECT *, sum(v) OVER w AS sv, sum(m) OVER w AS sm, sum(g) OVER w AS sg FROM kn WINDOW w AS (PARTITION BY sample_id, band)),
+      tv AS (SELECT sample_id, band, 0.5e0 * sum(abs(v / sv - m / sm)) AS tm, 0.5e0 * sum(abs(v / sv - g / sg)) AS tg FROM su GROUP BY 1, 2)
+      SELECT band, count(*) AS n_stamps, round(quantile_cont(b, 0.5), 5) AS beta_median, round(quantile_cont(b, 0.25), 5) AS beta_q25, round(quantile_cont(b, 0.75), 5) AS beta_q75, round(quantile_cont(fwhm, 0.5) * 0.262e0, 5) AS fwhm_median_arcsec,
+      round(quantile_cont(tm, 0.5), 5) AS tv_moffat_median, round(quantile_cont(tm, 0.9), 5) AS tv_moffat_p90, round(quantile_cont(tg, 0.5), 5) AS tv_gauss_median, round(quantile_cont(tg, 0.9), 5) AS tv_gauss_p90 FROM tv JOIN prof USING (sample_id, band) GROUP BY 1""",
     "bright_stars": f"SELECT source_id, round(ra, 6) AS ra, round(dec, 6) AS dec, round(phot_g_mean_mag, 9) AS phot_g_mean_mag, round(b, 6) AS b FROM ({BRIGHT})",
     "bright_top10": f"SELECT source_id, round(ra, 6) AS ra, round(dec, 6) AS dec, round(m, 9) AS phot_g_mean_mag, round(b, 6) AS b FROM (SELECT *, phot_g_mean_mag AS m FROM ({BRIGHT}) ORDER BY m, source_id LIMIT 10)",
     "bright_star_summary": f"SELECT count(*) AS n, round(min(phot_g_mean_mag), 9) AS mag_min, round(max(phot_g_mean_mag), 9) AS mag_max, round(min(abs(b)), 6) AS b_min, round(max(abs(b)), 6) AS b_max FROM ({BRIGHT})",

@@ -6,6 +6,7 @@ The few words that differ between engines stand in braces: {each} makes rows of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arcseconds of a pixel.
 PIXSCALE = 0.262
@@ -26,14 +27,14 @@ VIEWS = {
         FROM {{part}}""",
     ),
     "v_bricks": (
-        (),
+        ("orders",),
         """SELECT hemisphere, concat(hemisphere, '_r', r, 'c', c) AS brickname, (357.5e0 + (c + 0.5e0) * w) % 360e0 AS ra, dec1 + 0.125e0 AS dec,
         (357.5e0 + c * w) % 360e0 AS ra1, (357.5e0 + (c + 1) * w) % 360e0 AS ra2, dec1, dec1 + 0.25e0 AS dec2,
         CAST(CASE WHEN hemisphere = 'south' THEN (7 * r + 3 * c) % 11 ELSE (3 * r + 5 * c) % 7 END AS INT) AS nexp_g,
         CAST((5 * r + 2 * c) % 13 AS INT) AS nexp_r, CAST((r + c) % 17 AS INT) AS nexp_z
-        FROM (SELECT *, 0.25e0 + (r % 3) * 0.0625e0 AS w, 3.475e1 - 0.25e0 * (r + 1) AS dec1
-          FROM (SELECT {each:0,164} AS r) rr CROSS JOIN (SELECT {each:0,20} AS c) cc
-          CROSS JOIN (SELECT 'south' AS hemisphere UNION ALL SELECT 'north' AS hemisphere) hh) g
+        FROM (SELECT r, c, CASE WHEN h = 0 THEN 'south' ELSE 'north' END AS hemisphere, 0.25e0 + (r % 3) * 0.0625e0 AS w, 3.475e1 - 0.25e0 * (r + 1) AS dec1
+          FROM (SELECT CAST(floor(cell / 2e1) AS BIGINT) AS r, cell % 20 AS c, {each:0,2} AS h
+            FROM (SELECT DISTINCT (o_orderkey * 2 + j) % 3280 AS cell FROM (SELECT o_orderkey, {each:0,2} AS j FROM {orders}) oo) cc) hh) g
         WHERE (hemisphere = 'south' AND dec1 < 33e0) OR (hemisphere = 'north' AND dec1 >= 31.5e0)""",
     ),
     "v_tractor": (
@@ -102,6 +103,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_fill(text, {n: f"{{{n}}}" for n in used}, True), **used)
 
 
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stamps of v_pixels as a row each: sample_id, width, height, sci_*, ivar_* and mask as arrays."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), "embedding")
+    for band, n in (("g", 0), ("r", 7), ("z", 13)):
+        rows = rows.withColumn(f"sci_{band}", F.expr(f"transform(sequence(0, 63), i -> cast(embedding[(i + {n}) % 64] as double))"))
+    for band in "grz":
+        rows = rows.withColumn(f"ivar_{band}", F.transform(f"sci_{band}", lambda x: F.greatest(x + 0.2, F.lit(0.0))))
+    power = F.expr("transform(sequence(0, 63), i -> if((31 * sample_id + 7 * i * i) % 9 = 0, shiftleft(1, cast((sample_id + i) % 14 as int)), 0))")
+    return rows.withColumn("mask", power).withColumn("width", F.lit(8)).withColumn("height", F.lit(8)).drop("embedding")
+
+
 def with_views(sql: str, *names: str) -> str:
     """sql for an oracle engine with the views it names in front of it."""
     order: list[str] = []
@@ -115,4 +127,6 @@ def with_views(sql: str, *names: str) -> str:
 
     for n in names or [n for n in VIEWS if n in sql]:
         add(n)
+    if not order:
+        return sql
     return "WITH " + ",\n".join(f"{n} AS ({_fill(VIEWS[n][1], {}, False)})" for n in order) + ("," if sql.lstrip().upper().startswith(("WITH ",)) else "") + "\n" + (sql.lstrip()[5:] if sql.lstrip().upper().startswith("WITH ") else sql)

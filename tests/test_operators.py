@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators import companions, funnel, layers, ledger, psf, reports, select, stars
+from starloom.operators import companions, ledger, psf, reports, select, stamps, stars
 from starloom.sources import files
 from starloom.streaming import resume
 
@@ -53,10 +53,10 @@ def test_companion_edge_cases(spark):
 
 
 def test_cutout_fills_beyond_the_plane(spark):
-    p = spark.createDataFrame([(1, y, x, 1.0, 1.0, 1.0, 2.0, 2.0, 2.0, 0) for y in range(3) for x in range(3)], "sample_id long, y int, x int, sci_g double, sci_r double, sci_z double, ivar_g double, ivar_r double, ivar_z double, mask int")
-    c = spark.createDataFrame([(1, 0.0, 2.0)], "sample_id long, cx double, cy double")
-    got = {(r.row, r.col): (r.sci_r, r["mask"]) for r in layers.cutout(p, c, 2).collect()}
-    assert got == {(0, 0): (0.0, 1), (0, 1): (1.0, 0), (1, 0): (0.0, 1), (1, 1): (1.0, 0)}
+    p = spark.createDataFrame([(1, 3, 3, *[[1.0] * 9] * 3, *[[2.0] * 9] * 3, [0] * 9)], "id long, width int, height int, sci_g array<double>, sci_r array<double>, sci_z array<double>, ivar_g array<double>, ivar_r array<double>, ivar_z array<double>, mask array<int>")
+    c = spark.createDataFrame([(1, 0.0, 2.0)], "id long, cx double, cy double")
+    r = stamps.cutouts(p, c, "id", 2).head()
+    assert r.sci_r == [0.0, 1.0, 0.0, 1.0] and r["mask"] == [1, 0, 1, 0] and r.ivar_z == [0.0, 2.0, 0.0, 2.0]
 
 
 def test_moffat_fit_finds_the_profile(spark):
@@ -162,22 +162,6 @@ def test_fetch_goes_on_validates_and_gives_up(spark, tmp_path):
     server.shutdown()
 
 
-def test_a_galaxy_run_goes_on_where_it_stopped(spark, tmp_path):
-    from starloom.plans import catalogue, runs
-
-    sf, out = "/root/testdata/sf0.001", str(tmp_path / "run")
-    galaxies, bricks = catalogue.v(spark, sf, "galaxies"), catalogue.v(spark, sf, "bricks")
-    packed = catalogue.v(spark, sf, "pixels").withColumn("layers", layers.invalid().cast("int"))
-    s = runs.arguments(runs.Galaxies, ["--zcut", "0.04"])
-    n = runs.galaxy_run(spark, galaxies, bricks, packed, out, s)
-    assert n > 0 and runs.galaxy_run(spark, galaxies, bricks, packed, out, s) == 0
-    rows = files.ledger(spark, f"{out}/manifest").collect()
-    assert len(rows) == n and {r.status for r in rows} == {"written", "rejected"}
-    assert all((r.valid_frac < 0.8) == (r.reason == "coverage") for r in rows)
-    with pytest.raises(ValueError, match="other parameters"):
-        runs.galaxy_run(spark, galaxies, bricks, packed, out, runs.Galaxies(zcut=0.03))
-
-
 def test_seeded_candidates_and_sinks(spark, tmp_path):
     from starloom.plans import catalogue, runs
 
@@ -240,15 +224,14 @@ def test_the_archives_names_are_parameters(spark):
 
 def test_mask_boxes_match_a_count_over_whole_planes(spark):
     width, scale, rng = 150, 0.262, np.random.default_rng(3)
-    mask = {s: np.where(rng.random((width, width)) < 0.01, 4096 + rng.integers(0, 8), rng.integers(0, 8, (width, width))) for s in (1, 2)}
-    pixels = spark.createDataFrame([(s, int(x), int(y), int(m[y, x])) for s, m in mask.items() for y, x in np.argwhere(m >= 1)], "sample_id long, x int, y int, mask int")
-    tiles = spark.createDataFrame([("a", 10.0, 0.0, 1), ("b", 20.0, 0.0, 2), ("c", 30.0, 0.0, 3)], "brick string, tra double, tdec double, sample_id long")
+    mask = {s: np.where(rng.random((width, width)) < 0.01, 4096 + rng.integers(0, 8), rng.integers(0, 8, (width, width))) for s in "ab"}
+    tiles = spark.createDataFrame([("a", 10.0, 0.0, width, width, mask["a"].ravel().tolist()), ("b", 20.0, 0.0, width, width, mask["b"].ravel().tolist())], "brick string, tra double, tdec double, width int, height int, mask array<int>")
     px = [(i, b, ra0, x, y) for i, (b, ra0, x, y) in enumerate([("a", 10.0, 64.3, 63.7), ("a", 10.0, 2.2, 148.0), ("a", 10.0, 500.0, 60.0), ("b", 20.0, 75.1, 75.2), ("b", 20.0, 128.0, 64.0), ("c", 30.0, 70.0, 70.0)])]
     step = scale / 3600.0
     c = spark.createDataFrame([(i, b, ra0 - (x - (width - 1) / 2) * step, (y - (width - 1) / 2) * step) for i, b, ra0, x, y in px], "id long, brick string, ra double, dec double")
-    got = {r.id: r for r in funnel.mask_box(c, tiles, pixels, width, scale, F.lit(70)).collect()}
-    for i, b, _, x, y in px:
+    got = {r.id: r for r in stamps.mask_boxes(c, tiles, F.lit(70), scale).collect()}
+    assert set(got) == {0, 1, 2, 3, 4}  # none without a tile
+    for i, b, _, x, y in px[:5]:
         x0, x1, y0, y1 = (min(max(int(v), 0), width) for v in (x - 35, x + 35, y - 35, y + 35))
-        want = 0 if b == "c" else int((mask[1 if b == "a" else 2][y0:y1, x0:x1] & 4096 > 0).sum())
-        assert got[i].galaxy_pixels == want
+        assert got[i].galaxy_pixels == int((mask[b][y0:y1, x0:x1] & 4096 > 0).sum())
         assert got[i].on_grid == pytest.approx((x1 - x0) * (y1 - y0) / 4900)
