@@ -8,12 +8,11 @@ intervals are added up as steps at their ends, and what is above zero is painted
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.projection import Frame, frame, pixel, with_jacobian
+from ..functions.projection import Frame, frame, north_up, pixel, with_jacobian
 from .layers import BANDS, BRIGHT, BRIGHT_BITS, GALAXY, GALAXY_BIT, INVALID, SOURCE
 
 #: Pixels that are painted at a time.
@@ -97,7 +96,7 @@ def _painted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = lists.flatten()
     stamp = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
     field = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
-    j = [b.column(c).to_numpy()[stamp] for c in ("je_x", "je_y", "jn_x", "jn_y")]
+    j = [b.column(c).to_numpy(zero_copy_only=False)[stamp] for c in ("je_x", "je_y", "jn_x", "jn_y")]
     e, y, lo, hi = scan_lines(field["x0"], field["y0"], field["radius"], field["axis_ratio"], field["angle"], field["reach"].astype(np.int64), j, width[stamp], height[stamp])
     row = (np.cumsum(height) - height)[stamp[e]] + y  # of all stamps' rows, each with one place more than pixels
     wide = np.repeat(width, height)
@@ -267,25 +266,30 @@ def seeings(tiles: DataFrame, positions: DataFrame, key: str) -> DataFrame:
 def mask_boxes(candidates: DataFrame, tiles: DataFrame, size: Column, scale: float) -> DataFrame:
     """(id, on_grid, galaxy_pixels): the share of a candidate's box on its tile's grid, and pixels with a galaxy bit in it.
 
-    candidates (id, brick, ra, dec) meet their tile (brick, tra, tdec, width, height, mask) in one group, for which the mask
-    is summed up once; each candidate then takes four look-ups.  A brick without a tile gives no row.
+    candidates (id, brick, ra, dec) of a brick meet its tile (brick, tra, tdec, width, height, mask) as one list, for which
+    the mask is summed up once; each candidate then takes four look-ups.  A brick without a tile gives no row.
     """
-    from ..functions.projection import north_up
-
     rows = candidates.withColumn("size", size.cast("double")).select("id", "brick", "ra", "dec", "size")
-    at = tiles.select("brick", "tra", "tdec", "width")
     x, y = pixel(north_up(F.col("tra"), F.col("tdec"), F.lit(scale), (F.col("width") + 1) / 2), F.col("ra"), F.col("dec"))
-    placed = rows.join(at, "brick").select("id", "brick", "size", x.alias("px"), y.alias("py"))
+    placed = rows.join(tiles.select("brick", "tra", "tdec", "width"), "brick").select("id", "brick", "size", x.alias("px"), y.alias("py"))
+    lists = placed.groupBy("brick").agg(F.collect_list(F.struct("id", "px", "py", "size")).alias("c"))
 
-    def look_up(c: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(t):
-            return pd.DataFrame({"id": [], "on_grid": [], "galaxy_pixels": []})
-        table = summed((np.asarray(t["mask"].iloc[0]) & GALAXY_BIT != 0).reshape(int(t["height"].iloc[0]), int(t["width"].iloc[0])))
-        on_grid, n = boxed(table, c["px"].to_numpy(), c["py"].to_numpy(), c["size"].to_numpy())
-        return pd.DataFrame({"id": c["id"], "on_grid": on_grid, "galaxy_pixels": n})
+    def look_up(batches):
+        for b in batches:
+            masks, each = b.column("mask"), b.column("c")
+            flat, at = masks.flatten().to_numpy(), np.asarray(masks.offsets) - masks.offsets[0].as_py()
+            one, ends = each.flatten(), np.asarray(each.offsets) - each.offsets[0].as_py()
+            px, py, side = (one.field(n).to_numpy() for n in ("px", "py", "size"))
+            on_grid, n = np.zeros(len(one)), np.zeros(len(one), np.int64)
+            for i, (w, h) in enumerate(zip(b.column("width").to_pylist(), b.column("height").to_pylist(), strict=True)):
+                own = slice(ends[i], ends[i + 1])
+                table = summed((flat[at[i] : at[i + 1]] & GALAXY_BIT != 0).reshape(h, w))
+                on_grid[own], n[own] = boxed(table, px[own], py[own], side[own])
+            yield pa.record_batch([one.field("id"), pa.array(on_grid), pa.array(n)], names=["id", "on_grid", "galaxy_pixels"])
 
     kind = candidates.schema["id"].dataType.simpleString()
-    return placed.groupBy("brick").cogroup(tiles.select("brick", "width", "height", "mask").groupBy("brick")).applyInPandas(look_up, f"id {kind}, on_grid double, galaxy_pixels long")
+    met = lists.join(tiles.select("brick", "width", "height", "mask"), "brick").select("width", "height", "mask", "c")
+    return met.mapInArrow(look_up, f"id {kind}, on_grid double, galaxy_pixels long")
 
 
 def framed(stamps: DataFrame) -> DataFrame:

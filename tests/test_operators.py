@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators import companions, ledger, psf, reports, select, stamps, stars
+from starloom.operators import companions, funnel, ledger, psf, reports, select, stamps, stars
 from starloom.sources import files
 from starloom.streaming import resume
 
