@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .catalog import half_diagonal, select_redshift, stamp_side, with_geometry
 from .spatial import clear_of, resolve_bricks
 
@@ -19,18 +19,31 @@ def galaxy_targets(galaxies: DataFrame, bricks: DataFrame, zcut: float = 0.05, m
     return clear.select("sga_id", "galaxy", "ra", "dec", "d26", "size_px", "group_name", "group_ra", "brick", "hemisphere").orderBy("ra", "sga_id")
 
 
-def subsample(df: DataFrame, order: list[str], sample: int | None = None, limit: int | None = None) -> DataFrame:
-    """Rows at evenly spaced ranks of an order, then the first of them; all rows if the sample isn't smaller than they are.
+def ranked(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """(df with _rank, its place from 0 on in an order; number of rows), sorted by range and never in one task.
 
-    Ranks come from one sorted window: it is for tables of targets or groups, not of pixels.
+    The sorted runs are written; what comes to the driver is one count for each of them, from which each run's first rank is known.
     """
+    spark = df.sparkSession
+    rows = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    run = F.shiftright("_at", 33)
+    counts = sorted(rows.groupBy(run.alias("run")).agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r.run, r.first, total))
+        total += r.n
+    found = rows.withColumn("_run", run).join(F.broadcast(spark.createDataFrame(starts, "_run long, _first long, _before long")), "_run")
+    return found.withColumn("_rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_run", "_first", "_before"), total
+
+
+def subsample(df: DataFrame, order: list[str], sample: int | None = None, limit: int | None = None) -> DataFrame:
+    """Rows at evenly spaced ranks of an order, then the first of them; all rows if the sample isn't smaller than they are."""
     if sample:
-        ranked = df.withColumn("_rank", F.row_number().over(W.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
-        i = F.explode(F.sequence(F.lit(0), F.lit(sample - 1))).alias("_i")
-        picks = df.sparkSession.range(1).select(i, df.agg(F.count("*")).scalar().alias("_n"))
-        step = F.rint(F.col("_i") * ((F.col("_n") - 1) / max(sample - 1, 1))) if sample > 1 else F.lit(0.0)
-        picks = picks.select(step.cast("long").alias("_rank"), F.lit(True).alias("_picked")).distinct()
-        df = ranked.join(F.broadcast(picks), "_rank", "left").where("_picked or _n <= " + str(sample)).drop("_rank", "_n", "_picked")  # sample rows
+        rows, n = ranked(df, order)
+        df = rows.drop("_rank")
+        if sample < n:
+            picks = sorted({round(i * ((n - 1) / max(sample - 1, 1))) for i in range(sample)})  # halves go to the even rank
+            df = rows.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in picks], "_rank long")), "_rank", "left_semi").drop("_rank")
     return df.orderBy(*order).limit(limit) if limit else df
 
 

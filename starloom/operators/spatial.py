@@ -6,33 +6,36 @@ meets once at most and no join is a nested loop.
 
 from __future__ import annotations
 
+from math import radians, sin
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import chord, elliptical_radius, separation, tangent_offsets
+from ..sources.shared import kept
 
-#: Degrees of a cell; 360 / CELL is a whole number.
-CELL = 0.25
-AROUND = int(360 / CELL)
+#: Degrees of a cell, and of the widest one; 360 by a cell is a whole number.
+CELL, WIDEST = 0.25, 8.0
 #: Declination from which the north's bricks win.
 NORTH = 32.375
 
 
-def cell_of(df: DataFrame, ra: str = "ra", dec: str = "dec") -> DataFrame:
+def cell_of(df: DataFrame, ra: str = "ra", dec: str = "dec", cell: float = CELL) -> DataFrame:
     """Adds the cell of a position."""
-    x = F.floor(F.pmod(F.col(ra), F.lit(360.0)) / CELL)
-    return df.withColumn("cell_y", F.floor((F.col(dec) + 90.0) / CELL)).withColumn("cell_x", F.pmod(x, F.lit(AROUND)))
+    x = F.floor(F.pmod(F.col(ra), F.lit(360.0)) / cell)
+    return df.withColumn("cell_y", F.floor((F.col(dec) + 90.0) / cell)).withColumn("cell_x", F.pmod(x, F.lit(int(360 / cell))))
 
 
-def _over(df: DataFrame, y0: Column, y1: Column, x0: Column, x1: Column) -> DataFrame:
+def _over(df: DataFrame, y0: Column, y1: Column, x0: Column, x1: Column, cell: float = CELL) -> DataFrame:
     """A row for each cell between bounds in degrees; x1 - x0 may span RA 0, and all of it once at most."""
-    a, b = F.floor(x0 / CELL), F.least(F.floor(x1 / CELL), F.floor(x0 / CELL) + AROUND - 1)
-    rows = df.withColumn("cell_y", F.explode(F.sequence(F.floor((y0 + 90.0) / CELL), F.floor((y1 + 90.0) / CELL))))
-    return rows.withColumn("cell_x", F.explode(F.transform(F.sequence(a, b), lambda c: F.pmod(c, F.lit(AROUND)))))
+    around = int(360 / cell)
+    a, b = F.floor(x0 / cell), F.least(F.floor(x1 / cell), F.floor(x0 / cell) + around - 1)
+    rows = df.withColumn("cell_y", F.explode(F.sequence(F.floor((y0 + 90.0) / cell), F.floor((y1 + 90.0) / cell))))
+    return rows.withColumn("cell_x", F.explode(F.transform(F.sequence(a, b), lambda c: F.pmod(c, F.lit(around)))))
 
 
-def reaching(df: DataFrame, arcsec: Column, ra: str = "ra", dec: str = "dec", great_circle: bool = False) -> DataFrame:
+def reaching(df: DataFrame, arcsec: Column, ra: str = "ra", dec: str = "dec", great_circle: bool = False, cell: float = CELL) -> DataFrame:
     """A row for each cell in which a position within arcsec of a row's position may lie.
 
     East-west the reach is that of offsets scaled at the other position's declination, or of great circles.
@@ -41,7 +44,7 @@ def reaching(df: DataFrame, arcsec: Column, ra: str = "ra", dec: str = "dec", gr
     top = F.abs(F.col(dec)) + deg
     wide = F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.least(deg, F.lit(90.0)))) / F.cos(F.radians(F.col(dec))))) if great_circle else F.radians(deg) / F.cos(F.radians(top))
     half = F.when(top >= 89.9, F.lit(180.0)).otherwise(F.least(F.lit(180.0), F.degrees(wide) + 1e-7))
-    return _over(df, F.greatest(F.col(dec) - deg, F.lit(-90.0)), F.least(F.col(dec) + deg, F.lit(90.0)), F.col(ra) - half, F.col(ra) + half)
+    return _over(df, F.greatest(F.col(dec) - deg, F.lit(-90.0)), F.least(F.col(dec) + deg, F.lit(90.0)), F.col(ra) - half, F.col(ra) + half, cell)
 
 
 def brick_hits(positions: DataFrame, bricks: DataFrame, min_nexp: int = 1) -> DataFrame:
@@ -97,8 +100,6 @@ def overlapping(positions: DataFrame, atlas: DataFrame, margin: float = 1.0) ->
 
 def neighbours(positions: DataFrame, others: DataFrame, arcsec: float) -> DataFrame:
     """(id, other, chord): others (other, ra, dec) within so many arcseconds, by the chord between unit vectors."""
-    from math import radians, sin
-
     near = reaching(others.select("other", F.col("ra").alias("ora"), F.col("dec").alias("odec")), F.lit(arcsec), "ora", "odec", True)
     far = chord(F.col("ra"), F.col("dec"), F.col("ora"), F.col("odec"))
     pairs = cell_of(positions.select("id", "ra", "dec")).join(near, ["cell_y", "cell_x"]).withColumn("chord", far)
@@ -106,9 +107,26 @@ def neighbours(positions: DataFrame, others: DataFrame, arcsec: float) -> DataFr
 
 
 def nearest_centre(positions: DataFrame, bricks: DataFrame, within: float = 0.5) -> DataFrame:
-    """The nearest brick of each hemisphere for each position, among those with a centre within so many degrees."""
-    near = reaching(bricks.select("hemisphere", "brickname", "ra1", "ra2", "dec1", "dec2", "nexp_g", "nexp_r", "nexp_z", F.col("ra").alias("bra"), F.col("dec").alias("bdec")), F.lit(within * 3600.0), "bra", "bdec", True)
-    pairs = cell_of(positions.select("id", "ra", "dec")).join(near, ["cell_y", "cell_x"])
-    far = F.round(chord(F.col("ra"), F.col("dec"), F.col("bra"), F.col("bdec")), 12)
-    first = F.row_number().over(W.partitionBy("id", "hemisphere").orderBy(far, "brickname"))
-    return pairs.withColumn("rank", first).where("rank = 1").drop("rank", "cell_x", "cell_y")
+    """The nearest brick of each hemisphere for each position (id, ra, dec), however far it is; names settle ties.
+
+    Bricks within some degrees are looked at first, which settles all positions that have one there, since none beyond is
+    nearer.  The others go on with twice the radius, on cells twice as wide, until each has its brick.
+    """
+    b = bricks.select("hemisphere", "brickname", "ra1", "ra2", "dec1", "dec2", "nexp_g", "nexp_r", "nexp_z", F.col("ra").alias("bra"), F.col("dec").alias("bdec"))
+    sides = [r.hemisphere for r in b.select("hemisphere").distinct().collect()]  # two at most
+    here = ["id", "ra", "dec", "hemisphere"]
+    left = kept(positions.select("id", "ra", "dec", F.explode(F.array(*[F.lit(h) for h in sides]).cast("array<string>")).alias("hemisphere")), "positions")
+    found, cell = None, CELL
+    while True:
+        near = reaching(b, F.lit(within * 3600.0), "bra", "bdec", True, cell)
+        far = chord(F.col("ra"), F.col("dec"), F.col("bra"), F.col("bdec"))
+        pairs = cell_of(left, cell=cell).join(near, ["cell_y", "cell_x", "hemisphere"]).withColumn("_far", far)
+        pairs = pairs.where(F.col("_far") <= 2 * sin(radians(min(within, 180.0)) / 2) + (1e-9 if within >= 180.0 else 0.0))
+        rest = [c for c in b.columns if c not in ("hemisphere", "brickname")]
+        best = pairs.groupBy(*here).agg(F.min(F.struct(F.round("_far", 12).alias("_far"), "brickname", *rest)).alias("b")).select(*here, "b.*").drop("_far")
+        best = kept(best, "nearest")
+        found = best if found is None else found.union(best)
+        left = kept(left.join(best.select("id", "hemisphere"), ["id", "hemisphere"], "left_anti").select(here), "positions")
+        if within >= 180.0 or left.isEmpty():
+            return found
+        within, cell = within * 2, min(cell * 2, WIDEST)

@@ -285,7 +285,7 @@ _SQL = {
       SELECT sga_id, source_id, round(ra, 6) AS ra_deg, round(dec, 6) AS dec_deg, round(phot_g_mean_mag, 9) AS gmag, round(sep, 6) AS sep_arcsec, round(sep / 0.262e0, 6) AS sep_pix, round(xp, 4) AS x_pix, round(yp, 4) AS y_pix FROM p WHERE xp >= 0 AND xp < n AND yp >= 0 AND yp < n""",
     "legacy_sizes": "SELECT sga_id, trunc(d26 * 3e0 * 3e1 / 0.262e0)::INT AS galaxy_px, least(512, greatest(16, round_even(d26 * 3e0 * 3e1 / 0.262e0, 0)))::INT AS field_px, round(d26 * 3e0 * 3e1, 6) AS size_arcsec FROM v_galaxies",
     "legacy_fields": f"""WITH a AS (SELECT *, d26 * 5e0 * 3e1 / 36e2 AS rad, unnest(range(0, 6)) AS i FROM v_galaxies) SELECT sga_id, round(i * 60e0, 6) AS angle_deg, round(ra + rad / cos({R}(dec)) * cos(2 * pi() * i / 6), 6) AS field_ra, round(least(90e0, greatest(-90e0, dec + rad * sin(2 * pi() * i / 6))), 6) AS field_dec FROM a""",
-    "legacy_footprint": f"""WITH d AS (SELECT g.sga_id, g.ra, g.dec, b.* EXCLUDE (ra, dec), row_number() OVER (PARTITION BY g.sga_id, hemisphere ORDER BY round({_chord('g.', 'b.')}, 12), brickname) AS rk FROM v_galaxies g JOIN v_bricks b ON abs(g.dec - b.dec) < 0.6e0)
+    "legacy_footprint": f"""WITH d AS (SELECT g.sga_id, g.ra, g.dec, b.* EXCLUDE (ra, dec), row_number() OVER (PARTITION BY g.sga_id, hemisphere ORDER BY round({_chord('g.', 'b.')}, 12), brickname) AS rk FROM v_galaxies g JOIN v_bricks b ON true)
       SELECT DISTINCT sga_id FROM d WHERE rk = 1 AND dec BETWEEN dec1 AND dec2 AND {_mod('ra - ra1')} <= {_mod('ra2 - ra1')} AND nexp_g + nexp_r + nexp_z >= 1""",
     "legacy_missing": f"""WITH l AS (SELECT sga_id, arg_max(length, name) AS length FROM {_LISTED} GROUP BY 1), j AS (SELECT g.sga_id, g.ra, g.dec, g.d26, l.length FROM v_galaxies g LEFT JOIN l USING (sga_id) WHERE z_leda > 0 AND z_leda < 5e-2)
       SELECT sga_id, round(ra, 6) AS ra, round(dec, 6) AS dec, round(d26, 6) AS d26, coalesce(length, -1) AS length, CASE WHEN length IS NULL THEN 'missing' ELSE 'broken' END AS state FROM j WHERE length IS NULL OR length < 500""",

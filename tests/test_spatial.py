@@ -75,3 +75,36 @@ def test_a_position_on_a_shared_edge_gets_one_brick(spark):
     pos = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.25, 0.125), (3, 0.3, 0.0), (4, 359.8, 0.0), (5, 0.1, 0.2)], "id long, ra double, dec double")
     got = {r.id: r.brick for r in spatial.resolve_bricks(pos, bricks).collect()}
     assert got == {1: "a", 2: "b", 4: "a"}
+
+
+def test_the_nearest_centre_is_found_however_far(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    unit = lambda ra, dec: np.stack([np.cos(np.radians(dec)) * np.cos(np.radians(ra)), np.cos(np.radians(dec)) * np.sin(np.radians(ra)), np.sin(np.radians(dec))], -1)
+    b = [("south", f"s{i}", float(r), float(d)) for i, (r, d) in enumerate(zip(rng.uniform(0, 360, 9), rng.uniform(-90, 30, 9), strict=True))] + [("north", "n0", 10.0, 89.0), ("north", "n1", 359.9, 60.0)]
+    p = [(i, float(r), float(d)) for i, (r, d) in enumerate(zip(rng.uniform(0, 360, 40), rng.uniform(-90, 90, 40), strict=True))] + [(40, b[0][2], b[0][3]), (41, 180.0, -90.0)]
+    bricks = spark.createDataFrame([(*x, 0.0, 0.0, 0.0, 0.0, 1, 1, 1) for x in b], "hemisphere string, brickname string, ra double, dec double, ra1 double, ra2 double, dec1 double, dec2 double, nexp_g int, nexp_r int, nexp_z int")
+    from starloom.operators import spatial
+
+    got = {(r.id, r.hemisphere): r.brickname for r in spatial.nearest_centre(spark.createDataFrame(p, "id long, ra double, dec double"), bricks).collect()}
+    for i, ra, dec in p:
+        for side in ("south", "north"):
+            own = [x for x in b if x[0] == side]
+            far = np.linalg.norm(unit(np.array([x[2] for x in own]), np.array([x[3] for x in own])) - unit(ra, dec), axis=1)
+            assert got[i, side] == own[int(np.argmin(far))][1]
+    assert len(got) == 2 * len(p)
+
+
+def test_ranks_without_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from starloom.operators import select
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    rows, n = select.ranked(df, ["k"])
+    assert n == 1000 and all(r.k == r._rank for r in rows.collect())
+    got = [r.k for r in select.subsample(df, ["k"], 26, 20).orderBy("k").collect()]
+    assert got == [round(i * (999 / 25)) for i in range(20)]
+    assert select.subsample(df, ["k"], 5000).count() == 1000 and [r.k for r in select.subsample(df, ["k"], 1).collect()] == [0]
+    assert select.subsample(df.limit(0), ["k"], 3).collect() == []
