@@ -74,7 +74,7 @@ def fits(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nd
     """(parameters, cost, whether it settled) of bounded Levenberg-Marquardt fits of stamps (a row of pixels each), all together.
 
     The normal equations of all stamps that haven't settled are solved at once; each has its own damping.  A fit has
-    settled if its cost hardly falls any more, or if no step leads down where its slope is nought within the bounds.
+    settled if its cost hardly falls any more or is next to nothing, or if no step leads down where its slope is nought within the bounds.
     """
     n = len(z)
     top = np.argmax(z, axis=1) if z.shape[1] else np.zeros(n, int)
@@ -98,14 +98,15 @@ def fits(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nd
         f2, grad2 = _model(q, x, y)
         cost2 = ((f2 - z[live]) ** 2).sum(axis=1)
         better = cost2 < cost[live]
-        small = better & (cost[live] - cost2 < 1e-10 * cost[live])
+        norm = (z[live] ** 2).sum(axis=1)
+        small = better & ((cost[live] - cost2 < 1e-10 * cost[live]) | (cost2 <= 1e-20 * norm))
         won = live[better]
         p[won], cost[won] = q[better], cost2[better]
         f[better], grad[better] = f2[better], grad2[better]
         damp[live] = np.where(better, damp[live] / 3, damp[live] * 4)
         at = p[live]
         free = ~((at <= lo[live]) & (g > 0) | (at >= hi[live]) & (g < 0))
-        flat = (np.abs(g * at) * free).max(axis=1) <= 1e-9 * (z[live] ** 2).sum(axis=1)
+        flat = (np.abs(g * at) * free).max(axis=1) <= 1e-9 * norm
         stuck = damp[live] > 1e10
         settled[live[small | (stuck & flat)]] = True
         stay = ~(small | stuck)
@@ -132,7 +133,7 @@ _FIT = ("amplitude", "x0", "y0", "alpha", "beta", "cost")
 def fit_stamps(stamps: DataFrame, keep: list[str]) -> DataFrame:
     """A circular Moffat for each stamp (width, height, value as an array): what keep names, amplitude, x0, y0, alpha, beta, cost, fwhm_px.
 
-    Stamps without a positive peak, and fits that don't settle, give no row.
+    Stamps without a positive peak, and fits that don't settle, give no row.  A partition's stamps are one task's work.
     """
 
     def work(batches):

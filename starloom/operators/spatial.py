@@ -106,11 +106,18 @@ def neighbours(positions: DataFrame, others: DataFrame, arcsec: float) -> DataFr
     return pairs.where(F.col("chord") <= 2 * sin(radians(arcsec / 3600.0) / 2)).select("id", "other", "chord")
 
 
-def nearest_centre(positions: DataFrame, bricks: DataFrame, within: float = 0.5) -> DataFrame:
+def farthest_corner(bricks: DataFrame) -> float:
+    """Degrees from a brick's centre beyond which no brick of the table reaches."""
+    half = F.hypot(F.pmod(F.col("ra2") - F.col("ra1") + 360.0, F.lit(360.0)) / 2, (F.col("dec2") - F.col("dec1")) / 2)
+    return bricks.agg(F.coalesce(F.max(half), F.lit(0.0))).head()[0]
+
+
+def nearest_centre(positions: DataFrame, bricks: DataFrame, within: float = 0.5, at_most: float = 180.0) -> DataFrame:
     """The nearest brick of each hemisphere for each position (id, ra, dec), however far it is; names settle ties.
 
     Bricks within some degrees are looked at first, which settles all positions that have one there, since none beyond is
-    nearer.  The others go on with twice the radius, on cells twice as wide, until each has its brick.
+    nearer.  The others go on with twice the radius, on cells twice as wide, until each has its brick, or until the radius
+    is at_most: who only asks which brick holds a position has no use for bricks beyond farthest_corner.
     """
     b = bricks.select("hemisphere", "brickname", "ra1", "ra2", "dec1", "dec2", "nexp_g", "nexp_r", "nexp_z", F.col("ra").alias("bra"), F.col("dec").alias("bdec"))
     sides = [r.hemisphere for r in b.select("hemisphere").distinct().collect()]  # two at most
@@ -127,6 +134,6 @@ def nearest_centre(positions: DataFrame, bricks: DataFrame, within: float = 0.5)
         best = kept(best, "nearest")
         found = best if found is None else found.union(best)
         left = kept(left.join(best.select("id", "hemisphere"), ["id", "hemisphere"], "left_anti").select(here), "positions")
-        if within >= 180.0 or left.isEmpty():
+        if within >= min(at_most, 180.0) or left.isEmpty():
             return found
         within, cell = within * 2, min(cell * 2, WIDEST)

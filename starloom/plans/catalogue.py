@@ -584,6 +584,7 @@ def _profiles(spark, sf) -> DataFrame:
     """Stamps of 15 x 15 pixels with a Moffat of known width and slope about a known centre, one for each vector and band."""
     k = F.col("sample_id")
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.posexplode(F.array(*[F.lit(b) for b in "grz"])).alias("i", "band"))
+    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, "sample_id", "band")  # fits take time, a small file is one task
     rows = rows.withColumns({"fwhm": k % 5 / 2 + 2.0 + F.col("i") / 10, "b": k % 17 / 10 + 2.0, "x_at": (k % 7 - 3) / 10 + 7.0, "y_at": (k % 11 - 5) / 20 + 7.0})
     rows = rows.withColumn("a", psf.moffat_alpha(F.col("fwhm"), F.col("b")))
     r2 = "((i % 15 - x_at) * (i % 15 - x_at) + (i div 15 - y_at) * (i div 15 - y_at))"
@@ -646,7 +647,8 @@ def legacy_fields(spark, sf):
 @query
 def legacy_footprint(spark, sf):
     """Positions in the nearest brick of either hemisphere, exposed at least once in any band."""
-    near = spatial.nearest_centre(v(spark, sf, "galaxies").withColumn("id", F.col("sga_id")), v(spark, sf, "bricks"))
+    bricks = kept(v(spark, sf, "bricks"), "bricks")
+    near = spatial.nearest_centre(v(spark, sf, "galaxies").withColumn("id", F.col("sga_id")), bricks, at_most=spatial.farthest_corner(bricks))
     inside = (F.pmod(F.col("ra") - F.col("ra1") + 360.0, F.lit(360.0)) <= F.pmod(F.col("ra2") - F.col("ra1") + 360.0, F.lit(360.0))) & F.col("dec").between(F.col("dec1"), F.col("dec2"))
     return near.where(inside & (F.col("nexp_g") + F.col("nexp_r") + F.col("nexp_z") >= 1)).select(F.col("id").alias("sga_id")).distinct()
 
