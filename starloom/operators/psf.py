@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from ..sources.views import PIXSCALE
+from .quantiles import quantiles
 
 
 def normalise(stamps: DataFrame, key: list[str]) -> DataFrame:
@@ -42,11 +44,10 @@ def total_variation(stamps: DataFrame, key: list[str], kernel: Column) -> DataFr
 
 def summary(fits: DataFrame) -> DataFrame:
     """By band: number of stamps, median and quartiles of beta, median FWHM, medians and 90th percentiles of the distances."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return fits.groupBy("band").agg(
-        F.count("*").alias("n_stamps"), q("beta", 0.5).alias("beta_median"), q("beta", 0.25).alias("beta_q25"), q("beta", 0.75).alias("beta_q75"),
-        (q("fwhm_px", 0.5) * PIXSCALE).alias("fwhm_median_arcsec"), *[q(f"tv_{k}", p).alias(f"tv_{k}_{n}") for k in ("moffat", "gauss") for p, n in ((0.5, "median"), (0.9, "p90"))],
-    )
+    shares = {"beta_median": ("beta", 0.5), "beta_q25": ("beta", 0.25), "beta_q75": ("beta", 0.75), "fwhm_median_arcsec": ("_fwhm", 0.5)}
+    shares |= {f"tv_{k}_{n}": (f"tv_{k}", p) for k in ("moffat", "gauss") for p, n in ((0.5, "median"), (0.9, "p90"))}
+    rows = kept(fits.select("band", "beta", (F.col("fwhm_px") * PIXSCALE).alias("_fwhm"), "tv_moffat", "tv_gauss"), "fits")
+    return rows.groupBy("band").agg(F.count("*").alias("n_stamps")).join(F.broadcast(quantiles(rows, ["band"], shares)), "band")
 
 
 def with_stamps(groups: DataFrame, present: DataFrame, bands: tuple = ("g", "r", "z")) -> DataFrame:
@@ -172,8 +173,8 @@ def library(stamps: DataFrame, keep: list[str]) -> DataFrame:
 
     keep names columns that tell the stamps apart, band among them.
     """
-    fitted = fit_stamps(stamps, [*dict.fromkeys([*keep, "width", "height", "value"])])
-    bands = fitted.groupBy("band").agg(F.percentile("beta", F.lit(0.5)).alias("beta_band"))
+    fitted = kept(fit_stamps(stamps, [*dict.fromkeys([*keep, "width", "height", "value"])]), "fitted")
+    bands = quantiles(fitted, ["band"], {"beta_band": ("beta", 0.5)})
     return residuals(fitted.join(F.broadcast(bands), "band"), [*keep, "x0", "y0", "alpha", "beta", "fwhm_px"])
 
 

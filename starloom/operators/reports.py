@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .quantiles import quantiles
+
 
 def rejections(candidates: DataFrame) -> DataFrame:
     return candidates.where("status = 'rejected'").groupBy("reason").agg(F.count("*").alias("n"))
@@ -17,13 +20,14 @@ def survival(candidates: DataFrame) -> DataFrame:
 
 def separation_stats(candidates: DataFrame) -> DataFrame:
     rows = candidates.where("status = 'accepted'")
-    return rows.agg(F.percentile("sep_arcsec", F.lit(0.5)).alias("sep_median"), F.percentile("sep_arcsec", F.lit(0.9)).alias("sep_p90"))
+    return quantiles(rows, [], {"sep_median": ("sep_arcsec", 0.5), "sep_p90": ("sep_arcsec", 0.9)})
 
 
 def brick_survival(candidates: DataFrame) -> DataFrame:
     """Median and quartiles of the survival by brick; candidates outside the footprint are a group too."""
     each = candidates.groupBy("brick").agg(F.avg((F.col("status") == "accepted").cast("double")).alias("s"))
-    return each.agg(F.count("*").alias("n_bricks"), *[F.percentile("s", F.lit(p)).alias(n) for p, n in ((0.5, "median"), (0.25, "q25"), (0.75, "q75"))])
+    each = kept(each, "bricks")
+    return each.agg(F.count("*").alias("n_bricks")).join(F.broadcast(quantiles(each, [], {"median": ("s", 0.5), "q25": ("s", 0.25), "q75": ("s", 0.75)})))
 
 
 def accepted_per_galaxy(targets: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -47,8 +51,26 @@ def histogram(df: DataFrame, group: str, value: Column, lo: float, hi: float, bi
     return n.join(total, group).select(group, "bin", "n", (F.col("n") / (F.col("total") * width)).alias("density"))
 
 
-def robust_sigma(df: DataFrame, key: str, value: str) -> DataFrame:
-    """1.4826 times the median distance from the median, 1e-3 where that is 0."""
-    middle = df.groupBy(key).agg(F.median(value).alias("m"))
-    far = df.join(middle, key).groupBy(key).agg((F.median(F.abs(F.col(value) - F.col("m"))) * 1.4826).alias("sigma"))
-    return far.withColumn("sigma", F.when(F.col("sigma") == 0, 1e-3).otherwise(F.col("sigma")))
+def seeing_spread(entries: DataFrame) -> DataFrame:
+    """(band, median, p05, p95) of the seeing of a ledger's written samples."""
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"psf_{b}").alias("fwhm")) for b in "grz"])
+    rows = entries.where("status = 'written'").select(F.explode(bands).alias("p")).select("p.*")
+    return quantiles(rows, ["band"], {"median": ("fwhm", 0.5), "p05": ("fwhm", 0.05), "p95": ("fwhm", 0.95)})
+
+
+def _middle(values: Column) -> Column:
+    """The median of an array of numbers, null of an empty one."""
+    n = F.size(values)
+    at = lambda i: F.get(values, i.cast("int"))
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+
+
+def robust_sigma(df: DataFrame, value: str) -> DataFrame:
+    """df with sigma of the array value: 1.4826 times the median distance from the median, 1e-3 where that is 0.
+
+    A row is a stamp, so nothing is shuffled and no more is sorted at once than a stamp's pixels; nulls in it don't count.
+    """
+    rows = df.withColumn("_v", F.sort_array(F.filter(value, lambda x: x.isNotNull()))).withColumn("_m", _middle(F.col("_v")))
+    rows = rows.withColumn("_v", F.sort_array(F.transform("_v", lambda x: F.abs(x - F.col("_m")))))
+    sigma = _middle(F.col("_v")) * 1.4826
+    return rows.withColumn("sigma", F.when(sigma == 0, 1e-3).otherwise(sigma)).drop("_v", "_m")

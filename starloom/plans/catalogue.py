@@ -420,7 +420,7 @@ def pull_stats(spark, sf):
 
 @query
 def mad_sigma(spark, sf):
-    s = reports.robust_sigma(v(spark, sf, "pixels"), "sample_id", "sci_r")
+    s = reports.robust_sigma(planes(spark, sf), "sci_r").select("sample_id", "sigma")
     return rounded(s.withColumn("stretch", F.asinh(F.lit(1.0) / (F.col("sigma") * 3))))
 
 
@@ -432,8 +432,7 @@ def extreme_samples(spark, sf):
 
 @query
 def seeing_spread(spark, sf):
-    rows = v(spark, sf, "ledger").where("status = 'written'").select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"psf_{b}").alias("fwhm")) for b in "grz"])).alias("p")).select("p.*")
-    return rounded(rows.groupBy("band").agg(*[F.percentile("fwhm", F.lit(q)).alias(n) for q, n in ((0.5, "median"), (0.05, "p05"), (0.95, "p95"))]))
+    return rounded(reports.seeing_spread(v(spark, sf, "ledger")))
 
 
 @query
