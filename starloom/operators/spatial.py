@@ -1,11 +1,13 @@
 """Spatial joins on the sphere as equi-joins on cells (zones) with the exact predicate as residual.
 
-The side with extents is exploded over the cells that it reaches, the other has one cell for each row, so that every pair
-meets once at most and no join is a nested loop.
+The side with extents (boxes in degrees) is exploded over the cells that it reaches, the other has one cell for each row, so
+that every pair meets once at most and no join is a nested loop.  Crowded cells are split into four, again and again, so
+that a cluster isn't one key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import radians, sin
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,8 @@ from ..sources.shared import kept
 
 #: Degrees of a cell, and of the widest one; 360 by a cell is a whole number.
 CELL, WIDEST = 0.25, 8.0
+#: Rows of a cell beyond which it is split, and how often at most (into cells of 0.2 arcseconds, from the usual ones).
+FULL, DEEPEST = 50_000, 12
 #: Declination from which the north's bricks win.
 NORTH = 32.375
 
@@ -27,16 +31,63 @@ def cell_of(df: DataFrame, ra: str = "ra", dec: str = "dec", cell: float = CELL)
     return df.withColumn("cell_y", F.floor((F.col(dec) + 90.0) / cell)).withColumn("cell_x", F.pmod(x, F.lit(int(360 / cell))))
 
 
-def _over(df: DataFrame, y0: Column, y1: Column, x0: Column, x1: Column, cell: float = CELL) -> DataFrame:
-    """A row for each cell between bounds in degrees; x1 - x0 may span RA 0, and all of it once at most."""
+def _boxed(df: DataFrame, y0: Column, y1: Column, x0: Column, x1: Column) -> DataFrame:
+    """Adds bounds in degrees; x1 - x0 may span RA 0."""
+    return df.withColumns({"_y0": y0, "_y1": y1, "_x0": x0, "_x1": x1})
+
+
+def _over(boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """A row for each cell that a box reaches, all around once at most."""
     around = int(360 / cell)
-    a, b = F.floor(x0 / cell), F.least(F.floor(x1 / cell), F.floor(x0 / cell) + around - 1)
-    rows = df.withColumn("cell_y", F.explode(F.sequence(F.floor((y0 + 90.0) / cell), F.floor((y1 + 90.0) / cell))))
+    a, b = F.floor(F.col("_x0") / cell), F.least(F.floor(F.col("_x1") / cell), F.floor(F.col("_x0") / cell) + around - 1)
+    rows = boxes.withColumn("cell_y", F.explode(F.sequence(F.floor((F.col("_y0") + 90.0) / cell), F.floor((F.col("_y1") + 90.0) / cell))))
     return rows.withColumn("cell_x", F.explode(F.transform(F.sequence(a, b), lambda c: F.pmod(c, F.lit(around)))))
 
 
-def reaching(df: DataFrame, arcsec: Column, ra: str = "ra", dec: str = "dec", great_circle: bool = False, cell: float = CELL) -> DataFrame:
-    """A row for each cell in which a position within arcsec of a row's position may lie.
+def _quarters(rows: DataFrame, cell: float) -> DataFrame:
+    """The rows of cells twice as wide, a row for each quarter that their boxes reach."""
+    around = int(360 / cell)
+    four = F.explode(F.array(*[F.struct((F.col("cell_y") * 2 + j).alias("y"), (F.col("cell_x") * 2 + i).alias("x")) for j in (0, 1) for i in (0, 1)]))
+    rows = rows.withColumn("_q", four)
+    first = F.floor(F.col("_x0") / cell)
+    reached = F.col("_q.y").between(F.floor((F.col("_y0") + 90.0) / cell), F.floor((F.col("_y1") + 90.0) / cell)) & (F.pmod(F.col("_q.x") - first, F.lit(around)) <= F.least(F.floor(F.col("_x1") / cell) - first, F.lit(around - 1)))
+    return rows.where(reached).withColumns({"cell_y": F.col("_q.y"), "cell_x": F.col("_q.x")}).drop("_q")
+
+
+def leaves(points: DataFrame, boxes: DataFrame, ra: str = "ra", dec: str = "dec", cell: float = CELL) -> tuple[DataFrame, DataFrame]:
+    """Points with their cell (cell_n, cell_y, cell_x: how often it was halved, and where it is) and boxes with the cells they reach.
+
+    A cell with more than FULL points and boxes narrower than half of it is split, but DEEPEST times at most: rows at one
+    place stay together, and are left to the split of skewed partitions.  Wider boxes aren't counted, as each would be in
+    all quarters.  Only counts by cell are shuffled; the crowded cells are written, of which there are few for the rows.
+    """
+    p, b = cell_of(points, ra, dec, cell), _over(boxes, cell)
+    found_p, found_b, place = [], [], ["cell_y", "cell_x"]
+    for n in range(DEEPEST + 1):
+        narrow = b.where((F.col("_y1") - F.col("_y0") < cell / 2) & (F.col("_x1") - F.col("_x0") < cell / 2))
+        crowd = p.select(*place).union(narrow.select(*place)).groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > FULL).select(*place)
+        crowd = kept(crowd, "crowded") if n < DEEPEST else None
+        if crowd is None or crowd.isEmpty():
+            found_p.append(p.withColumn("cell_n", F.lit(n)))
+            found_b.append(b.withColumn("cell_n", F.lit(n)))
+            break
+        found_p.append(p.join(crowd, place, "left_anti").withColumn("cell_n", F.lit(n)))
+        found_b.append(b.join(crowd, place, "left_anti").withColumn("cell_n", F.lit(n)))
+        cell /= 2
+        p = cell_of(p.join(crowd, place, "left_semi"), ra, dec, cell)
+        b = _quarters(b.join(crowd, place, "left_semi"), cell)
+    gather = lambda parts: reduce(DataFrame.unionByName, parts)
+    return gather(found_p), gather(found_b)
+
+
+def met(points: DataFrame, boxes: DataFrame, ra: str = "ra", dec: str = "dec", cell: float = CELL, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points and boxes that share a cell (and the columns of on), each once; the exact predicate is the caller's."""
+    p, b = leaves(points, boxes, ra, dec, cell)
+    return p.join(b.drop("_y0", "_y1", "_x0", "_x1"), ["cell_n", "cell_y", "cell_x", *on]).drop("cell_n", "cell_y", "cell_x")
+
+
+def reaching(df: DataFrame, arcsec: Column, ra: str = "ra", dec: str = "dec", great_circle: bool = False) -> DataFrame:
+    """The box in which a position within arcsec of a row's position may lie.
 
     East-west the reach is that of offsets scaled at the other position's declination, or of great circles.
     """
@@ -44,16 +95,16 @@ def reaching(df: DataFrame, arcsec: Column, ra: str = "ra", dec: str = "dec", gr
     top = F.abs(F.col(dec)) + deg
     wide = F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.least(deg, F.lit(90.0)))) / F.cos(F.radians(F.col(dec))))) if great_circle else F.radians(deg) / F.cos(F.radians(top))
     half = F.when(top >= 89.9, F.lit(180.0)).otherwise(F.least(F.lit(180.0), F.degrees(wide) + 1e-7))
-    return _over(df, F.greatest(F.col(dec) - deg, F.lit(-90.0)), F.least(F.col(dec) + deg, F.lit(90.0)), F.col(ra) - half, F.col(ra) + half, cell)
+    return _boxed(df, F.greatest(F.col(dec) - deg, F.lit(-90.0)), F.least(F.col(dec) + deg, F.lit(90.0)), F.col(ra) - half, F.col(ra) + half)
 
 
 def brick_hits(positions: DataFrame, bricks: DataFrame, min_nexp: int = 1) -> DataFrame:
     """Positions (id, ra, dec) in each hemisphere's bricks that are exposed in all bands, the nearest centre first: id, hemisphere, brick, brick_dec."""
     good = bricks.where(" and ".join(f"nexp_{b} >= {min_nexp}" for b in "grz"))
     end = F.col("ra1") + F.pmod(F.col("ra2") - F.col("ra1") + 360.0, F.lit(360.0))
-    cells = _over(good, F.col("dec1"), F.col("dec2"), F.col("ra1"), end).select("cell_x", "cell_y", "hemisphere", "brickname", "ra1", "ra2", "dec1", "dec2", F.col("ra").alias("bra"), F.col("dec").alias("bdec"))
+    boxes = _boxed(good, F.col("dec1"), F.col("dec2"), F.col("ra1"), end).select("_y0", "_y1", "_x0", "_x1", "hemisphere", "brickname", "ra1", "ra2", "dec1", "dec2", F.col("ra").alias("bra"), F.col("dec").alias("bdec"))
     inside = (F.pmod(F.col("ra") - F.col("ra1") + 360.0, F.lit(360.0)) <= F.pmod(F.col("ra2") - F.col("ra1") + 360.0, F.lit(360.0))) & F.col("dec").between(F.col("dec1"), F.col("dec2"))
-    hits = cell_of(positions.select("id", "ra", "dec")).join(cells, ["cell_y", "cell_x"]).where(inside)
+    hits = met(positions.select("id", "ra", "dec"), boxes).where(inside)
     far = F.round(chord(F.col("ra"), F.col("dec"), F.col("bra"), F.col("bdec")), 12)
     first = F.row_number().over(W.partitionBy("id", "hemisphere").orderBy(far, "brickname"))
     return hits.withColumn("rank", first).where("rank = 1").select("id", "hemisphere", F.col("brickname").alias("brick"), F.col("bdec").alias("brick_dec"))
@@ -73,14 +124,14 @@ def blocked(positions: DataFrame, atlas: DataFrame, margin: float = 1.5) -> Data
     """Ids of positions (id, ra, dec, extra, exclude) that some galaxy other than exclude comes close to: within margin * r26 + extra
     of it, and so in its elliptical metric too, where extra is worth extra / ba.
 
-    The atlas (sga_id, ra, dec, r26, ba, pa) is exploded by its own reach plus the largest extra.
+    The atlas (sga_id, ra, dec, r26, ba, pa) reaches as far as its own margin plus the largest extra.
     """
     most = positions.agg(F.coalesce(F.max("extra"), F.lit(0.0))).scalar()
     near = reaching(atlas.select("sga_id", F.col("ra").alias("gra"), F.col("dec").alias("gdec"), "r26", "ba", "pa", (F.col("r26") * margin + most).alias("reach")), F.col("reach"), "gra", "gdec").drop("reach")
     east, north = tangent_offsets(F.col("ra"), F.col("dec"), F.col("gra"), F.col("gdec"), F.col("dec"))
     reach = F.col("r26") * margin
     close = (elliptical_radius(east, north, F.col("pa"), F.col("ba")) <= reach + F.col("extra") / F.col("ba")) & (F.hypot(east, north) <= reach + F.col("extra"))
-    pairs = cell_of(positions.select("id", "ra", "dec", "extra", "exclude")).join(near, ["cell_y", "cell_x"])
+    pairs = met(positions.select("id", "ra", "dec", "extra", "exclude"), near)
     return pairs.where((F.col("sga_id") != F.col("exclude")) & close).select("id").distinct()
 
 
@@ -94,7 +145,7 @@ def overlapping(positions: DataFrame, atlas: DataFrame, margin: float = 1.0) ->
     most = positions.agg(F.coalesce(F.max("half_diag"), F.lit(0.0))).scalar()
     near = reaching(atlas.select("sga_id", F.col("ra").alias("gra"), F.col("dec").alias("gdec"), "r26", (F.col("r26") * margin + most).alias("reach")), F.col("reach"), "gra", "gdec", True)
     sep = separation(F.col("ra"), F.col("dec"), F.col("gra"), F.col("gdec"))
-    pairs = cell_of(positions.select("id", "ra", "dec", "half_diag")).join(near, ["cell_y", "cell_x"]).withColumn("sep", sep)
+    pairs = met(positions.select("id", "ra", "dec", "half_diag"), near).withColumn("sep", sep)
     return pairs.where(F.col("sep") <= F.col("r26") * margin + F.col("half_diag")).select("id", "sga_id", "sep")
 
 
@@ -102,7 +153,7 @@ def neighbours(positions: DataFrame, others: DataFrame, arcsec: float) -> DataFr
     """(id, other, chord): others (other, ra, dec) within so many arcseconds, by the chord between unit vectors."""
     near = reaching(others.select("other", F.col("ra").alias("ora"), F.col("dec").alias("odec")), F.lit(arcsec), "ora", "odec", True)
     far = chord(F.col("ra"), F.col("dec"), F.col("ora"), F.col("odec"))
-    pairs = cell_of(positions.select("id", "ra", "dec")).join(near, ["cell_y", "cell_x"]).withColumn("chord", far)
+    pairs = met(positions.select("id", "ra", "dec"), near).withColumn("chord", far)
     return pairs.where(F.col("chord") <= 2 * sin(radians(arcsec / 3600.0) / 2)).select("id", "other", "chord")
 
 
@@ -125,9 +176,9 @@ def nearest_centre(positions: DataFrame, bricks: DataFrame, within: float = 0.5,
     left = kept(positions.select("id", "ra", "dec", F.explode(F.array(*[F.lit(h) for h in sides]).cast("array<string>")).alias("hemisphere")), "positions")
     found, cell = None, CELL
     while True:
-        near = reaching(b, F.lit(within * 3600.0), "bra", "bdec", True, cell)
+        near = reaching(b, F.lit(within * 3600.0), "bra", "bdec", True)
         far = chord(F.col("ra"), F.col("dec"), F.col("bra"), F.col("bdec"))
-        pairs = cell_of(left, cell=cell).join(near, ["cell_y", "cell_x", "hemisphere"]).withColumn("_far", far)
+        pairs = met(left, near, cell=cell, on=("hemisphere",)).withColumn("_far", far)
         pairs = pairs.where(F.col("_far") <= 2 * sin(radians(min(within, 180.0)) / 2) + (1e-9 if within >= 180.0 else 0.0))
         rest = [c for c in b.columns if c not in ("hemisphere", "brickname")]
         best = pairs.groupBy(*here).agg(F.min(F.struct(F.round("_far", 12).alias("_far"), "brickname", *rest)).alias("b")).select(*here, "b.*").drop("_far")

@@ -108,3 +108,36 @@ def test_ranks_without_one_task(spark):
     assert got == [round(i * (999 / 25)) for i in range(20)]
     assert select.subsample(df, ["k"], 5000).count() == 1000 and [r.k for r in select.subsample(df, ["k"], 1).collect()] == [0]
     assert select.subsample(df.limit(0), ["k"], 3).collect() == []
+
+
+def crowd(n, seed):
+    """Half of the positions within an arcminute of one place near RA 0."""
+    ra, dec = sky(n, seed)
+    rng = np.random.default_rng(seed)
+    ra[: n // 2] = (359.99 + rng.uniform(0, 1 / 60, n // 2)) % 360
+    dec[: n // 2] = 20 + rng.uniform(0, 1 / 60, n // 2)
+    return ra, dec
+
+
+def test_a_crowded_cell_is_split_and_pairs_stay_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FULL", 40)
+    ra, dec = crowd(600, 3)
+    df = spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec, strict=True))], "id long, ra double, dec double")
+    others = df.withColumnsRenamed({"id": "other", "ra": "ora", "dec": "odec"})
+    p, b = spatial.leaves(df, spatial.reaching(others, F.lit(3.0), "ora", "odec", True))
+    sizes = p.groupBy("cell_n", "cell_y", "cell_x").count().agg(F.max("count"), F.max("cell_n"), F.sum("count")).head()
+    assert sizes[0] <= 40 and sizes[1] >= 3 and sizes[2] == 600  # without the split one cell would hold some 100 or more
+    assert b.count() < 2 * 600
+    v = vectors(ra, dec)
+    chord = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    for arcsec in (3.0, 2000.0):
+        pairs = [(r.id, r.other) for r in spatial.neighbours(df, df.withColumnRenamed("id", "other"), arcsec).collect()]
+        want = set(zip(*map(np.ndarray.tolist, np.nonzero(chord <= 2 * np.sin(np.radians(arcsec / 3600) / 2))), strict=True))
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_rows_at_one_place_end_the_splits(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FULL", 5)
+    monkeypatch.setattr(spatial, "DEEPEST", 3)
+    df = spark.range(30).select("id", F.lit(12.3).alias("ra"), F.lit(-4.5).alias("dec"))
+    assert spatial.neighbours(df, df.withColumnRenamed("id", "other"), 1.0).count() == 900
