@@ -31,6 +31,20 @@ def checksum_files(bricks: DataFrame, root: str = "https://portal.example/coadd"
     return bricks.select("brick", "hemisphere", F.concat_ws("/", F.lit(root), "hemisphere", F.lit("coadd"), part, "brick", name).alias("url"))
 
 
+def catalogue_files(hemispheres: DataFrame, root: str = "https://portal.example", prefix: str = "survey", release: str = "dr", atlas: str = "atlas") -> DataFrame:
+    """(name, url) of the catalogues: the atlas of galaxies, and the bricks of each hemisphere (hemisphere)."""
+    side = hemispheres.select("hemisphere").distinct()
+    name = F.concat(F.lit(f"{prefix}-bricks-{release}-"), "hemisphere", F.lit(".fits.gz"))
+    bricks = side.select(name.alias("name"), F.concat_ws("/", F.lit(root), "hemisphere", name).alias("url"))
+    one = hemispheres.sparkSession.range(1).select(F.lit(f"{atlas}.fits").alias("name"), F.lit(f"{root}/{atlas}.fits").alias("url"))
+    return one.union(bricks)
+
+
+def fetch_summary(fetched: DataFrame) -> DataFrame:
+    """One row of downloads (bytes, failed): how many there were, the bytes of those that came, and how many failed."""
+    return fetched.agg(F.count("*").alias("n_tasks"), F.sum(F.when(~F.col("failed"), F.col("bytes"))).alias("bytes"), F.count_if("failed").alias("n_failed"))
+
+
 def checksum_lines(answers: DataFrame) -> DataFrame:
     """(line) of downloaded checksum lists (status, body): none where the status isn't 200 or the body is a page of HTML."""
     whole = answers.where((F.col("status") == 200) & ~F.ltrim("body").startswith("<"))

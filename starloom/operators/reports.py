@@ -74,3 +74,10 @@ def robust_sigma(df: DataFrame, value: str) -> DataFrame:
     rows = rows.withColumn("_v", F.sort_array(F.transform("_v", lambda x: F.abs(x - F.col("_m")))))
     sigma = _middle(F.col("_v")) * 1.4826
     return rows.withColumn("sigma", F.when(sigma == 0, 1e-3).otherwise(sigma)).drop("_v", "_m")
+
+
+def extremes(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: the keys with the highest and the lowest value, and the values; of equal ones the smallest key."""
+    hi, lo = F.max(F.struct(F.col(value), -F.col(key))), F.min(F.struct(F.col(value), F.col(key)))
+    rows = df.agg(hi.alias("hi"), lo.alias("lo"))
+    return rows.select((-F.col("hi.col2")).alias("most"), F.col(f"hi.{value}").alias("most_value"), F.col(f"lo.{key}").alias("least"), F.col(f"lo.{value}").alias("least_value"))

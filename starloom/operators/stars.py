@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import separation
 from ..sources.views import PIXSCALE
-from .spatial import met, reaching
+from .spatial import farthest_corner, met, nearest_centre, reaching
 
 
 def bright_stars(stars: DataFrame, mag_limit: float = 15.0, lat_min: float = 5.0, ra: tuple | None = None, dec: tuple | None = None) -> DataFrame:
-    """Stars brighter than a limit and off the galactic plane; bounds need both ends, and RA isn't wrapped."""
-    rows = stars.where((F.col("phot_g_mean_mag") < mag_limit) & (F.abs("b") >= lat_min))
+    """Stars brighter than a limit and off the galactic plane; bounds need both ends, and RA isn't wrapped.
+
+    Every test is a comparison of a column with a number, so that files and databases can make it.
+    """
+    rows = stars.where((F.col("phot_g_mean_mag") < mag_limit) & ((F.col("b") >= lat_min) | (F.col("b") <= -lat_min)))
     for name, bounds in (("ra", ra), ("dec", dec)):
         if bounds is not None and None not in bounds:
             rows = rows.where(F.col(name).between(*bounds))
@@ -64,3 +67,20 @@ def legacy_missing(galaxies: DataFrame, listing: DataFrame, threshold: int = 500
     missing = rows.where("length is null").withColumn("state", F.lit("missing"))
     broken = rows.where(F.col("length") < threshold).withColumn("state", F.lit("broken"))
     return missing.unionByName(broken)
+
+
+def missing_counts(galaxies: DataFrame, listing: DataFrame, threshold: int = 500) -> DataFrame:
+    """One row: galaxies in all, ids with a file in the listing, galaxies missing and broken, and both together."""
+    states = legacy_missing(galaxies, listing, threshold)
+    n = states.agg(F.count_if(F.col("state") == "missing").alias("n_missing"), F.count_if(F.col("state") == "broken").alias("n_broken"), F.count("*").alias("n_retry"))
+    total = galaxies.agg(F.count("*").alias("n_galaxies"))
+    files = parse_listing(listing).agg(F.count_distinct("sga_id").alias("n_files"))
+    return total.join(F.broadcast(files)).join(F.broadcast(n))
+
+
+def legacy_footprint(galaxies: DataFrame, bricks: DataFrame, min_nexp: int = 1) -> DataFrame:
+    """(sga_id) of galaxies inside the nearest brick of either hemisphere, whose exposures in all bands together are enough."""
+    near = nearest_centre(galaxies.withColumn("id", F.col("sga_id")), bricks, at_most=farthest_corner(bricks))
+    width = F.pmod(F.col("ra2") - F.col("ra1") + 360.0, F.lit(360.0))
+    inside = (F.pmod(F.col("ra") - F.col("ra1") + 360.0, F.lit(360.0)) <= width) & F.col("dec").between(F.col("dec1"), F.col("dec2"))
+    return near.where(inside & (F.col("nexp_g") + F.col("nexp_r") + F.col("nexp_z") >= min_nexp)).select(F.col("id").alias("sga_id")).distinct()

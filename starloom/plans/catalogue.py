@@ -218,6 +218,11 @@ def psf_urls(spark, sf):
     return ledger.psf_files(v(spark, sf, "galaxies").select("group_name", "group_ra").distinct())
 
 
+@query
+def catalogue_urls(spark, sf):
+    return ledger.catalogue_files(v(spark, sf, "bricks"))
+
+
 @query
 def checksum_urls(spark, sf):
     return ledger.checksum_files(_targets(spark, sf).select("brick", "hemisphere").distinct())
@@ -427,7 +432,7 @@ def mad_sigma(spark, sf):
 @query
 def extreme_samples(spark, sf):
     rows = stamps.verdict(_packed(spark, sf), "sample_id").select("sample_id", F.round("galaxy_frac", 6).alias("f"))
-    return rows.agg(F.max(F.struct("f", -F.col("sample_id"))).alias("hi"), F.min(F.struct("f", "sample_id")).alias("lo")).select((-F.col("hi.col2")).alias("most"), F.col("hi.f").alias("most_frac"), F.col("lo.sample_id").alias("least"), F.col("lo.f").alias("least_frac"))
+    return reports.extremes(rows, "sample_id", "f").withColumnsRenamed({"most_value": "most_frac", "least_value": "least_frac"})
 
 
 @query
@@ -646,10 +651,7 @@ def legacy_fields(spark, sf):
 @query
 def legacy_footprint(spark, sf):
     """Positions in the nearest brick of either hemisphere, exposed at least once in any band."""
-    bricks = kept(v(spark, sf, "bricks"), "bricks")
-    near = spatial.nearest_centre(v(spark, sf, "galaxies").withColumn("id", F.col("sga_id")), bricks, at_most=spatial.farthest_corner(bricks))
-    inside = (F.pmod(F.col("ra") - F.col("ra1") + 360.0, F.lit(360.0)) <= F.pmod(F.col("ra2") - F.col("ra1") + 360.0, F.lit(360.0))) & F.col("dec").between(F.col("dec1"), F.col("dec2"))
-    return near.where(inside & (F.col("nexp_g") + F.col("nexp_r") + F.col("nexp_z") >= 1)).select(F.col("id").alias("sga_id")).distinct()
+    return stars.legacy_footprint(v(spark, sf, "galaxies"), kept(v(spark, sf, "bricks"), "bricks"))
 
 
 @query
@@ -658,6 +660,11 @@ def legacy_missing(spark, sf):
     return rounded(stars.legacy_missing(g, v(spark, sf, "listing")).withColumn("length", F.coalesce("length", F.lit(-1))))
 
 
+@query
+def legacy_missing_counts(spark, sf):
+    return stars.missing_counts(catalog.select_redshift(v(spark, sf, "galaxies")), v(spark, sf, "listing"))
+
+
 @query
 def listing_parse(spark, sf):
     return rounded(stars.parse_listing(v(spark, sf, "listing")))
@@ -725,7 +732,7 @@ def fetch_summary(spark, sf):
     files = ledger.brick_files(_targets(spark, sf).select("brick", "hemisphere").distinct())
     size = (F.length("url") * 1000).cast("long")
     failed = F.pmod(F.length("brick") * 31 + F.length("kind") * 7 + F.ascii(F.substring("brick", -1, 1)), F.lit(23)) == 5
-    return files.agg(F.count("*").alias("n_tasks"), F.sum(F.when(~failed, size)).alias("bytes"), F.count(F.when(failed, 1)).alias("n_failed"))
+    return ledger.fetch_summary(files.select(size.alias("bytes"), failed.alias("failed")))
 
 
 @query

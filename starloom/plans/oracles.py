@@ -211,6 +211,7 @@ _SQL = {
     "distinct_bricks": f"WITH {TARGETS} SELECT DISTINCT brick, hemisphere FROM targets",
     "pick_groups": f"""WITH {TARGETS}, gr AS (SELECT DISTINCT group_name, group_ra FROM targets), rk AS (SELECT *, row_number() OVER (ORDER BY group_ra, group_name) - 1 AS i, count(*) OVER () AS n FROM gr),
       pk AS (SELECT DISTINCT round_even(j * ((n - 1) / 29e0), 0)::BIGINT AS i FROM (SELECT unnest(range(0, 30)) AS j), (SELECT max(n) AS n FROM rk)) SELECT group_name, round(group_ra, 6) AS group_ra FROM rk WHERE n <= 30 OR i IN (SELECT i FROM pk)""",
+    "catalogue_urls": "SELECT 'atlas.fits' AS name, 'https://portal.example/atlas.fits' AS url UNION ALL SELECT DISTINCT 'survey-bricks-dr-' || hemisphere || '.fits.gz', 'https://portal.example/' || hemisphere || '/survey-bricks-dr-' || hemisphere || '.fits.gz' FROM v_bricks",
     "checksum_urls": f"WITH {FILES} SELECT brick, hemisphere, 'https://portal.example/coadd/' || hemisphere || '/coadd/' || brick[1:3] || '/' || brick || '/survey_dr_' || hemisphere || '_coadd_' || brick[1:3] || '_' || brick || '.sha256sum' AS url FROM bh",
     "psf_present": "SELECT group_name, band FROM (SELECT DISTINCT group_name FROM v_galaxies), (SELECT unnest(['g', 'r', 'z']) AS band) WHERE (length(group_name) * 31 + ascii(right(group_name, 1)) + ascii(band)) % 5 <> 2",
     "seeded_sample": "SELECT sga_id, round(ra, 6) AS ra, round(dec, 6) AS dec FROM (SELECT * FROM v_galaxies ORDER BY md5(sga_id || ':7'), sga_id LIMIT 50)",
@@ -287,6 +288,8 @@ _SQL = {
     "legacy_fields": f"""WITH a AS (SELECT *, d26 * 5e0 * 3e1 / 36e2 AS rad, unnest(range(0, 6)) AS i FROM v_galaxies) SELECT sga_id, round(i * 60e0, 6) AS angle_deg, round(ra + rad / cos({R}(dec)) * cos(2 * pi() * i / 6), 6) AS field_ra, round(least(90e0, greatest(-90e0, dec + rad * sin(2 * pi() * i / 6))), 6) AS field_dec FROM a""",
     "legacy_footprint": f"""WITH d AS (SELECT g.sga_id, g.ra, g.dec, b.* EXCLUDE (ra, dec), row_number() OVER (PARTITION BY g.sga_id, hemisphere ORDER BY round({_chord('g.', 'b.')}, 12), brickname) AS rk FROM v_galaxies g JOIN v_bricks b ON true)
       SELECT DISTINCT sga_id FROM d WHERE rk = 1 AND dec BETWEEN dec1 AND dec2 AND {_mod('ra - ra1')} <= {_mod('ra2 - ra1')} AND nexp_g + nexp_r + nexp_z >= 1""",
+    "legacy_missing_counts": f"""WITH l AS (SELECT sga_id, arg_max(length, name) AS length FROM {_LISTED} GROUP BY 1), g AS (SELECT sga_id FROM v_galaxies WHERE z_leda > 0 AND z_leda < 5e-2)
+      SELECT count(*) AS n_galaxies, (SELECT count(*) FROM l) AS n_files, count(*) FILTER (length IS NULL) AS n_missing, count(*) FILTER (length < 500) AS n_broken, count(*) FILTER (length IS NULL OR length < 500) AS n_retry FROM g LEFT JOIN l USING (sga_id)""",
     "legacy_missing": f"""WITH l AS (SELECT sga_id, arg_max(length, name) AS length FROM {_LISTED} GROUP BY 1), j AS (SELECT g.sga_id, g.ra, g.dec, g.d26, l.length FROM v_galaxies g LEFT JOIN l USING (sga_id) WHERE z_leda > 0 AND z_leda < 5e-2)
       SELECT sga_id, round(ra, 6) AS ra, round(dec, 6) AS dec, round(d26, 6) AS d26, coalesce(length, -1) AS length, CASE WHEN length IS NULL THEN 'missing' ELSE 'broken' END AS state FROM j WHERE length IS NULL OR length < 500""",
     "listing_parse": f"SELECT name, length, sga_id, round(ra, 6) AS ra, round(dec, 6) AS dec, round(size_arcsec, 6) AS size_arcsec FROM {_LISTED}",
