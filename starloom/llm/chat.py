@@ -15,6 +15,8 @@ from .common import read, written
 
 #: JSON types of a schema's properties; an integer is a number too, a boolean neither.
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: The keywords that are judged, and those that say nothing of a value.
+_KEYWORDS = {"type", "properties", "required", "additionalProperties", "items", "enum"} | {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
 #: Waits of a conversation up to which one task orders its calls; those of a larger one are settled level by level.
 GATHER = 100_000
 _SURROGATE = re.compile("[\ud800-\udfff]")
@@ -62,6 +64,25 @@ def _escaped(text: str) -> str:
     return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
+def checked(schema: dict, at: str = "$") -> dict:
+    """The schema, if violation can judge all of it: known keywords and types alone; a ValueError says what is not."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema must be an object")
+    if strange := sorted(set(schema) - _KEYWORDS):
+        raise ValueError(f"{at}: unknown keyword {', '.join(strange)}")
+    kinds = schema.get("type", [])
+    for k in kinds if isinstance(kinds, list) else [kinds]:
+        if k not in _TYPES:
+            raise ValueError(f"{at}: unknown type {k}")
+    for name, part in schema.get("properties", {}).items():
+        checked(part, f"{at}.{name}")
+    if "items" in schema:
+        checked(schema["items"], f"{at}[]")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: additionalProperties must be true or false")
+    return schema
+
+
 def violation(value, schema: dict, at: str = "$") -> str | None:
     """The first place where a value breaks a schema (type, properties, required, additionalProperties, items, enum), or None."""
     kinds = schema.get("type")
@@ -183,8 +204,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     too deep nesting, whose arguments are then written as the string they came as), else `ok`.  status of a result: `orphan` without a call, `repeated` if
     call or result is there more than once, else `ok`.  place is twice the call's level, and one more for its result, so
     that sorting a conversation by (place, turn) is a topological order; null where there is none.  Null ids link with
-    nothing: such calls are unanswered, such results orphans.  A null content is the JSON null.
+    nothing: such calls are unanswered, such results orphans.  A null content is the JSON null.  Columns beyond these aren't
+    looked at.  A schema with a type or keyword that can't be judged is a ValueError before any work.
     """
+    for name, schema in schemas.items():
+        checked(schema, name)
     key = ["conv_id", "call_id"]
     n_calls = written(calls.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.count("*").alias("n_calls")), "calls", True)
     n_results = written(results.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.count("*").alias("n_results")), "results", True)

@@ -97,3 +97,19 @@ def test_levels_of_a_random_graph(spark, gather):
     for k in range(60 if gather else 25):
         want[str(k)] = 1 + max((want[str(x)] for x in after[k]), default=-1)
     assert {r.call_id: r.level for r in C.levels(df, gather).collect()} == want
+
+
+@pytest.mark.parametrize("schema, place", [({"type": "text"}, "f: unknown type text"), ({"properties": {"x": {"type": ["string", "date"]}}}, "f.x: unknown type date"), ({"items": {"pattern": "a"}}, r"f\[\]: unknown keyword pattern"), ({"additionalProperties": {"type": "string"}}, "f: additionalProperties must be"), ([], "f: a schema must be")])
+def test_schemas_are_checked_before_any_work(spark, schema, place):
+    with pytest.raises(ValueError, match=place):
+        C.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), {"f": schema})
+    assert C.checked({"title": "t", **SCHEMA["f"]})
+
+
+def test_very_long_texts_and_columns_of_result_names(spark):
+    long = "é" * 3_000_000
+    calls = spark.createDataFrame([(1, 1, "a", "f", json.dumps({"x": long}), [], "s")], CALLS + ", status string")
+    results = spark.createDataFrame([(1, 2, "a", long, 7)], RESULTS + ", place int")
+    got = {r.kind: r for r in C.link(calls, results, SCHEMA).collect()}
+    assert got["call"].status == got["result"].status == "ok" and got["result"].place == 1
+    assert json.loads(got["call"].json)["arguments"]["x"] == long == json.loads(got["result"].json)["content"]
