@@ -38,6 +38,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def unclashing(columns: list[str], made: tuple[str, ...]) -> list[str]:
+    """The columns, without repeats, whose names none of the made ones takes; Spark's names don't tell cases apart."""
+    taken = {m.lower() for m in made}
+    return [c for c in dict.fromkeys(columns) if c.lower() not in taken]
+
+
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation.
 

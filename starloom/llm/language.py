@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import read, tidy
+from .common import read, tidy, unclashing
 from .quality import held_out
 from .textops import pieces
 
@@ -172,7 +172,9 @@ def identified(docs: DataFrame, model: Model, keep: list[str], text: str = "text
     """Columns keep of docs, lang_pred, score and ambiguous.
 
     A text that is null or has no letter is `und` with score 0; so is every text when no language has been learned.
+    Of columns in keep that have the name of a result, the result alone is returned.
     """
+    keep = unclashing(keep, ("lang_pred", "score", "ambiguous"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     flow = docs.select(F.col(text).alias("_t"), *keep)
 

@@ -142,3 +142,11 @@ def test_predictions_are_those_of_plain_counting(make):
         assert got[i].score == pytest.approx(score, abs=1e-4)
         if lang == "und" or abs(score - 0.5) > 0.1:
             assert (got[i].lang_pred, got[i].ambiguous) == (lang, doubt)
+
+
+def test_results_take_the_place_of_columns_of_their_names(make):
+    model = L.train(make(corpus(200, 3, ["en", "de"])))
+    rows = make([(1, "the house"), (2, None)]).withColumnRenamed("source", "Lang_Pred")
+    got = L.identified(rows, model, ["doc_id", "Lang_Pred", "score", "doc_id", "lang"])
+    assert got.columns == ["doc_id", "lang", "lang_pred", "score", "ambiguous"]
+    assert {r.doc_id: (r.lang_pred, r.score > 0.5) for r in got.collect()} == {1: ("en", True), 2: ("und", False)}
