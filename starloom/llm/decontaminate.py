@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, read, tidy, written
+from .common import discard, read, tidy, unclashing, written
 from .textops import ALNUM, buffers, pieces, runs, words
 
 WINDOW, TOKEN = 10, 3
@@ -114,12 +114,13 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
     A null or empty text has no words and no hit.  Items that are null or have no words match nothing; items with the same
     id count once.  Repeated documents are judged each by itself.  Without items every document is clean.
+    A column of docs that has one of the given names isn't kept: the result takes its place.
     Items come to the driver in blocks of so many windows, one at a time; with more than one the documents are written
     after each pass, so that one index alone is with the executors.  Documents are never shuffled.
     """
     spark = docs.sparkSession
     own = ("__starloom_words", "__starloom_spans", "__starloom_items")
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in own]
+    kept = unclashing([c for c in (keep if keep is not None else docs.columns) if c not in own], names)
     flow = docs.select(*dict.fromkeys([*kept, text])).withColumn(own[0], F.lit(None).cast("long")).withColumn(own[1], F.array().cast("array<struct<a:long,b:long>>")).withColumn(own[2], F.array().cast("array<string>"))
     before = None
     for block, last in _blocks(items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()), most):

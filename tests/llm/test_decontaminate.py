@@ -67,3 +67,12 @@ def test_intervals_unite():
 
     assert D.merged(np.array([5, 0, 2, 9]), np.array([7, 3, 4, 10])) == [(0, 4), (5, 7), (9, 10)]
     assert D.merged(np.array([], int), np.array([], int)) == []
+
+
+def test_results_take_the_place_of_columns_of_their_names(spark, make):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    plain = {r.doc_id: (r.n_words, r["items"]) for r in D.contamination(make(DOCS), items).collect()}
+    clash = make(DOCS).withColumnRenamed("score", "N_words").withColumnRenamed("lang", "items")
+    out = D.contamination(clash, items)
+    assert out.columns == ["doc_id", "text", "source", "n_chars", "n_words", "spans", "items"]
+    assert {r.doc_id: (r.n_words, r["items"]) for r in out.collect()} == plain
