@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import companions, funnel, layers, ledger, psf, reports, select, spatial, stamps, tiles
+from ..operators import companions, funnel, layers, ledger, psf, reports, select, spatial, stamps, stars, tiles
 from ..operators.catalog import half_diagonal, isophotal_radius, with_geometry
 from ..sources import files, images
 from ..sources.shared import kept, removed
@@ -44,6 +44,28 @@ class Backgrounds(Galaxies):
     seed: int = 20260807
 
 
+@dataclass(frozen=True)
+class Library:
+    """Parameters of the run of point-spread functions."""
+
+    n_groups: int = 300
+    zcut: float = 0.05
+
+
+@dataclass(frozen=True)
+class Companions:
+    """The run of companions has no parameters but its paths."""
+
+
+@dataclass(frozen=True)
+class Sidecars:
+    """Parameters of the run of stars beside older frames."""
+
+    scale: float = PIXSCALE
+    maglim: float = 17.0
+    overwrite: bool = False
+
+
 def targets(galaxies: DataFrame, bricks: DataFrame, s: Galaxies) -> DataFrame:
     found = select.galaxy_targets(galaxies, bricks, s.zcut, s.min_nexp, s.size_mult, s.min_size, s.sga_margin)
     return select.subsample(found, ["ra", "sga_id"], s.sample, s.limit)
@@ -186,6 +208,17 @@ def companion_run(spark: SparkSession, manifest: DataFrame, galaxies: DataFrame,
     return companions.exceedance(found)
 
 
+def sidecar_run(spark: SparkSession, listing: DataFrame, catalogue: DataFrame, out: str, s: Sidecars = Sidecars()) -> DataFrame:  # noqa: B008
+    """Stars in the frames of a listing (name, length) as folders of CSV at out, one for each frame that has some; returns stars by frame.
+
+    Names that don't tell a place and a size have no sidecar.  Frames that have theirs keep it, unless overwritten.
+    """
+    frames = stars.parse_listing(listing).where("sga_id is not null and ra is not null and dec is not null and size_arcsec is not null")
+    found = kept(stars.star_sidecars(frames.withColumn("id", F.col("sga_id")), catalogue, s.maglim, s.scale).withColumnRenamed("id", "sga_id"), "sidecars")
+    files.write_sidecars(found, out, "sga_id", s.overwrite)
+    return found.groupBy("sga_id").agg(F.count("*").alias("n_stars"))
+
+
 def report(candidates: DataFrame) -> dict[str, DataFrame]:
     """The figures of a background run."""
     return {"rejections": reports.rejections(candidates), "survival": reports.survival(candidates), "separations": reports.separation_stats(candidates), "bricks": reports.brick_survival(candidates)}
@@ -201,3 +234,38 @@ def arguments(kind: type, argv: list[str] | None = None):
         else:
             parser.add_argument(flag, type=int if f.type in ("int", "int | None") else float, default=f.default)
     return kind(**vars(parser.parse_args(argv)))
+
+
+#: The runs by name: parameters, and the tables that each reads.
+RUNS = {
+    "galaxies": (Galaxies, ("galaxies", "north", "south", "detections", "tiles")),
+    "backgrounds": (Backgrounds, ("galaxies", "north", "south", "detections", "tiles")),
+    "psf": (Library, ("galaxies", "north", "south", "tiles")),
+    "companions": (Companions, ("galaxies", "detections", "manifest")),
+    "sidecars": (Sidecars, ("frames", "stars")),
+}
+
+
+def main(spark: SparkSession, argv: list[str]) -> DataFrame | int:
+    """A run by its name and a command line: `galaxies --galaxies atlas.fits --north n.fits.gz --south s.fits.gz --detections d
+    --tiles t --out folder --zcut 0.03`.  tiles is a table of files (brick or group_name, plane or band, file), in Parquet."""
+    kind, tables = RUNS[argv[0]]
+    parser = argparse.ArgumentParser(prog=argv[0])
+    for name in (*tables, "out"):
+        parser.add_argument(f"--{name}", required=True)
+    paths, rest = parser.parse_known_args(argv[1:])
+    s, at = arguments(kind, rest), vars(paths)
+    read = {n: files.catalogue(spark, at[n], k) for n, k in (("galaxies", "galaxies"), ("detections", "tractor"), ("stars", "stars")) if n in at}
+    if "north" in at:
+        read["bricks"] = files.bricks(spark, at["north"], at["south"])
+    if "tiles" in at:
+        read["tiles"] = spark.read.parquet(at["tiles"])
+    if argv[0] == "galaxies":
+        return galaxy_run(spark, read["galaxies"], read["bricks"], read["detections"], read["tiles"], at["out"], s)
+    if argv[0] == "backgrounds":
+        return background_run(spark, read["galaxies"], read["bricks"], read["detections"], read["tiles"], at["out"], s)
+    if argv[0] == "psf":
+        return psf_run(spark, read["galaxies"], read["bricks"], read["tiles"], at["out"], s.n_groups, s.zcut)
+    if argv[0] == "companions":
+        return companion_run(spark, files.ledger(spark, at["manifest"]), read["galaxies"], read["detections"], at["out"])
+    return sidecar_run(spark, files.listing(spark, at["frames"]), read["stars"], at["out"], s)

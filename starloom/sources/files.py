@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 REQUIRED = {
     "galaxies": ("sga_id", "galaxy", "ra", "dec", "z_leda", "d26", "sma_sb25", "sma_sb26", "ba", "pa", "group_name", "group_ra"),
     "bricks": ("hemisphere", "brickname", "ra", "dec", "ra1", "ra2", "dec1", "dec2", "nexp_g", "nexp_r", "nexp_z"),
+    "side": ("brickname", "ra", "dec", "ra1", "ra2", "dec1", "dec2", "nexp_g", "nexp_r", "nexp_z"),
     "tractor": ("ra", "dec", "type", "shape_r", "shape_e1", "shape_e2", "ref_cat", "ref_id", "flux_r"),
     "stars": ("ra", "dec", "phot_g_mean_mag"),
 }
@@ -46,6 +47,11 @@ def two_hemispheres(north: DataFrame, south: DataFrame) -> DataFrame:
     return south.withColumn("hemisphere", F.lit("south")).unionByName(north.withColumn("hemisphere", F.lit("north")))
 
 
+def bricks(spark: SparkSession, north: str, south: str) -> DataFrame:
+    """The bricks of both hemispheres, from a catalogue of each."""
+    return two_hemispheres(catalogue(spark, north, "side"), catalogue(spark, south, "side"))
+
+
 def ledger(spark: SparkSession, path: str, schema: str = GALAXY_LEDGER) -> DataFrame:
     """A ledger in CSV with a header; empty cells are null."""
     return spark.read.schema(schema).csv(path, header=True)
@@ -71,8 +77,7 @@ def write_sidecars(stars: DataFrame, path: str, key: str = "sga_id", overwrite:
     """A folder of CSV for each frame with a star; those already there are kept unless overwritten."""
     spark = stars.sparkSession
     if overwrite:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        stars.write.mode("overwrite").partitionBy(key).csv(path, header=True)
+        stars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).csv(path, header=True)
         return
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):

@@ -108,3 +108,38 @@ def test_the_psf_library_from_files_to_json(spark, sky, tmp_path):
         assert got[band].tv_moffat_median < got[band].tv_gauss_median
     text = [json.loads(line) for d, _, names in os.walk(tmp_path / "psf") for n in names if n.endswith(".json") for line in open(os.path.join(d, n))]
     assert {t["band"]: len(t["fits"]) for t in text} == {b: len(h) for b, h in known.items()}
+
+
+def test_runs_by_command_line(spark, sky, tmp_path):
+    galaxies, bricks, detections, paths = sky
+    at = {n: str(tmp_path / n) for n in ("galaxies", "north", "south", "detections", "tiles", "out")}
+    galaxies.write.parquet(at["galaxies"])
+    for side in ("north", "south"):
+        bricks.where(F.col("hemisphere") == side).drop("hemisphere").write.parquet(at[side])
+    detections.write.parquet(at["detections"])
+    paths.write.parquet(at["tiles"])
+    line = [x for n, p in at.items() for x in (f"--{n}", p)]
+    n = runs.main(spark, ["galaxies", *line, *ARGS])
+    assert n == files.ledger(spark, f"{at['out']}/manifest").count() > 0
+    assert runs.main(spark, ["galaxies", *line, *ARGS]) == 0
+    # Every brick comes from one of the two tables.
+    assert {r.hemisphere for r in files.ledger(spark, f"{at['out']}/manifest").select("hemisphere").distinct().collect()} <= {"north", "south"}
+    with pytest.raises(SystemExit):
+        runs.main(spark, ["galaxies", *line, "--no-such", "1"])
+
+
+def test_sidecars_of_older_frames(spark, tmp_path):
+    frames, out = tmp_path / "frames", str(tmp_path / "out")
+    frames.mkdir()
+    for name in ("SGA_7_RA10.5_Dec-3.25_size60.0.jpeg", "SGA_8_RA200.0_Dec40.0_size60.0.jpeg", "notes.txt"):
+        (frames / name).write_text("x")
+    stars = spark.createDataFrame([(1, 10.5, -3.25, 9.0), (2, 10.501, -3.251, 16.5), (3, 10.5, -3.24, 18.0), (4, 11.0, -3.25, 5.0)], "source_id long, ra double, dec double, phot_g_mean_mag double")
+    stars.write.parquet(str(tmp_path / "stars"))
+    line = ["sidecars", "--frames", str(frames), "--stars", str(tmp_path / "stars"), "--out", out]
+    assert [tuple(r) for r in runs.main(spark, line).collect()] == [(7, 2)]
+    assert spark.read.csv(out, header=True).count() == 2
+    runs.main(spark, line)
+    assert spark.read.csv(out, header=True).count() == 2
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    assert [tuple(r) for r in runs.main(spark, [*line, "--maglim", "10", "--overwrite"]).collect()] == [(7, 1)]
+    assert spark.read.csv(out, header=True).count() == 1 and spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
