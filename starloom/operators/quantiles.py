@@ -15,7 +15,7 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]
     """(by, a column for each name of wanted): the exact quantiles of (column, fraction), between two ranks on the line between them.
 
     Sketches of bounded size propose two pivots around each rank; rows below, at, between and above them are counted, which
-    says where the rank is, whatever the sketch was worth.  Each pass leaves about a 500th of the values; up to GATHERED
+    says where the rank is, whatever the sketch was worth.  Each pass leaves about a 300th of the values; up to GATHERED
     are sorted.  Nulls don't count, NaN is above all numbers, null is a group of its own, and a group without values gives
     nulls; without by there is one row, of nulls if the table is empty.
     """
