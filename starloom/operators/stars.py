@@ -29,7 +29,7 @@ def star_sidecars(frames: DataFrame, stars: DataFrame, maglim: float = 15.0, sca
     pixel in the frame.  East-west offsets aren't wrapped at RA 0."""
     half = F.lit(0.5) * F.sqrt(F.lit(2.0)) * F.col("size_arcsec")
     near = reaching(frames.select("id", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), "size_arcsec"), half, "ra0", "dec0", True)
-    pairs = met(stars.where(F.col("phot_g_mean_mag") < maglim).select("source_id", "ra", "dec", "phot_g_mean_mag"), near)
+    pairs = met(stars.where(F.col("phot_g_mean_mag") < maglim).select("source_id", "ra", "dec", "phot_g_mean_mag"), near, sphere=True)
     pairs = pairs.withColumn("sep_arcsec", separation(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))).where(F.col("sep_arcsec") <= half)
     size = F.rint(F.col("size_arcsec") / scale)
     pairs = pairs.withColumn("x_pix", size / 2 - (F.col("ra") - F.col("ra0")) * F.cos(F.radians("dec0")) * 3600.0 / scale).withColumn("y_pix", size / 2 + (F.col("dec") - F.col("dec0")) * 3600.0 / scale)

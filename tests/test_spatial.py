@@ -141,3 +141,51 @@ def test_rows_at_one_place_end_the_splits(spark, monkeypatch):
     monkeypatch.setattr(spatial, "DEEPEST", 3)
     df = spark.range(30).select("id", F.lit(12.3).alias("ra"), F.lit(-4.5).alias("dec"))
     assert spatial.neighbours(df, df.withColumnRenamed("id", "other"), 1.0).count() == 900
+
+
+def beyond(n, seed):
+    """Positions near the poles and elsewhere whose declinations go on beyond the poles, some of them several times around."""
+    rng = np.random.default_rng(seed)
+    ra = (358 + rng.uniform(0, 4, n)) % 360
+    dec = rng.choice([-90.0, -210.0, -270.0, -330.0, 30.0, -450.0], n) + rng.uniform(-0.5, 0.5, n)
+    return ra, dec
+
+
+@pytest.mark.parametrize("arcsec", [200.0, 1500.0])
+def test_declinations_beyond_the_poles_keep_their_neighbours(spark, arcsec):
+    ra, dec = beyond(400, 4)
+    df = spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec, strict=True))], "id long, ra double, dec double")
+    others = df.withColumnsRenamed({"id": "other", "ra": "ora", "dec": "odec"})
+    near = spatial.reaching(others, F.lit(arcsec), "ora", "odec", True)
+    tall = near.agg(F.max(F.col("_y1") - F.col("_y0")), F.min("_y1")).head()
+    assert tall[0] <= 2 * arcsec / 3600 + 1e-6 and tall[1] >= -90  # boxes stay on the sphere: they reached from a pole to the declination
+    pairs = [(r.id, r.other) for r in spatial.neighbours(df, df.withColumnRenamed("id", "other"), arcsec).collect()]
+    v = vectors(ra, dec)
+    chord = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(chord <= 2 * np.sin(np.radians(arcsec / 3600) / 2))), strict=True))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    atlas = df.select(F.col("id").alias("sga_id"), "ra", "dec", F.lit(arcsec / 2).alias("r26"))
+    found = spatial.overlapping(df.withColumn("half_diag", F.lit(arcsec / 2)), atlas)
+    assert {(r.id, r.sga_id) for r in found.collect()} == want
+
+
+def test_declinations_beyond_the_poles_keep_their_clearance(spark):
+    ra, dec = beyond(400, 7)
+    rows = [(i, float(a), float(d), 60.0 + i % 40, 0.3 + i % 7 / 10, float(i * 53 % 180)) for i, (a, d) in enumerate(zip(ra, dec, strict=True))]
+    atlas = spark.createDataFrame(rows, "sga_id long, ra double, dec double, r26 double, ba double, pa double")
+    pos = atlas.select(F.col("sga_id").alias("id"), "ra", "dec", F.lit(50.0).alias("extra"), F.col("sga_id").alias("exclude"))
+    near = spatial.reaching(atlas, F.col("r26") * 1.5 + 50.0)
+    assert near.agg(F.max(F.col("_y1") - F.col("_y0"))).head()[0] < 0.2  # boxes lie about their own declination
+    _, _, _, r26, ba, pa = (np.array(c) for c in zip(*rows, strict=True))
+    want = set()
+    for i in range(len(rows)):
+        north = (dec[i] - dec) * 3600
+        east = ((ra[i] - ra + 180) % 360 - 180) * np.cos(np.radians(dec[i])) * 3600
+        p = np.radians(pa)
+        ell = np.hypot(east * np.sin(p) + north * np.cos(p), (north * np.sin(p) - east * np.cos(p)) / ba)
+        close = (ell <= 1.5 * r26 + 50 / ba) & (np.hypot(east, north) <= 1.5 * r26 + 50)
+        close[i] = False
+        if close.any():
+            want.add(i)
+    assert 0 < len(want) < len(rows)
+    assert {r.id for r in spatial.blocked(pos, atlas).collect()} == want
