@@ -45,10 +45,13 @@ def legacy_sizes(galaxies: DataFrame, na: float = 3.0, scale: float = PIXSCALE)
 
 
 def legacy_fields(galaxies: DataFrame, n: int = 6, away: float = 5.0) -> DataFrame:
-    """n field positions on a circle of away * D26 / 2 around each galaxy; dec held to the poles, RA not wrapped."""
+    """n field positions on a circle of away * D26 / 2 around each galaxy; dec held to the poles, RA not wrapped.
+
+    The circle is widened in RA by the declination, also by one beyond the poles; right at a pole it isn't.
+    """
     spots = F.array(*[F.struct(F.lit(360.0 * i / n).alias("angle_deg"), F.lit(cos(2 * pi * i / n)).alias("c"), F.lit(sin(2 * pi * i / n)).alias("s")) for i in range(n)])
     rows = galaxies.select("sga_id", "ra", "dec", (F.col("d26") * away * 30.0 / 3600.0).alias("radius"), F.explode(spots).alias("p"))
-    wide = F.when(F.abs("dec") < 90, F.col("radius") / F.cos(F.radians("dec"))).otherwise(F.col("radius"))
+    wide = F.when(F.abs("dec") != 90, F.col("radius") / F.cos(F.radians("dec"))).otherwise(F.col("radius"))
     dec = F.least(F.lit(90.0), F.greatest(F.lit(-90.0), F.col("dec") + F.col("radius") * F.col("p.s")))
     return rows.select("sga_id", F.col("p.angle_deg").alias("angle_deg"), (F.col("ra") + wide * F.col("p.c")).alias("field_ra"), dec.alias("field_dec"))
 
