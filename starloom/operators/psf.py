@@ -12,10 +12,41 @@ from ..sources.views import PIXSCALE
 from .quantiles import quantiles
 
 
-def normalise(stamps: DataFrame, key: list[str]) -> DataFrame:
-    """Pixels (key, y, x, value) with each stamp's sum brought to 1."""
-    total = stamps.groupBy(*key).agg(F.sum("value").alias("_total"))
-    return stamps.join(total, key).withColumn("value", F.col("value") / F.col("_total")).drop("_total")
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, whether each is one, the row of each) of a batch's arrays, without copies."""
+    flat = column.flatten()
+    at = np.asarray(column.offsets) if not column.null_count else np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy()))
+    return flat.to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(at))
+
+
+def _sums(values: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(own, weights=values, minlength=n)
+
+
+def normalise(stamps: DataFrame, keep: list[str]) -> DataFrame:
+    """Stamps (value as an array, and what keep names) with each one's sum brought to 1; null pixels stay null.
+
+    A stamp is worked on where it is: nothing is shuffled, and a task holds a batch at a time.
+    """
+
+    def work(batches):
+        for b in batches:
+            lists = b.column("value")
+            v, known, own = _lists(lists)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit = v / _sums(np.where(known, v, 0.0), own, b.num_rows)[own]
+            ends = np.append(0, np.cumsum(np.bincount(own, minlength=b.num_rows)))
+            out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(unit, mask=~known))
+            yield pa.record_batch([*(b.column(c) for c in keep), out], names=[*keep, "value"])
+
+    kinds = ", ".join(f"`{c}` {stamps.schema[c].dataType.simpleString()}" for c in keep)
+    return stamps.select(*keep, "value").mapInArrow(work, f"{kinds}, value array<double>")
+
+
+def on_grid(f) -> Column:
+    """The values of f(x, y) on a stamp's pixels (width, height), row by row."""
+    wide = F.col("width")
+    return F.transform(F.sequence(F.lit(0), wide * F.col("height") - 1), lambda i: f(i % wide, F.floor(i / wide)))
 
 
 def moffat(r2: Column, alpha: Column, beta: Column) -> Column:
@@ -35,11 +66,22 @@ def gaussian(r2: Column, fwhm: Column) -> Column:
     return F.exp(r2 * -0.5 / (sigma * sigma))
 
 
-def total_variation(stamps: DataFrame, key: list[str], kernel: Column) -> DataFrame:
-    """Half the L1 distance of unit-sum stamps from a kernel (an expression over their pixels), itself brought to unit sum."""
-    rows = stamps.withColumn("_k", kernel)
-    total = rows.groupBy(*key).agg(F.sum("_k").alias("_total"))
-    return rows.join(total, key).groupBy(*key).agg((F.sum(F.abs(F.col("value") - F.col("_k") / F.col("_total"))) * 0.5).alias("total_variation"))
+def total_variation(stamps: DataFrame, keep: list[str], kernel: Column) -> DataFrame:
+    """Half the L1 distance of unit-sum stamps (value as an array, and what keep names) from a kernel (an array as well), itself brought to unit sum.
+
+    Null pixels aren't counted; a stamp of nothing else has no distance.  A stamp is worked on where it is, as in normalise.
+    """
+
+    def work(batches):
+        for b in batches:
+            v, known, own = _lists(b.column("value"))
+            k, _, of = _lists(b.column("_kernel"))
+            n = b.num_rows
+            far = 0.5 * _sums(np.abs(np.where(known, v - k / _sums(k, of, n)[own], 0.0)), own, n)
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(far, mask=_sums(known, own, n) == 0)], names=[*keep, "total_variation"])
+
+    kinds = ", ".join(f"`{c}` {stamps.schema[c].dataType.simpleString()}" for c in keep)
+    return stamps.select(*keep, "value", kernel.alias("_kernel")).mapInArrow(work, f"{kinds}, total_variation double")
 
 
 def summary(fits: DataFrame) -> DataFrame:

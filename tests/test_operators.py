@@ -235,3 +235,24 @@ def test_mask_boxes_match_a_count_over_whole_planes(spark):
         x0, x1, y0, y1 = (min(max(int(v), 0), width) for v in (x - 35, x + 35, y - 35, y + 35))
         assert got[i].galaxy_pixels == int((mask[b][y0:y1, x0:x1] & 4096 > 0).sum())
         assert got[i].on_grid == pytest.approx((x1 - x0) * (y1 - y0) / 4900)
+
+
+def test_stamps_become_unit_sums_and_distances_without_a_shuffle(spark):
+    rows = [(1, 2, 2, [1.0, 2.0, 3.0, 2.0]), (2, 2, 2, [None, 4.0, 4.0, None]), (3, 2, 2, [None] * 4), (4, 3, 1, [0.0, 5.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, width int, height int, value array<double>").coalesce(1)
+    unit = psf.normalise(df, ["id", "width", "height"])
+    kernel = psf.on_grid(lambda x, y: x + y * 2 + 1.0)  # 1, 2, 3, 4 of a square, 1, 2, 3 of a row
+    far = psf.total_variation(unit, ["id"], kernel)
+    assert "Exchange" not in far._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.value for r in unit.collect()}
+    assert got == {1: [0.125, 0.25, 0.375, 0.25], 2: [None, 0.5, 0.5, None], 3: [None] * 4, 4: [0.0, 1.0, 0.0]}
+    want = {1: 0.5 * (0.025 + 0.05 + 0.075 + 0.15), 2: 0.5 * (0.3 + 0.2), 3: None, 4: 0.5 * (1 / 6 + 4 / 6 + 3 / 6)}
+    assert {r.id: r.total_variation for r in far.collect()} == {k: x if x is None else pytest.approx(x) for k, x in want.items()}
+
+
+def test_pixels_are_not_grouped_for_the_fits_of_a_query(spark):
+    from starloom.plans import catalogue
+
+    for name, most in (("total_variation", 0), ("psf_normalise", 0), ("moffat_kernel", 0), ("psf_fit", 1)):
+        plan = catalogue.REGISTRY[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= most and "Aggregate" not in plan and "Join" not in plan, name
