@@ -194,3 +194,32 @@ def test_scan_lines_paint_what_every_pixel_says():
         box = (xx >= np.floor(x0[k]) - 12) & (xx <= np.ceil(x0[k]) + 12) & (yy >= np.floor(y0[k]) - 12) & (yy <= np.ceil(y0[k]) + 12)
         want = stamps._inside(xx - x0[k], yy - y0[k], [v[k] for v in j], radius[k], ratio[k], np.radians(angle[k])) & box
         assert (got == want).all()
+
+
+def test_the_sink_makes_no_objects_of_a_batchs_pixels(tmp_path, spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from starloom.sources import images
+
+    plane = {"name": "A", "kind": "f8", "width": 64, "depth": 1}
+    rows = [{"file": f"{i}.fits", "planes": [plane | {"pixels": [float(i)] * 4096}], "cards": [("K", str(i))]} for i in range(200)]
+    kinds = pa.schema([("file", pa.string()), ("planes", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("width", pa.int32()), ("depth", pa.int32()), ("pixels", pa.list_(pa.float64()))]))), ("cards", pa.map_(pa.string(), pa.string()))])
+    batch = pa.RecordBatch.from_pylist(rows, kinds).slice(1)
+    writer = images.PlanesWriter({"path": str(tmp_path)}, False)
+    tracemalloc.start()
+    done = writer.write(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes / 4  # lists of a batch's numbers take several times its bytes
+    writer.commit([done])
+    with images.opened(str(tmp_path / "7.fits")) as f:
+        p = images.planes(f)[-1]
+        assert p.name == "A" and (images.rows(f, p) == 7.0).all()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    images.save(spark.createDataFrame([(r["file"], [tuple(r["planes"][0].values())], dict(r["cards"])) for r in rows[:40]], images.FitsPlanes({}).schema()).coalesce(1), str(tmp_path / "saved"))
+    assert len(list((tmp_path / "saved").iterdir())) == 40 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    wrong = pa.RecordBatch.from_pylist([{"file": "x", "planes": [plane | {"kind": "i2", "pixels": [None] * 64}], "cards": []}], kinds)
+    with pytest.raises(ValueError, match="null pixels"):
+        writer.write(iter([wrong]))
